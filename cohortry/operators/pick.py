@@ -40,12 +40,11 @@ def closest_to_anchor(
         .agg(F.min_by(value, tie).alias("__value"))
     )
     visits = st.withColumn("__anchor", F.col(start).cast("date")).where(F.col("__anchor").isNotNull())
-    first_side = nearest(visits, folded, by, "__anchor", "__day", "__value", forward=prefer == "after", prefix="__1")
-    other_side = nearest(visits, folded, by, "__anchor", "__day", "__value", forward=prefer == "before", prefix="__2")
+    near = nearest(visits, folded, by, "__anchor", "__day", "__value", backward=True)
+    sides = ["prev_key", "next_key"] if prefer == "before" else ["next_key", "prev_key"]
     return (
-        visits.join(first_side, [by, "__anchor"])
-        .join(other_side, [by, "__anchor"])
-        .select(by, visit, F.coalesce("__1key", "__2key").alias(value))
+        visits.join(near, [by, "__anchor"])
+        .select(by, visit, F.coalesce(*sides).alias(value))
         .where(F.col(value).isNotNull())
     )
 
@@ -62,15 +61,11 @@ def closest_abs(
         .withColumn("__line", F.struct(by, *keys))
     )
     wanted = st.select(by, visit, start).join(seen.select(by, *keys, "__line").distinct(), by)
-    before = nearest(wanted, seen, "__line", start, ts, "__value", forward=False, prefix="__b_")
-    after = nearest(wanted, seen, "__line", start, ts, "__value", strict=True, prefix="__a_")
-    gap_b, gap_a = micros(start) - micros("__b_start"), micros("__a_start") - micros(start)
-    take_after = F.col("__b_start").isNull() | F.coalesce(gap_a < gap_b, F.lit(False))
-    return (
-        wanted.join(before, ["__line", start])
-        .join(after, ["__line", start])
-        .select(by, visit, *keys, F.when(take_after, F.col("__a_key")).otherwise(F.col("__b_key")).alias(value))
-    )
+    near = nearest(wanted, seen, "__line", start, ts, "__value", backward=True, strict=True)
+    gap_prev, gap_next = micros(start) - micros("prev_start"), micros("next_start") - micros(start)
+    take_next = F.col("prev_start").isNull() | F.coalesce(gap_next < gap_prev, F.lit(False))
+    best = F.when(take_next, F.col("next_key")).otherwise(F.col("prev_key"))
+    return wanted.join(near, ["__line", start]).select(by, visit, *keys, best.alias(value))
 
 
 def earliest(df: DataFrame, keys: str | Sequence[str], value: str, ts: str, tie: str) -> DataFrame:

@@ -21,30 +21,24 @@ from cohortry.functions.hashing import as_col, hash_hex, hex_number
 from cohortry.functions.times import micros
 
 MAX_HOT = 256
-PIECES = 512
+PIECES = 256
 HOT_FLOOR = 1_000_000
 HASH_DIGITS = 3
 
 
 def _probs(pieces: int) -> Column:
-    return F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    return F.expr("array(" + ", ".join(f"{i / pieces!r}D" for i in range(1, pieces)) + ")")
 
 
 def _piece_of(splits: Column, value: Column, pieces: int) -> Column:
     """How many split points lie at or below ``value``: a binary search over the sorted array."""
-    steps = []
-    step = 1
-    while step * 2 <= pieces:
-        step *= 2
-    while step >= 1:
-        steps.append(step)
-        step //= 2
+    steps = ", ".join(str(2**e) for e in range(pieces.bit_length() - 1, -1, -1))
     found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
+        F.expr(f"array({steps})"),
         F.lit(0),
         lambda acc, s: F.when(F.try_element_at(splits, acc + s) <= value, acc + s).otherwise(acc),
     )
-    return F.coalesce(found, F.lit(0))
+    return F.when(splits.isNull(), F.lit(0)).otherwise(found)
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -185,6 +179,23 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: str |
     )
 
 
+def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: str, key: str, floor: int) -> DataFrame:
+    """Points and targets of a subject as one timeline: ``__kind`` 0 is a target, 1 a point."""
+    def nothing(frame: DataFrame, c: str) -> Column:
+        return F.lit(None).cast(frame.schema[c].dataType)
+
+    p = points.select(by, ts).distinct().select(
+        F.col(by).alias("__by"), micros(ts).alias("__t"), F.lit(1).alias("__kind"), F.col(ts).alias("__ts"),
+        nothing(targets, start).alias("__start"), nothing(targets, key).alias("__key"),
+    )
+    t = targets.where(F.col(start).isNotNull()).select(by, start, F.col(key).alias("__k"))
+    t = t.groupBy(by, start).agg(F.min("__k").alias("__key")).select(
+        F.col(by).alias("__by"), micros(start).alias("__t"), F.lit(0).alias("__kind"),
+        nothing(points, ts).alias("__ts"), F.col(start).alias("__start"), "__key",
+    )
+    return add_piece(p.unionByName(t), ["__by"], "__t", floor)
+
+
 def nearest(
     points: DataFrame,
     targets: DataFrame,
@@ -194,49 +205,40 @@ def nearest(
     key: str,
     *,
     forward: bool = True,
+    backward: bool = False,
     strict: bool = False,
     floor: int = HOT_FLOOR,
-    prefix: str = "",
 ) -> DataFrame:
-    """As-of match per subject: the nearest ``start`` at or after ``ts`` (or at or before it).
+    """As-of match per subject, one row per distinct (subject, ts).
 
-    ``points`` gets ``<prefix>start`` and ``<prefix>key`` of that target, NULL where there is none.  Both
-    sides are merged into one timeline; a running "last target seen" answers every point, so no pair of
-    a point and a target is ever built.  Among equal starts the smallest key wins.
+    ``forward`` adds ``next_start, next_key`` of the nearest target at or after ``ts`` (after it, if
+    ``strict``); ``backward`` adds ``prev_start, prev_key`` of the nearest one at or before it.  NULL where
+    there is none; among equal starts the smallest key wins.  Both sides are merged into one timeline and
+    a running "last target seen" answers every point, so no pair of a point and a target is ever built.
     """
-    sign = 1 if forward else -1
-    p = points.select(by, ts).distinct()
-    p = p.select(
-        F.col(by).alias("__by"), (F.lit(sign) * micros(ts)).alias("__t"), F.lit(1).alias("__kind"), F.col(ts).alias("__ts"),
-        F.lit(None).cast(targets.schema[start].dataType).alias("__start"), F.lit(None).cast(targets.schema[key].dataType).alias("__key"),
-    )
-    t = targets.where(F.col(start).isNotNull()).select(by, start, F.col(key).alias("__k"))
-    t = t.groupBy(by, start).agg(F.min("__k").alias(key))
-    t = t.select(
-        F.col(by).alias("__by"), (F.lit(sign) * micros(start)).alias("__t"), F.lit(0).alias("__kind"),
-        F.lit(None).cast(points.schema[ts].dataType).alias("__ts"), F.col(start).alias("__start"), F.col(key).alias("__key"),
-    )
-    line = add_piece(p.unionByName(t), ["__by"], "__t", floor)
+    line = _timeline(points, targets, by, ts, start, key, floor)
     target = F.when(F.col("__kind") == 0, F.struct("__start", "__key"))
-    kind_first = F.col("__kind").desc() if strict else F.col("__kind").asc()
-    walk = Window.partitionBy("__by", "__piece").orderBy(F.col("__t").desc(), kind_first)
-    back = Window.partitionBy("__by").orderBy(F.col("__piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edges = line.where("__hot").groupBy("__by", "__piece").agg(F.min_by(target, F.when(target.isNotNull(), F.col("__t"))).alias("__first"))
-    carry = edges.select("__by", "__piece", F.last("__first", ignorenulls=True).over(back).alias("__carry"))
-    seen = F.last(target, ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (
-        line.withColumn("__seen", seen)
-        .where("__kind = 1")
-        .join(F.broadcast(carry), ["__by", "__piece"], "left")
-        .withColumn("__hit", F.coalesce("__seen", "__carry"))
-        .select(
-            F.col("__by").alias(by),
-            F.col("__ts").alias(ts),
-            F.col("__hit.__start").alias(f"{prefix}start"),
-            F.col("__hit.__key").alias(f"{prefix}key"),
-        )
+    at = F.when(F.col("__kind") == 0, F.col("__t"))
+    sides = []
+    if forward:
+        kind = F.col("__kind").desc() if strict else F.col("__kind").asc()
+        sides.append(("next", [F.col("__t").desc(), kind], F.col("__piece").desc(), F.min_by(target, at)))
+    if backward:
+        sides.append(("prev", [F.col("__t").asc(), F.col("__kind").asc()], F.col("__piece").asc(), F.max_by(target, at)))
+    edges = line.where("__hot").groupBy("__by", "__piece").agg(*[edge.alias(f"__edge_{n}") for n, _, _, edge in sides])
+    seen, carried, out = [], [], []
+    for name, order, piece_order, _ in sides:
+        walk = Window.partitionBy("__by", "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        back = Window.partitionBy("__by").orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
+        seen.append(F.last(target, ignorenulls=True).over(walk).alias(f"__seen_{name}"))
+        carried.append(F.last(f"__edge_{name}", ignorenulls=True).over(back).alias(f"__carry_{name}"))
+        hit = F.coalesce(f"__seen_{name}", f"__carry_{name}")
+        out += [hit["__start"].alias(f"{name}_start"), hit["__key"].alias(f"{name}_key")]
+    carry = edges.select("__by", "__piece", *carried)
+    walked = line.select("__by", "__piece", "__kind", "__ts", *seen).where("__kind = 1")
+    return walked.join(F.broadcast(carry), ["__by", "__piece"], "left").select(
+        F.col("__by").alias(by), F.col("__ts").alias(ts), *out
     )
-    return found
 
 
 def running_list(
