@@ -91,24 +91,37 @@ def clamp_int(c: Column | str, lo: int, hi: int, default: int) -> Column:
 
 
 def fmt_g(c: Column | str) -> Column:
-    """Six significant digits, no trailing zeros, exponent form below 1e-4 and from 1e6."""
+    """Six significant digits, no trailing zeros, exponent form below 1e-4 and from 1e6.
+
+    Rounding is that of the exact binary value, half to even: the value times a power of ten is held
+    as an unrounded sum of two doubles, so exact ties are told from near ties.
+    """
     value = as_col(c).cast("double")
-    scientific = F.format_string("%.5e", value)
-    exponent = F.substring_index(scientific, "e", -1).cast("int")
+    size = F.abs(value)
+    scale = F.lit(1e8)
+    for e in range(-2, 6):
+        scale = F.when(size >= 10.0**e, F.lit(10.0 ** (5 - e))).otherwise(scale)
+    split = size * F.lit(134217729.0)
+    upper = split - (split - size)
+    high, low = upper * scale, (size - upper) * scale
+    whole = F.floor(high + low).cast("double")
+    beyond_half = (high - whole - F.lit(0.5)) + low
+    up = (beyond_half > 0) | ((beyond_half == 0) & (whole % 2 == 1))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale * F.signum(value)
+    common = F.regexp_replace(rounded.cast("string"), r"\.0$", "")
 
     def no_zeros(text: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
-    fixed = F.lit(None).cast("string")
-    for e in range(-4, 6):
-        fixed = F.when(exponent == e, F.format_string(f"%.{5 - e}f", value)).otherwise(fixed)
-    exponential = F.concat(
-        no_zeros(F.substring_index(scientific, "e", 1)), F.lit("e"), F.substring_index(scientific, "e", -1)
-    )
+    scientific = F.format_string("%.5e", value)
+    exponent = F.substring_index(scientific, "e", -1)
+    exponential = F.concat(no_zeros(F.substring_index(scientific, "e", 1)), F.lit("e"), exponent)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
+        .when((size >= 1e-3) & (size < 999999.5), common)
+        .when(size == 0, F.lit("0"))
         .when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .otherwise(F.coalesce(no_zeros(fixed), exponential))
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(exponent == "-04", no_zeros(F.format_string("%.9f", value)))
+        .otherwise(exponential)
     )

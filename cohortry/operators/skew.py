@@ -56,16 +56,17 @@ def text_order(c: Column | str) -> Column:
     return F.conv(F.rpad(F.substring(F.hex(as_col(c)), 1, 12), 12, "0"), 16, 10).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = HOT_FLOOR, weight: Column | None = None) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> DataFrame:
     """Keys holding more than ``1 / MAX_HOT`` of all rows (and more than ``floor``): at most MAX_HOT rows."""
-    counts = df.groupBy(*keys).agg(F.sum(weight if weight is not None else F.lit(1)).alias("__n"))
+    floor = HOT_FLOOR if floor is None else floor
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     heavy = counts.where(F.col("__n") > floor)
     total = counts.agg(F.sum("__n").alias("__total"))
     return with_row(heavy, total).where(F.col("__n") * MAX_HOT > F.col("__total")).select(*keys)
 
 
 def add_piece(
-    df: DataFrame, keys: Sequence[str], order: Column | str, floor: int = HOT_FLOOR, pieces: int = PIECES
+    df: DataFrame, keys: Sequence[str], order: Column | str, floor: int | None = None, pieces: int = PIECES
 ) -> DataFrame:
     """Add ``__piece`` (monotone in ``order`` within a key) and ``__hot``.
 
@@ -94,7 +95,7 @@ def prefix_sums(
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, str],
-    floor: int = HOT_FLOOR,
+    floor: int | None = None,
     pieces: int = PIECES,
     piece_by: Column | None = None,
 ) -> DataFrame:
@@ -119,7 +120,7 @@ def prefix_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], floor: int = HOT_FLOOR
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], floor: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per (group, prob): columns ``prob``, ``quantile``.
 
@@ -179,7 +180,7 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: str |
     )
 
 
-def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: str, key: str, floor: int) -> DataFrame:
+def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: str, key: str, floor: int | None) -> DataFrame:
     """Points and targets of a subject as one timeline: ``__kind`` 0 is a target, 1 a point."""
     def nothing(frame: DataFrame, c: str) -> Column:
         return F.lit(None).cast(frame.schema[c].dataType)
@@ -207,7 +208,7 @@ def nearest(
     forward: bool = True,
     backward: bool = False,
     strict: bool = False,
-    floor: int = HOT_FLOOR,
+    floor: int | None = None,
 ) -> DataFrame:
     """As-of match per subject, one row per distinct (subject, ts).
 
@@ -242,7 +243,7 @@ def nearest(
 
 
 def running_list(
-    df: DataFrame, by: str, order: str, value: Column | str, name: str, floor: int = HOT_FLOOR
+    df: DataFrame, by: str, order: str, value: Column | str, name: str, floor: int | None = None
 ) -> DataFrame:
     """Per row the list of ``value`` of the rows of the same subject **strictly** earlier in time.
 
