@@ -93,35 +93,24 @@ def clamp_int(c: Column | str, lo: int, hi: int, default: int) -> Column:
 def fmt_g(c: Column | str) -> Column:
     """Six significant digits, no trailing zeros, exponent form below 1e-4 and from 1e6.
 
-    Rounding is that of the exact binary value, half to even: the value times a power of ten is held
-    as an unrounded sum of two doubles, so exact ties are told from near ties.
+    Rounding is that of the exact binary value, half to even: where the scaled value looks like a tie,
+    the part its product lost tells on which side of the tie it lies.
     """
     value = as_col(c).cast("double")
     size = F.abs(value)
-    scale = F.lit(1e8)
-    for e in range(-2, 6):
-        scale = F.when(size >= 10.0**e, F.lit(10.0 ** (5 - e))).otherwise(scale)
+    scale = F.pow(F.lit(10.0), F.lit(5.0) - F.floor(F.log10(size)))
+    scaled = size * scale
+    # what the product lost to rounding, from its two exactly representable halves
     split = size * F.lit(134217729.0)
     upper = split - (split - size)
-    high, low = upper * scale, (size - upper) * scale
-    whole = F.floor(high + low).cast("double")
-    beyond_half = (high - whole - F.lit(0.5)) + low
-    up = (beyond_half > 0) | ((beyond_half == 0) & (whole % 2 == 1))
-    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale * F.signum(value)
-    common = F.regexp_replace(rounded.cast("string"), r"\.0$", "")
-
-    def no_zeros(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-
-    scientific = F.format_string("%.5e", value)
-    exponent = F.substring_index(scientific, "e", -1)
-    exponential = F.concat(no_zeros(F.substring_index(scientific, "e", 1)), F.lit("e"), exponent)
+    lost = (size - upper) * scale - (scaled - upper * scale)
+    nudge = F.when(scaled - F.floor(scaled) == 0.5, F.signum(lost) * F.lit(0.25)).otherwise(F.lit(0.0))
+    rounded = F.rint(scaled + nudge) / scale * F.signum(value)
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when((size >= 1e-3) & (size < 999999.5), common)
+        F.when((size >= 1e-3) & (size < 999999.5), F.regexp_replace(rounded.cast("string"), r"\.0$", ""))
         .when(size == 0, F.lit("0"))
         .when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when(exponent == "-04", no_zeros(F.format_string("%.9f", value)))
-        .otherwise(exponential)
+        .when((size >= 9.9999995e-5) & (size < 1e-3), F.regexp_replace(F.format_string("%.9f", value), "0+$", ""))
+        .when(value.isNotNull(), F.regexp_replace(F.format_string("%.5e", value), r"\.?0+e", "e"))
     )
