@@ -1 +1,255 @@
+"""Queries of embeddings, retrieval, assembly, reduction and masks."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortry.operators import vectors as vec
+from cohortry.plans.registry import VISITS, Tables, big, query, rnd, visits
+
+_TOKENS = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
+
+
+def embed_sql(name: str, source: str, key: str, text: str, dim: int) -> str:
+    """CTE with one row per key and slot: ``key, slot, value``."""
+    trimmed = _TOKENS.format(text)
+    return rf"""{name}_t AS (SELECT {key}, unnest(regexp_split_to_array({trimmed}, '\s+')) AS token FROM {source} WHERE {trimmed} <> ''),
+{name}_s AS (SELECT {key}, ('0x' || substr(md5(token), 1, 8))::BIGINT % {dim} AS slot,
+   CASE WHEN ('0x' || substr(md5(token), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign, count(*) OVER (PARTITION BY {key}) AS n FROM {name}_t),
+{name} AS (SELECT {key}, slot, (sum(sign) / any_value(n)::DOUBLE)::FLOAT AS value FROM {name}_s GROUP BY {key}, slot)"""
+
+
+def _slots(df: DataFrame, keys: list[str], column: str = "embedding") -> DataFrame:
+    """Non-zero entries of a vector as rows."""
+    rows = df.select(*keys, F.posexplode(column).alias("slot", "value"))
+    return rows.where(F.col("value") != 0).select(*keys, big("slot").alias("slot"), rnd("value").alias("value"))
+
+
+@query(
+    "embed_text",
+    f"WITH {embed_sql('e', 'documents', 'doc_id', 'text', 64)} SELECT doc_id, slot, round(value::DOUBLE, 6) AS value FROM e WHERE value <> 0",
+)
+def _(t: Tables) -> DataFrame:
+    return _slots(vec.embed_text(t.documents, "doc_id", "text", 64), ["doc_id"])
+
+
+def _features(t: Tables) -> DataFrame:
+    """Long form: the text and the source name of every document, and an empty feature."""
+    parts = F.array(
+        F.struct(F.lit("body").alias("feature"), F.col("text").alias("content")),
+        F.struct(F.lit("origin").alias("feature"), F.concat_ws(" ", "source", "lang").alias("content")),
+        F.struct(F.lit("absent").alias("feature"), F.lit("").alias("content")),
+    )
+    return t.documents.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.feature", "p.content")
+
+
+@query(
+    "embed_many",
+    f"""WITH f AS (SELECT doc_id, 'body' AS feature, text AS content FROM documents UNION ALL SELECT doc_id, 'origin', source || ' ' || lang FROM documents
+   UNION ALL SELECT doc_id, 'absent', '' FROM documents), {embed_sql('e', 'f', 'doc_id, feature', 'content', 32)},
+z AS (SELECT doc_id, feature, count(*) FILTER (value <> 0) AS entries, sum(value::DOUBLE) AS total FROM e GROUP BY 1, 2)
+SELECT f.doc_id, f.feature, coalesce(entries, 0)::BIGINT AS entries, round(coalesce(total, 0), 5) AS total FROM f LEFT JOIN z USING (doc_id, feature)""",
+)
+def _(t: Tables) -> DataFrame:
+    got = vec.embed_many(_features(t), ["doc_id", "feature"], "content", 32)
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return got.select(
+        "doc_id", "feature", big(F.size(F.filter("embedding", lambda x: x != 0))).alias("entries"), rnd(total, 5).alias("total")
+    )
+
+
+@query("pending", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(t: Tables) -> DataFrame:
+    return vec.pending(t.documents.select("doc_id", "source"), t.labels, "doc_id")
+
+
+@query(
+    "index_documents",
+    f"WITH {embed_sql('e', 'documents', 'doc_id', 'text', 16)} SELECT doc_id, slot, round(value::DOUBLE, 6) AS value FROM e WHERE value <> 0",
+)
+def _(t: Tables) -> DataFrame:
+    held = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    done = vec.embed_text(held, "doc_id", "text", 16)
+    return _slots(vec.index_documents(t.documents.select("doc_id", "text"), done, "doc_id", "text", 16), ["doc_id"])
+
+
+@query(
+    "combine_wide",
+    f"""WITH {VISITS}, q AS (SELECT l_orderkey AS visit_id, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+d AS (SELECT l_orderkey AS visit_id, max(l_discount) AS discount FROM lineitem GROUP BY 1), n AS (SELECT doc_id AS visit_id, n_chars AS chars FROM documents)
+SELECT visit_id, subject_id, chars, quantity, discount FROM visits LEFT JOIN q USING (visit_id) LEFT JOIN d USING (visit_id) LEFT JOIN n USING (visit_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    items = t.lineitem.withColumnRenamed("l_orderkey", "visit_id")
+    parts = {
+        "quantity": items.groupBy("visit_id").agg(F.sum("l_quantity").alias("quantity")),
+        "discount": items.groupBy("visit_id").agg(F.max("l_discount").alias("discount")),
+        "chars": t.documents.select(F.col("doc_id").alias("visit_id"), F.col("n_chars").alias("chars")),
+    }
+    return vec.combine(visits(t), parts, "visit_id", ["visit_id", "subject_id", "chars", "quantity", "discount"])
+
+
+@query(
+    "combine_long",
+    f"""WITH {VISITS}, w AS (SELECT l_orderkey AS visit_id, max(l_quantity) FILTER (l_returnflag = 'A') AS A, max(l_quantity) FILTER (l_returnflag = 'N') AS N,
+     max(l_quantity) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY 1) SELECT visit_id, A, N, R FROM visits LEFT JOIN w USING (visit_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    long = t.lineitem.groupBy(F.col("l_orderkey").alias("visit_id"), "l_returnflag").agg(F.max("l_quantity").alias("q"))
+    return vec.combine_long(visits(t).select("visit_id"), long, "visit_id", "l_returnflag", "q", ["A", "N", "R"])
+
+
+def _centroids(t: Tables) -> DataFrame:
+    entries = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = entries.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"])
+    return means.groupBy("label").agg(packed.alias("embedding"))
+
+
+@query(
+    "top_k_similar",
+    """WITH c AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2),
+q AS (SELECT label AS query, list(m ORDER BY i) AS v FROM c GROUP BY 1),
+d AS (SELECT query, vec_id, list_sum(list_transform(list_zip(v, embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM q CROSS JOIN embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM d)
+SELECT query::BIGINT AS query, vec_id, rank::BIGINT AS rank, round(dist, 5) AS distance FROM r WHERE rank <= 5""",
+)
+def _(t: Tables) -> DataFrame:
+    asked = _centroids(t).select(big("label").alias("query"), "embedding")
+    docs = t.embeddings.select("vec_id", "embedding")
+    hits = vec.top_k_similar(asked, docs, "query", "vec_id", "embedding", 5)
+    return hits.select("query", "vec_id", big("rank").alias("rank"), rnd("distance", 5).alias("distance"))
+
+
+@query("retrieved_context")
+def _(t: Tables) -> DataFrame:
+    """Benchmark passages as prompts, all documents as the store."""
+    asked = vec.embed_text(t.benchmark, "item_id", "text", 64)
+    store = vec.embed_text(t.documents, "doc_id", "text", 64)
+    hits = vec.top_k_similar(asked, store, "item_id", "doc_id", "embedding", 3)
+    return vec.retrieved_context(hits, t.documents, "item_id", "doc_id", "text")
+
+
+@query("l2_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", rnd(vec.l2_norm("embedding")).alias("norm"))
+
+
+@query("explode_vector", "SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[64]::DOUBLE AS z FROM embeddings")
+def _(t: Tables) -> DataFrame:
+    names = [f"x{i}" for i in range(64)]
+    wide = vec.explode_vector(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", names)
+    return wide.select("vec_id", F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("x63").alias("z"))
+
+
+@query(
+    "flatten_features",
+    """SELECT vec_id, 66::BIGINT AS width, label::DOUBLE AS first, embedding[1]::DOUBLE AS second, vec_id::DOUBLE AS last FROM embeddings""",
+)
+def _(t: Tables) -> DataFrame:
+    dims = {"label": 1, "embedding": 64, "id": 1}
+    slots = {name: start for name, start, _ in vec.feature_index_map(dims)}
+    flat = vec.flatten(t.embeddings.withColumn("id", F.col("vec_id")), list(dims))
+    at = lambda name: F.get("features", F.lit(slots[name]))
+    return flat.select(
+        "vec_id", big(F.size("features")).alias("width"), at("label").alias("first"), at("embedding").alias("second"), at("id").alias("last")
+    )
+
+
+_SLOTS = [(f"slot{i}", 4 * i, 4) for i in range(16)]
+_VISIBLE, _LO, _HI = 5, 0.2, 0.6
+_LOW, _HIGH = vec.mask_bounds(_LO, _HI, len(_SLOTS) - _VISIBLE)
+
+
+def _k_sql(seed: int) -> str:
+    return f"{_LOW} + ('0x' || substr(md5(concat_ws('|', vec_id, 'k', '{seed}')), 1, 8))::BIGINT % {_HIGH - _LOW + 1}"
+
+
+def _masked_out(df: DataFrame) -> DataFrame:
+    kept = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return df.select(
+        "vec_id", F.array_join(F.sort_array("masked"), ",").alias("masked"), rnd(kept, 5).alias("kept")
+    )
+
+
+def _masked_sql(chosen: str) -> str:
+    """``chosen`` is a CTE ``ch(vec_id, slot)``."""
+    return f"""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), {chosen},
+m AS (SELECT vec_id, string_agg(slot::VARCHAR, ',' ORDER BY slot) AS masked FROM ch GROUP BY 1),
+k AS (SELECT v.vec_id, sum(CASE WHEN ch.slot IS NULL THEN abs(x) ELSE 0 END) AS kept FROM v LEFT JOIN ch ON ch.vec_id = v.vec_id AND ch.slot = v.i // 4 GROUP BY 1)
+SELECT k.vec_id, coalesce(masked, '') AS masked, round(kept, 5) AS kept FROM k LEFT JOIN m USING (vec_id)"""
+
+
+def _doubles(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@query(
+    "mask_random",
+    _masked_sql(f"""ch AS (SELECT vec_id, slot FROM (SELECT vec_id, slot, {_k_sql(11)} AS k,
+      row_number() OVER (PARTITION BY vec_id ORDER BY md5(concat_ws('|', vec_id, slot, '11')), slot) AS r
+      FROM embeddings, unnest(range({_VISIBLE}, {len(_SLOTS)})) AS s(slot)) WHERE r <= k)"""),
+)
+def _(t: Tables) -> DataFrame:
+    return _masked_out(vec.mask_random(_doubles(t), "vec_id", "embedding", _SLOTS, _VISIBLE, _LO, _HI, 11))
+
+
+@query(
+    "mask_top_k",
+    _masked_sql(f"""ch AS (SELECT vec_id, slot FROM (SELECT vec_id, slot, {_k_sql(12)} AS k, row_number() OVER (PARTITION BY vec_id ORDER BY rms DESC, slot) AS r
+      FROM (SELECT vec_id, i // 4 AS slot, sqrt(sum(x * x)) / 2 AS rms FROM v GROUP BY 1, 2) WHERE slot >= {_VISIBLE}) WHERE r <= k)"""),
+)
+def _(t: Tables) -> DataFrame:
+    rows = _doubles(t).withColumn("importance", F.col("embedding"))
+    return _masked_out(vec.mask_top_k(rows, "vec_id", "embedding", "importance", _SLOTS, _VISIBLE, _LO, _HI, 12))
+
+
+_BERNOULLI = f"""ch AS (SELECT vec_id, slot FROM embeddings, unnest(range(0, {len(_SLOTS)})) AS s(slot)
+      WHERE (('0x' || substr(md5(concat_ws('|', vec_id, slot, '13')), 1, 8))::BIGINT + 0.5) / 4294967296.0 < 0.3)"""
+
+
+@query("mask_bernoulli", _masked_sql(_BERNOULLI))
+def _(t: Tables) -> DataFrame:
+    return _masked_out(vec.mask_bernoulli(_doubles(t), "vec_id", "embedding", _SLOTS, 0.3, 13))
+
+
+@query(
+    "mask_overlap",
+    f"""WITH {_BERNOULLI}, n AS (SELECT count(*) AS n FROM embeddings)
+SELECT s.slot::BIGINT AS slot, round(count(ch.vec_id) * 100.0 / any_value(n.n), 6) AS percent, count(ch.vec_id) > 0 AS in_union,
+       count(ch.vec_id) = any_value(n.n) AS in_intersection
+FROM unnest(range(0, {len(_SLOTS)})) AS s(slot) CROSS JOIN n LEFT JOIN ch USING (slot) GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    masked = vec.mask_bernoulli(_doubles(t), "vec_id", "embedding", _SLOTS, 0.3, 13)
+    overlap = vec.mask_overlap(masked, "masked", len(_SLOTS))
+    return overlap.select(big("slot").alias("slot"), rnd("percent").alias("percent"), "in_union", "in_intersection")
+
+
+def split_vectors(t: Tables) -> DataFrame:
+    split = F.when(F.col("vec_id") % 10 < 7, "train").when(F.col("vec_id") % 10 < 9, "dev").otherwise("test")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    return t.embeddings.select(
+        "vec_id", split.alias("split"), F.when(F.col("label") == 0, zero).otherwise(F.col("embedding")).alias("embedding")
+    )
+
+
+@query("reduce_vectors_svd")
+def _(t: Tables) -> DataFrame:
+    reduced, _ = vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, "svd")
+    return reduced
+
+
+@query("reduce_vectors_pca")
+def _(t: Tables) -> DataFrame:
+    reduced, _ = vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, "pca")
+    return reduced
+
+
+@query("explained_variance")
+def _(t: Tables) -> DataFrame:
+    stats = [vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, m)[1].withColumn("vector", F.lit(m)) for m in ("svd", "pca")]
+    return vec.explained_variance(*stats)
