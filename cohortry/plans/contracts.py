@@ -1 +1,82 @@
+"""Queries of data contracts and audits."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortry.operators import contracts as con
+from cohortry.operators import sampling
+from cohortry.plans.registry import Tables, big, query, visits
+from cohortry.plans.sampling import visit_splits
+
+
+@query(
+    "contract_report",
+    """SELECT * FROM (VALUES ('columns in order', 'PASS', '3 of 3'), ('type of vec_id', 'PASS', 'bigint'), ('type of label', 'FAIL', 'int'),
+        ('type of absent', 'SKIP', 'absent'), ('length of absent', 'SKIP', 'absent')) v("check", status, detail)
+UNION ALL SELECT 'nulls in label', CASE WHEN count(*) FILTER (label IS NULL OR label = 3) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FILTER (label IS NULL OR label = 3) || ' bad rows' FROM embeddings
+UNION ALL SELECT 'length of embedding', CASE WHEN count(*) FILTER (len(embedding) <> 64) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FILTER (len(embedding) <> 64) || ' bad rows' FROM embeddings""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = t.embeddings.withColumn("label", F.when(F.col("label") != 3, F.col("label")))
+    return con.check_contract(
+        rows, ["vec_id", "embedding", "label"], {"vec_id": ["bigint"], "label": ["bigint"], "absent": ["double"]},
+        ["label"], {"embedding": 64, "absent": 8},
+    )
+
+
+@query(
+    "label_report",
+    """SELECT * FROM (VALUES ('y2 empty where y1 = 1', 'PASS', '0 bad rows'), ('y2 present where y1 = 0', 'PASS', '0 bad rows')) v("check", status, detail)
+UNION ALL SELECT 'known splits only', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) || ' bad rows' FROM orders WHERE o_orderpriority = '5-LOW'""",
+)
+def _(t: Tables) -> DataFrame:
+    st = visits(t)
+    labels = sampling.outcome_labels(st, "subject_id", "visit_id", "start_ts", "end_ts", "died").select("visit_id", "y1", "y2")
+    split = F.when(F.col("priority") != "5-LOW", F.col("split"))
+    table = visit_splits(t).join(labels, "visit_id").withColumn("split", split)
+    return con.check_labels(table, "y1", "y2", "split")
+
+
+@query(
+    "output_audit",
+    """WITH e AS (SELECT count(DISTINCT o_orderkey) AS expected FROM orders),
+o AS (SELECT 'all_orders' AS output, count(*) AS rows, 0 AS nulls FROM orders UNION ALL SELECT 'documents', count(*), 0 FROM documents
+      UNION ALL SELECT 'open_orders', count(*), count(*) FILTER (o_orderstatus = 'O') FROM orders UNION ALL SELECT 'never_written', 0, 0)
+SELECT output, rows::BIGINT AS rows, nulls::BIGINT AS nulls, expected::BIGINT AS expected,
+       CASE WHEN rows = 0 THEN 'missing' WHEN rows = expected AND nulls = 0 THEN 'complete' ELSE 'partial' END AS status FROM o CROSS JOIN e""",
+)
+def _(t: Tables) -> DataFrame:
+    outputs = {
+        "all_orders": t.orders.withColumn("value", F.col("o_totalprice")),
+        "documents": t.documents.withColumn("value", F.col("text")),
+        "open_orders": t.orders.withColumn("value", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice"))),
+        "never_written": None,
+    }
+    report = con.audit_outputs(outputs, t.orders, "o_orderkey", "value")
+    return report.select("output", big("rows").alias("rows"), big("nulls").alias("nulls"), "expected", "status")
+
+
+@query("source_manifest")
+def _(t: Tables) -> DataFrame:
+    """Content fingerprints of the small source files."""
+    return con.source_manifest(t.spark, t.path("nation")).unionByName(con.source_manifest(t.spark, t.path("region")))
+
+
+@query("changed_sources")
+def _(t: Tables) -> DataFrame:
+    """Every table against a registry that lacks one and holds another's old stamp (by name, length and time)."""
+    now = con.source_manifest(t.spark, t.folder, content=False)
+    stamp = F.when(F.col("file") == "orders.parquet", F.lit("stale")).otherwise(F.col("fingerprint"))
+    before = now.where(F.col("file") != "lineitem.parquet").withColumn("fingerprint", stamp)
+    return con.changed(now, before)
+
+
+@query("required_columns", "SELECT o_custkey AS subject_id, l_partkey AS itemid, (l_returnflag = 'R')::BIGINT AS reward FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def _(t: Tables) -> DataFrame:
+    people = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
+    table = t.lineitem.join(people, "l_orderkey").select(
+        "subject_id", F.col("l_partkey").alias("itemid"), big(F.col("l_returnflag") == "R").alias("reward")
+    )
+    return con.require_columns(table, ["subject_id", "itemid", "reward"])

@@ -1 +1,192 @@
+"""Queries of metrics, calibration and importance."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortry.functions.text import first_rule
+from cohortry.operators import evaluate as ev
+from cohortry.plans.registry import Tables, big, query, rnd
+from cohortry.plans.sampling import visit_splits
+
+
+def scored(t: Tables) -> DataFrame:
+    """Orders with an outcome (NULL for status P), a score with many ties and a fine one."""
+    price = F.col("o_totalprice")
+    y = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0)
+    coarse = (F.floor(price) % 90 + F.when(F.col("o_orderstatus") == "F", 10).otherwise(0)) / F.lit(100.0)
+    return t.orders.select(
+        "o_orderkey", "o_orderpriority", y.alias("y"), coarse.alias("coarse"), (price % 1000 / 1000).alias("fine"),
+        ((price % 700 - 350) / 100 + F.coalesce(y, F.lit(0)) * 0.8).alias("logit"),
+        (price % 900 - 450).alias("z2"), F.when(F.col("o_orderkey") % 4 != 0, y).alias("y2"),
+    )
+
+
+SCORED = """scored AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS y,
+  (floor(o_totalprice)::BIGINT % 90 + CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 0 END) / 100.0::DOUBLE AS coarse, o_totalprice % 1000 / 1000 AS fine,
+  (o_totalprice % 700 - 350) / 100 + CASE WHEN o_orderstatus = 'F' THEN 0.8 ELSE 0 END::DOUBLE AS logit, o_totalprice % 900 - 450 AS z2,
+  CASE WHEN o_orderkey % 4 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END END AS y2 FROM orders)"""
+
+
+def _auroc_sql(score: str, by: str = "") -> str:
+    keep, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""WITH {SCORED}, s AS (SELECT {keep}y, rank() OVER ({part}ORDER BY {score}) + (count(*) OVER (PARTITION BY {keep}{score}) - 1) / 2.0 AS r
+   FROM scored WHERE y IS NOT NULL)
+SELECT {keep}round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+   / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0))::DOUBLE, 6) AS auroc FROM s {group}"""
+
+
+@query("auroc", _auroc_sql("fine"))
+def _(t: Tables) -> DataFrame:
+    return ev.auroc(scored(t), "y", "fine").select(rnd("auroc").alias("auroc"))
+
+
+@query("auroc_by_group", _auroc_sql("coarse", "o_orderpriority"))
+def _(t: Tables) -> DataFrame:
+    return ev.auroc(scored(t), "y", "coarse", ["o_orderpriority"]).select("o_orderpriority", rnd("auroc").alias("auroc"))
+
+
+_CURVE = """d AS (SELECT coarse, count(*) FILTER (y = 1) AS pos, count(*) AS n FROM scored WHERE y IS NOT NULL GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER () AS p FROM d WINDOW w AS (ORDER BY coarse DESC))"""
+
+
+@query("auprc", f"WITH {SCORED}, {_CURVE} SELECT round(sum(pos * (cp / cn::DOUBLE)) / any_value(p), 6) AS auprc FROM c")
+def _(t: Tables) -> DataFrame:
+    return ev.auprc(scored(t), "y", "coarse").select(rnd("auprc").alias("auprc"))
+
+
+@query(
+    "auprc_trapezoid",
+    f"""WITH {SCORED}, {_CURVE} SELECT round(sum(pos * (cp / cn::DOUBLE + CASE WHEN cn - n > 0 THEN (cp - pos) / (cn - n)::DOUBLE ELSE 1 END) / 2) / any_value(p), 6) AS pr_area FROM c""",
+)
+def _(t: Tables) -> DataFrame:
+    return ev.auprc_trapezoid(scored(t), "y", "coarse").select(rnd("pr_area").alias("pr_area"))
+
+
+def _bins_sql(score: str, bins: int) -> str:
+    inner = ", ".join(f"quantile_cont({score}, {i / bins!r})" for i in range(1, bins))
+    return f"""{SCORED}, e AS (SELECT list_sort(list_distinct([0.0::DOUBLE, 1.0::DOUBLE, {inner}])) AS edges FROM scored WHERE y IS NOT NULL),
+b AS (SELECT greatest(len(list_filter(edges[1:len(edges) - 1], lambda x: x <= {score})) - 1, 0) AS bin, {score} AS p, y FROM scored CROSS JOIN e WHERE y IS NOT NULL),
+g AS (SELECT bin, count(*) AS n, avg(p) AS confidence, avg(y) AS accuracy FROM b GROUP BY 1)"""
+
+
+@query("ece_bins", f"WITH {_bins_sql('fine', 10)} SELECT bin::BIGINT AS bin, n::BIGINT AS n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM g")
+def _(t: Tables) -> DataFrame:
+    bins = ev.ece_bins(scored(t), "y", "fine")
+    return bins.select(big("bin").alias("bin"), "n", rnd("confidence").alias("confidence"), rnd("accuracy").alias("accuracy"))
+
+
+@query("ece", f"WITH {_bins_sql('coarse', 10)} SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 6) AS ece FROM g")
+def _(t: Tables) -> DataFrame:
+    return ev.ece(scored(t), "y", "coarse").select(rnd("ece").alias("ece"))
+
+
+@query("calibrated", f"WITH {SCORED} SELECT o_orderkey, round(1 / (1 + exp(-(logit / 1.7::DOUBLE))), 6) AS probability FROM scored")
+def _(t: Tables) -> DataFrame:
+    return scored(t).select("o_orderkey", rnd(ev.calibrated("logit", 1.7)).alias("probability"))
+
+
+@query("fit_temperature")
+def _(t: Tables) -> DataFrame:
+    """Fitted temperature with the calibration error before and after."""
+    rows = scored(t)
+    temperature = ev.fit_temperature(rows, "y", "logit")
+    errors = [
+        ev.ece(rows.withColumn("p", ev.calibrated("logit", T)), "y", "p").select(F.lit(name).alias("stage"), F.lit(T).alias("temperature"), "ece")
+        for name, T in (("before", 1.0), ("after", temperature))
+    ]
+    return errors[0].unionByName(errors[1])
+
+
+_BCE = "(1 - {y}) * {z} + (1 + ({w} - 1) * {y}) * (ln(1 + exp(-abs({z}))) + greatest(-({z}), 0))"
+
+
+@query(
+    "weighted_bce",
+    f"""WITH {SCORED}, l AS (SELECT avg({_BCE.format(y='y', z='logit', w='1.5::DOUBLE')}) AS loss_y, avg({_BCE.format(y='y2', z='z2', w='0.5::DOUBLE')}) AS loss_y2 FROM scored)
+SELECT round(loss_y, 6) AS loss_y, round(loss_y2, 6) AS loss_y2, round(0.7::DOUBLE * loss_y + 0.3::DOUBLE * loss_y2, 6) AS total FROM l""",
+)
+def _(t: Tables) -> DataFrame:
+    loss = ev.weighted_bce(scored(t), ["y", "y2"], ["logit", "z2"], [1.5, 0.5], [0.7, 0.3])
+    return loss.select(*[rnd(c).alias(c) for c in loss.columns])
+
+
+@query(
+    "confusion",
+    f"""WITH {SCORED}, p AS (SELECT y, CASE WHEN coarse >= 0.5 THEN 1 ELSE 0 END AS p FROM scored WHERE y IS NOT NULL)
+SELECT count(*) FILTER (y = 0 AND p = 0)::BIGINT AS tn, count(*) FILTER (y = 0 AND p = 1)::BIGINT AS fp, count(*) FILTER (y = 1 AND p = 0)::BIGINT AS fn,
+       count(*) FILTER (y = 1 AND p = 1)::BIGINT AS tp, round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = scored(t).withColumn("pred", (F.col("coarse") >= 0.5).cast("int"))
+    return ev.confusion(rows, "y", "pred").withColumn("accuracy", rnd("accuracy"))
+
+
+def _mi_sql(feats: list[str], bins: int) -> str:
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS value, y FROM scored WHERE y IS NOT NULL" for f in feats)
+    inner = ", ".join(f"quantile_cont(value, {i / bins!r})" for i in range(1, bins))
+    return f"""WITH {SCORED}, l AS ({long}), e AS (SELECT feature, list_distinct([{inner}]) AS edges FROM l GROUP BY 1),
+b AS (SELECT feature, y, len(list_filter(edges, lambda x: x <= value)) AS bin FROM l JOIN e USING (feature)),
+j AS (SELECT feature, bin, y, count(*) AS n FROM b GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
+SELECT feature, round(sum(n / nt::DOUBLE * ln(n * nt::DOUBLE / (nb * ny::DOUBLE))), 6) AS mi FROM m GROUP BY 1"""
+
+
+@query("mutual_information", _mi_sql(["coarse", "fine", "logit"], 10))
+def _(t: Tables) -> DataFrame:
+    return ev.mutual_information(scored(t), ["coarse", "fine", "logit"], "y").select("feature", rnd("mi").alias("mi"))
+
+
+@query(
+    "spearman",
+    f"""WITH {SCORED}, r AS (SELECT rank() OVER (ORDER BY coarse) + (count(*) OVER (PARTITION BY coarse) - 1) / 2.0 AS a,
+      rank() OVER (ORDER BY logit) + (count(*) OVER (PARTITION BY logit) - 1) / 2.0 AS b FROM scored)
+SELECT count(*)::BIGINT AS n, round(corr(a, b), 6) AS spearman FROM r""",
+)
+def _(t: Tables) -> DataFrame:
+    return ev.spearman(scored(t), "coarse", "logit").select("n", rnd("spearman").alias("spearman"))
+
+
+@query("surrogate_importance")
+def _(t: Tables) -> DataFrame:
+    return ev.surrogate_importance(scored(t), ["coarse", "fine", "logit", "z2"], "y", trees=10, depth=4)
+
+
+_GROUPS = [("head", 0, 16), ("body", 16, 32), ("head", 48, 16)]
+
+
+@query(
+    "group_importance",
+    """WITH v AS (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT CASE WHEN i < 16 OR i >= 48 THEN 'head' ELSE 'body' END AS feature, round(avg(abs(x)), 6) AS importance FROM v GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return ev.group_importance(t.embeddings, "embedding", _GROUPS).select("feature", rnd("importance").alias("importance"))
+
+
+@query(
+    "regroup_importance",
+    """WITH v AS (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT i, avg(abs(x)) AS importance FROM v GROUP BY 1)
+SELECT CASE WHEN i < 8 THEN 'demographics' ELSE 'slot' || i END AS feature, round(sum(importance), 6) AS importance FROM s GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    slots = [(f"slot{i}", i, 1) for i in range(64)]
+    table = ev.group_importance(t.embeddings, "embedding", slots)
+    group = first_rule([(F.col("feature").isin([f"slot{i}" for i in range(8)]), "demographics")], F.col("feature"))
+    return ev.regroup_importance(table, "feature", ["importance"], group).withColumn("importance", rnd("importance"))
+
+
+@query("baseline_model")
+def _(t: Tables) -> DataFrame:
+    """Train on one split, then the area under the curve per split and target."""
+    table = scored(t).join(visit_splits(t).select(F.col("visit_id").alias("o_orderkey"), "split"), "o_orderkey")
+    table = table.withColumn("x", F.array("coarse", "fine", "logit"))
+    logits = ev.baseline_model(table.select("o_orderkey", "split", "x", "y", "y2"), "x", ["y", "y2"], "o_orderkey")
+    parts = [
+        ev.auroc(logits, y, f"logit_{y}", ["split"]).select("split", F.lit(y).alias("target"), rnd("auroc", 4).alias("auroc"))
+        for y in ("y", "y2")
+    ]
+    return parts[0].unionByName(parts[1])
