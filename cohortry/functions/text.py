@@ -75,9 +75,12 @@ PROMPT_TEMPLATE = (
 )
 
 
+WHITE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
     """Drop white space (also tabs and line ends) on both sides."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -135,7 +138,7 @@ def from_marker(c: Column | str, marker: str) -> Column:
 
 def clean_comment(c: Column | str, rules: Mapping = COMMENT_RULES) -> Column:
     """Cleaned comment, or NULL where nothing worth keeping is left."""
-    text = F.regexp_replace(as_col(c), r"^\s+", "")
+    text = F.ltrim(as_col(c), F.lit(WHITE))
     discard = is_blank(text) | strip(text).rlike(r"^(_+|-+)$")
     for prefix in rules["discard_prefixes"]:
         discard = discard | text.startswith(prefix)
@@ -144,10 +147,11 @@ def clean_comment(c: Column | str, rules: Mapping = COMMENT_RULES) -> Column:
         text,
     )
     kept = F.array_join(F.slice(F.split(cut, SENTENCE_BREAK), 1, rules["max_sentences"]), ".  ")
-    for pattern in (r"\s+$", r"\.\s+\($", r"\s+\($", r"\(+$", r"\.+$"):
+    kept = F.rtrim(kept, F.lit(WHITE))
+    for pattern in (r"\.\s+\($", r"\s+\($", r"\(+$", r"\.+$"):
         kept = F.regexp_replace(kept, pattern, "")
-    short = F.substring(strip(kept), 1, rules["max_chars"])
-    return F.when(~discard & ~is_blank(short), short)
+    # trimmed text is blank only if it is empty
+    return F.when(~discard, F.nullif(F.substring(strip(kept), 1, rules["max_chars"]), F.lit("")))
 
 
 def event_text(

@@ -100,11 +100,13 @@ def audit_outputs(outputs: Mapping[str, DataFrame | None], cohort: DataFrame, ke
 
 
 def source_manifest(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """One row per source file: name, length, and the md5 of its content (or of its name, length and time)."""
+    """One row per source file: path, length, and the md5 of its content (or of its path, length and time).
+
+    With ``content`` a file is held whole by the task that hashes it (at most 2 GB); without it no data is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
     stamp = F.md5("content") if content else F.md5(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")))
-    return files.select(name.alias("file"), "length", stamp.alias("fingerprint"))
+    return files.select(F.col("path").alias("file"), "length", stamp.alias("fingerprint"))
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:

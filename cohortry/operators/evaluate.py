@@ -24,9 +24,9 @@ def _score_table(df: DataFrame, y: str, score: str, by: Sequence[str]) -> DataFr
     counts = labelled.groupBy(*by, (-F.col(score).cast("double")).alias("__down")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
-    ranked = prefix_sums(counts, by, "__down", {"pos_above": "pos", "neg_above": "neg"})
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return ranked.join(totals, list(by)) if by else with_row(ranked, totals)
+    return prefix_sums(
+        counts, by, "__down", {"pos_above": "pos", "neg_above": "neg"}, {"P": "pos", "N": "neg"}
+    )
 
 
 def auroc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -183,18 +183,32 @@ def mutual_information(df: DataFrame, feats: Sequence[str], y: str, bins: int =
     return cell.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
-def average_rank(df: DataFrame, c: str, name: str) -> DataFrame:
-    """Rank of each distinct value, equal values sharing the mean rank: ``c, name``."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+def _weighted_rank(pairs: DataFrame, c: str, name: str) -> DataFrame:
+    counts = pairs.groupBy(c).agg(F.sum("__w").alias("__n"))
     ranked = prefix_sums(counts, [], c, {"__before": "__n"})
     return ranked.select(c, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(name))
 
 
+def average_rank(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Rank of each distinct value, equal values sharing the mean rank: ``c, name``."""
+    return _weighted_rank(df.where(F.col(c).isNotNull()).withColumn("__w", F.lit(1)), c, name)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ranked = rows.join(average_rank(rows, a, "__ra"), a).join(average_rank(rows, b, "__rb"), b)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("__ra", "__rb").alias("spearman"))
+    """Rank correlation of two columns.
+
+    Equal pairs are folded first, so a value that most rows share costs one row per partner value.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("__w"))
+    ranked = pairs.join(_weighted_rank(pairs, a, "__ra"), a).join(_weighted_rank(pairs, b, "__rb"), b)
+    w, x, y = F.col("__w"), F.col("__ra"), F.col("__rb")
+    sums = ranked.agg(
+        F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"),
+        F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"),
+    )
+    covariance = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    return sums.select("n", F.when(spread > 0, covariance / F.sqrt(spread)).alias("spearman"))
 
 
 def surrogate_importance(df: DataFrame, feats: Sequence[str], y: str, trees: int = 20, depth: int = 5, seed: int = 0) -> DataFrame:

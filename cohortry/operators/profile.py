@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule, is_blank, strip
+from cohortry.operators.panels import levels_of
 from cohortry.operators.skew import exact_quantiles, with_row
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -91,7 +92,7 @@ def crosstab(df: DataFrame, r: str, c: str, top_n: int = 20) -> DataFrame:
     counts = df.groupBy(r, c).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(r).orderBy(F.desc("n"), c)
     kept = counts.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= top_n)
-    names = sorted(x[0] for x in kept.where(F.col(c).isNotNull()).select(c).distinct().collect())
+    names = levels_of(kept, c)
     wide = counts.groupBy(r).agg(
         F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col(c) == v, F.col("n"))), F.lit(0)).alias(str(v)) for v in names]
     )

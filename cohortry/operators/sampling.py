@@ -63,24 +63,30 @@ def reward_table(st: DataFrame, people: DataFrame, ev: DataFrame, by: str, visit
     return st.join(people, by).join(ev, visit).withColumn("reward", reward.cast("int"))
 
 
-def _with_extra(df: DataFrame, y: str, key: Sequence[str], seed: str | int) -> DataFrame:
-    """Rank in class, class size, size of the largest class."""
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = hash_rank(df, [y], key, seed, "__r")
-    return with_row(ranked, sizes.agg(F.max("__n").alias("__max")))
+COPY_CHUNK = 1000
 
 
 def balance_oversample(df: DataFrame, y: str, key: str | Sequence[str], seed: str | int = 0) -> DataFrame:
     """Copies of the smaller classes until every class is as large as the largest.
 
     Every row is copied equally often and the remainder goes to the lowest hashes; ``copy`` is 0 for originals.
+    Where a class is so small that a row is copied very often, its copies are made in chunks by many tasks.
     """
     key = [key] if isinstance(key, str) else list(key)
-    ranked = _with_extra(df, y, key, seed)
+    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n").alias("__max"), F.min("__n").alias("__min"))
+    ranked = with_row(hash_rank(df, [y], key, seed, "__r"), sizes)
     size, rank = F.col("__r_of"), F.col("__r")
     extra = F.col("__max") - size
-    copies = F.floor(extra / size) + F.when(rank <= extra % size, 1).otherwise(0)
-    return ranked.select(*df.columns, F.explode(F.sequence(F.lit(0), copies.cast("int"))).alias("copy"))
+    last = (F.floor(extra / size) + F.when(rank <= extra % size, 1).otherwise(0)).cast("long")
+    rows = ranked.select(*df.columns, last.alias("__last"))
+    largest, smallest = sizes.first()
+    if largest is not None and largest > COPY_CHUNK * smallest:
+        starts = F.sequence(F.lit(0).cast("long"), F.col("__last"), F.lit(COPY_CHUNK).cast("long"))
+        rows = rows.select("*", F.explode(starts).alias("__from")).repartition(*key, "__from")
+    else:
+        rows = rows.withColumn("__from", F.lit(0).cast("long"))
+    upto = F.least(F.col("__last"), F.col("__from") + F.lit(COPY_CHUNK - 1))
+    return rows.select(*df.columns, F.explode(F.sequence("__from", F.greatest(upto, F.col("__from")))).alias("copy"))
 
 
 def balance_with_noise(

@@ -95,27 +95,40 @@ def prefix_sums(
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, str],
+    totals: Mapping[str, str] | None = None,
     floor: int | None = None,
     pieces: int = PIECES,
     piece_by: Column | None = None,
 ) -> DataFrame:
-    """Exclusive running sums in ``order`` per key: ``sums`` maps a new column to a summed column.
+    """Exclusive running sums in ``order`` per key, and sums over the whole key.
 
-    Rows must be unique per (keys, order): group by the order value first.  ``piece_by`` is a number
-    that never falls as ``order`` rises, for an order that is not numeric itself.
+    ``sums`` and ``totals`` map a new column to a summed column.  Rows must be unique per (keys, order):
+    group by the order value first.  ``piece_by`` is a number that never falls as ``order`` rises, for an
+    order that is not numeric itself.
     """
-    keys = list(keys)
+    keys, totals = list(keys), dict(totals or {})
     cut = add_piece(df, keys, piece_by if piece_by is not None else order, floor, pieces)
-    inside = Window.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.where("__hot").groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    carry = totals.select(*keys, "__piece", *[F.sum(f"__t_{n}").over(across).alias(f"__c_{n}") for n in sums])
-    out = cut.select("*", *[F.sum(c).over(inside).alias(f"__i_{n}") for n, c in sums.items()])
-    out = out.join(F.broadcast(carry), [*keys, "__piece"], "left")
+    piece = Window.partitionBy(*keys, "__piece")
+    inside = piece.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    across = whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    summed = sorted({*sums.values(), *totals.values()})
+    per_piece = cut.where("__hot").groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__t_{c}") for c in summed])
+    carry = per_piece.select(
+        *keys, "__piece",
+        *[F.sum(f"__t_{c}").over(across).alias(f"__c_{n}") for n, c in sums.items()],
+        *[F.sum(f"__t_{c}").over(whole).alias(f"__c_{n}") for n, c in totals.items()],
+    )
+    walked = cut.select(
+        "*",
+        *[F.sum(c).over(inside).alias(f"__i_{n}") for n, c in sums.items()],
+        *[F.sum(c).over(piece).alias(f"__i_{n}") for n, c in totals.items()],
+    )
     zero = F.lit(0)
-    return out.select(
+    return walked.join(F.broadcast(carry), [*keys, "__piece"], "left").select(
         *df.columns,
         *[(F.coalesce(F.col(f"__i_{n}"), zero) + F.coalesce(F.col(f"__c_{n}"), zero)).alias(n) for n in sums],
+        *[F.coalesce(F.col(f"__c_{n}"), F.col(f"__i_{n}")).alias(n) for n in totals],
     )
 
 
@@ -124,32 +137,33 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per (group, prob): columns ``prob``, ``quantile``.
 
-    Counts per distinct value, running counts, then only the rows around the wanted ranks: no group is
+    Counts per distinct value, running counts, then only the rows that hold a wanted rank: no group is
     ever gathered in one task.  NULL values are left out.
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = prefix_sums(counts, by, "__v", {"__before": "__n"}, floor)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    wanted = totals.select(
-        *by, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "__total"
-    ).select(*by, "prob", (F.col("prob") * (F.col("__total") - 1)).alias("__pos"))
-    near = ranked.join(wanted, by) if by else ranked.join(F.broadcast(wanted), F.lit(True))
-    low, high = F.floor(F.col("__pos")), F.ceil(F.col("__pos"))
-    covers = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
-    return (
-        near.where(covers(low) | covers(high))
-        .groupBy(*by, "prob", "__pos")
-        .agg(
-            F.max(F.when(covers(low), F.col("__v"))).cast("double").alias("__lo"),
-            F.max(F.when(covers(high), F.col("__v"))).cast("double").alias("__hi"),
-        )
-        .select(
-            *by,
-            "prob",
-            (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__pos") - F.floor("__pos"))).alias("quantile"),
-        )
+    ranked = prefix_sums(counts, by, "__v", {"__before": "__n"}, {"__total": "__n"}, floor)
+    after = F.col("__before") + F.col("__n")
+
+    def holds(prob: float, rank) -> Column:
+        place = rank(F.lit(float(prob)) * (F.col("__total") - 1))
+        return (F.col("__before") <= place) & (place < after)
+
+    wanted = F.array(*[
+        F.when(holds(p, F.floor) | holds(p, F.ceil), F.struct(
+            F.lit(float(p)).alias("prob"), holds(p, F.floor).alias("low"), holds(p, F.ceil).alias("high"),
+            (F.lit(float(p)) * (F.col("__total") - 1)).alias("place"),
+        ))
+        for p in probs
+    ])
+    rows = ranked.select(*by, "__v", F.explode(F.filter(wanted, lambda w: w.isNotNull())).alias("w"))
+    found = rows.groupBy(*by, F.col("w.prob").alias("prob")).agg(
+        F.max(F.when(F.col("w.low"), F.col("__v"))).cast("double").alias("__lo"),
+        F.max(F.when(F.col("w.high"), F.col("__v"))).cast("double").alias("__hi"),
+        F.max("w.place").alias("__place"),
     )
+    part = F.col("__place") - F.floor("__place")
+    return found.select(*by, "prob", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * part).alias("quantile"))
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: str | int, name: str = "rank") -> DataFrame:

@@ -60,16 +60,16 @@ def _(t: Tables) -> DataFrame:
 
 @query("source_manifest")
 def _(t: Tables) -> DataFrame:
-    """Content fingerprints of the small source files."""
-    return con.source_manifest(t.spark, t.path("nation")).unionByName(con.source_manifest(t.spark, t.path("region")))
+    """Content fingerprint of every file of the given tables."""
+    return con.source_manifest(t.spark, t.folder)
 
 
 @query("changed_sources")
 def _(t: Tables) -> DataFrame:
     """Every table against a registry that lacks one and holds another's old stamp (by name, length and time)."""
     now = con.source_manifest(t.spark, t.folder, content=False)
-    stamp = F.when(F.col("file") == "orders.parquet", F.lit("stale")).otherwise(F.col("fingerprint"))
-    before = now.where(F.col("file") != "lineitem.parquet").withColumn("fingerprint", stamp)
+    stamp = F.when(F.col("file").contains("orders.parquet"), F.lit("stale")).otherwise(F.col("fingerprint"))
+    before = now.where(~F.col("file").contains("lineitem.parquet")).withColumn("fingerprint", stamp)
     return con.changed(now, before)
 
 

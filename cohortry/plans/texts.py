@@ -9,6 +9,7 @@ from cohortry.functions import text as tx
 from cohortry.functions.numbers import clamp_int
 from cohortry.operators import text as top
 from cohortry.plans.registry import VISIT_LABS, VISITS, Tables, big, query, rnd, visit_labs, visits
+from cohortry.sources.tables import spread
 
 
 def measurements(t: Tables) -> DataFrame:
@@ -18,7 +19,7 @@ def measurements(t: Tables) -> DataFrame:
         F.col("p_size").cast("double").alias("size"), "p_brand",
     )
     starts = visits(t).select("visit_id", "start_ts")
-    return visit_labs(t).join(items, "item").join(starts, "visit_id").select(
+    return spread(visit_labs(t)).join(items, "item").join(starts, "visit_id").select(
         "visit_id", "line", "item", "ts", "start_ts", "label", "p_brand",
         F.when(F.col("line") != 5, F.col("value") / 8).alias("number"),
         F.when(F.col("line") == 5, F.lit(" see note ")).alias("text_value"),
@@ -135,7 +136,7 @@ def clean_sql(c: str) -> str:
 
 @query("clean_comment", f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.clean_comment("text", RULES).alias("cleaned"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", tx.clean_comment("text", RULES).alias("cleaned"))
 
 
 @query("clean_comment_turns", f"SELECT conv_id, turn, {clean_sql('text')} AS cleaned FROM conversations")
@@ -175,7 +176,8 @@ def cultures(t: Tables) -> DataFrame:
     found = F.col("l_returnflag") != "N"
     words = F.split("p_name", " ")
     four = F.col("l_linenumber") % 4
-    return t.lineitem.join(parts, "l_partkey").select(
+    items = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    return spread(items).join(parts, "l_partkey").select(
         F.col("l_orderkey").alias("visit_id"),
         F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts"),
         F.col("p_type").alias("test"), F.col("p_brand").alias("specimen"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import vectors as vec
 from cohortry.plans.registry import VISITS, Tables, big, query, rnd, visits
+from cohortry.sources.tables import spread
 
 _TOKENS = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 
@@ -33,7 +34,7 @@ def _slots(df: DataFrame, keys: list[str], column: str = "embedding") -> DataFra
     f"WITH {embed_sql('e', 'documents', 'doc_id', 'text', 64)} SELECT doc_id, slot, round(value::DOUBLE, 6) AS value FROM e WHERE value <> 0",
 )
 def _(t: Tables) -> DataFrame:
-    return _slots(vec.embed_text(t.documents, "doc_id", "text", 64), ["doc_id"])
+    return _slots(vec.embed_text(spread(t.documents.select("doc_id", "text")), "doc_id", "text", 64), ["doc_id"])
 
 
 def _features(t: Tables) -> DataFrame:
@@ -43,7 +44,7 @@ def _features(t: Tables) -> DataFrame:
         F.struct(F.lit("origin").alias("feature"), F.concat_ws(" ", "source", "lang").alias("content")),
         F.struct(F.lit("absent").alias("feature"), F.lit("").alias("content")),
     )
-    return t.documents.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.feature", "p.content")
+    return spread(t.documents).select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.feature", "p.content")
 
 
 @query(
@@ -128,7 +129,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Benchmark passages as prompts, all documents as the store."""
     asked = vec.embed_text(t.benchmark, "item_id", "text", 64)
-    store = vec.embed_text(t.documents, "doc_id", "text", 64)
+    store = vec.embed_text(spread(t.documents.select("doc_id", "text")), "doc_id", "text", 64)
     hits = vec.top_k_similar(asked, store, "item_id", "doc_id", "embedding", 3)
     return vec.retrieved_context(hits, t.documents, "item_id", "doc_id", "text")
 

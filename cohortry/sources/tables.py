@@ -77,6 +77,15 @@ def read_table(
     return scan.csv(path).select(*(cols or wanted.fieldNames()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with few splits (a ``.gz`` file, one large row group) over all cores.
+
+    Meant for a scan that CPU-heavy expressions follow.  A scan with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_events(df: DataFrame, item: str, ids: Iterable) -> DataFrame:
     """Event rows of the wanted items: on parquet the filter reaches the scan."""
     return df.where(F.col(item).isin(list(ids)))
