@@ -125,7 +125,15 @@ def _(t: Tables) -> DataFrame:
     return hits.select("query", "vec_id", big("rank").alias("rank"), rnd("distance", 5).alias("distance"))
 
 
-@query("retrieved_context")
+@query(
+    "retrieved_context",
+    f"""WITH {embed_sql('q', 'benchmark', 'item_id', 'text', 64)}, {embed_sql('d', 'documents', 'doc_id', 'text', 64)},
+qn AS (SELECT item_id, sum(value::DOUBLE * value::DOUBLE) AS n FROM q GROUP BY 1), dn AS (SELECT doc_id, sum(value::DOUBLE * value::DOUBLE) AS n FROM d GROUP BY 1),
+x AS (SELECT item_id, doc_id, sum(q.value::DOUBLE * d.value::DOUBLE) AS dot FROM q JOIN d USING (slot) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(qn.n + coalesce(dn.n, 0) - 2 * coalesce(dot, 0), 9), doc_id) AS rank
+      FROM qn CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN dn USING (doc_id) LEFT JOIN x USING (item_id, doc_id))
+SELECT item_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1""",
+)
 def _(t: Tables) -> DataFrame:
     """Benchmark passages as prompts, all documents as the store."""
     asked = vec.embed_text(t.benchmark, "item_id", "text", 64)
