@@ -94,7 +94,8 @@ def fmt_g(c: Column | str) -> Column:
     """Six significant digits, no trailing zeros, exponent form below 1e-4 and from 1e6.
 
     Rounding is that of the exact binary value, half to even: where the scaled value looks like a tie,
-    the part its product lost tells on which side of the tie it lies.
+    the part its product lost tells on which side of the tie it lies.  (Subnormal numbers have the few
+    digits the JVM prints for them.)
     """
     value = as_col(c).cast("double")
     size = F.abs(value)
@@ -106,11 +107,18 @@ def fmt_g(c: Column | str) -> Column:
     lost = (size - upper) * scale - (scaled - upper * scale)
     nudge = F.when(scaled - F.floor(scaled) == 0.5, F.signum(lost) * F.lit(0.25)).otherwise(F.lit(0.0))
     rounded = F.rint(scaled + nudge) / scale * F.signum(value)
+    # from 1e6 on the power divides: quotient and remainder are exact up to 2**53
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(size)) - F.lit(5.0))
+    whole = F.floor(size / unit).cast("double")
+    twice = (size - whole * unit) * 2
+    up = (twice > unit) | ((twice == unit) & (whole % 2 == 1))
+    tens = (whole + F.when(up, 1.0).otherwise(0.0)) * unit * F.signum(value)
+    large = F.when((size >= 999999.5) & (size < 9007199254740992.0), tens).otherwise(value)
     return (
         F.when((size >= 1e-3) & (size < 999999.5), F.regexp_replace(rounded.cast("string"), r"\.0$", ""))
         .when(size == 0, F.lit("0"))
         .when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
         .when((size >= 9.9999995e-5) & (size < 1e-3), F.regexp_replace(F.format_string("%.9f", value), "0+$", ""))
-        .when(value.isNotNull(), F.regexp_replace(F.format_string("%.5e", value), r"\.?0+e", "e"))
+        .when(value.isNotNull(), F.regexp_replace(F.format_string("%.5e", large), r"\.?0+e", "e"))
     )
