@@ -57,6 +57,17 @@ def auprc_trapezoid(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -
     return table.groupBy(*by).agg(area.alias("pr_area"))
 
 
+def _edges_up_to(edges: str, value: str, most: int, limit: Column | None = None) -> Column:
+    """How many entries of a short sorted array lie at or below the value (only the first ``limit`` count)."""
+    total = F.lit(0)
+    for i in range(most):
+        hit = F.get(edges, F.lit(i)) <= F.col(value)
+        if limit is not None:
+            hit = hit & (F.lit(i) < limit)
+        total = total + F.when(hit, 1).otherwise(0)
+    return total
+
+
 def ece_bins(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     """Equal-mass calibration bins: ``bin, n, confidence, accuracy``.
 
@@ -71,7 +82,7 @@ def ece_bins(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     )
     placed = with_row(rows, edges)
     # right-side search over all edges but the last
-    at = F.size(F.filter(F.slice("__edges", F.lit(1), F.size("__edges") - 1), lambda e: e <= F.col("__p"))) - 1
+    at = _edges_up_to("__edges", "__p", bins + 1, F.size("__edges") - 1) - 1
     return (
         placed.withColumn("bin", F.greatest(at, F.lit(0)))
         .groupBy("bin")
@@ -170,9 +181,7 @@ def mutual_information(df: DataFrame, feats: Sequence[str], y: str, bins: int =
     edges = exact_quantiles(long, ["feature"], "value", [i / bins for i in range(1, bins)])
     edges = edges.groupBy("feature").agg(F.collect_set("quantile").alias("__e"))
     # as many rows as features: bounded by the number of columns
-    placed = long.join(F.broadcast(edges), "feature").withColumn(
-        "bin", F.size(F.filter("__e", lambda e: e <= F.col("value")))
-    )
+    placed = long.join(F.broadcast(edges), "feature").withColumn("bin", _edges_up_to("__e", "value", bins - 1))
     joint = placed.groupBy("feature", "bin", y).agg(F.count(F.lit(1)).alias("n"))
     per_bin = joint.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     per_y = joint.groupBy("feature", y).agg(F.sum("n").alias("ny"))

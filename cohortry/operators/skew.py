@@ -13,6 +13,8 @@ where the work runs; results are exact for any cut points.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,24 +145,18 @@ def exact_quantiles(
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     ranked = prefix_sums(counts, by, "__v", {"__before": "__n"}, {"__total": "__n"}, floor)
-    after = F.col("__before") + F.col("__n")
-
-    def holds(prob: float, rank) -> Column:
-        place = rank(F.lit(float(prob)) * (F.col("__total") - 1))
-        return (F.col("__before") <= place) & (place < after)
-
-    wanted = F.array(*[
-        F.when(holds(p, F.floor) | holds(p, F.ceil), F.struct(
-            F.lit(float(p)).alias("prob"), holds(p, F.floor).alias("low"), holds(p, F.ceil).alias("high"),
-            (F.lit(float(p)) * (F.col("__total") - 1)).alias("place"),
-        ))
-        for p in probs
-    ])
-    rows = ranked.select(*by, "__v", F.explode(F.filter(wanted, lambda w: w.isNotNull())).alias("w"))
-    found = rows.groupBy(*by, F.col("w.prob").alias("prob")).agg(
-        F.max(F.when(F.col("w.low"), F.col("__v"))).cast("double").alias("__lo"),
-        F.max(F.when(F.col("w.high"), F.col("__v"))).cast("double").alias("__hi"),
-        F.max("w.place").alias("__place"),
+    before, after = F.col("__before"), F.col("__before") + F.col("__n")
+    place = lambda p: p * (F.col("__total") - 1)
+    # the ranks next to a place are adjacent: a row matters if its ranks meet them
+    meets = lambda p: (before <= F.ceil(place(p))) & (F.floor(place(p)) < after)
+    held = ranked.where(reduce(or_, [meets(F.lit(float(p))) for p in probs]))
+    listed = F.expr("array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")")
+    rows = held.select("*", F.explode(F.filter(listed, meets)).alias("prob")).withColumn("__place", place(F.col("prob")))
+    holds = lambda rank: (before <= rank) & (rank < after)
+    found = rows.groupBy(*by, "prob").agg(
+        F.max(F.when(holds(F.floor("__place")), F.col("__v"))).cast("double").alias("__lo"),
+        F.max(F.when(holds(F.ceil("__place")), F.col("__v"))).cast("double").alias("__hi"),
+        F.max("__place").alias("__place"),
     )
     part = F.col("__place") - F.floor("__place")
     return found.select(*by, "prob", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * part).alias("quantile"))
