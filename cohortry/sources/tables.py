@@ -14,7 +14,7 @@ SCHEMAS: dict[str, str] = {
     "admissions": "subject_id bigint, hadm_id bigint, admittime timestamp_ntz, dischtime timestamp_ntz, admission_type string, hospital_expire_flag int",
     "patients": "subject_id bigint, gender string, anchor_age int, anchor_year int",
     "omr": "subject_id bigint, chartdate date, seq_num int, result_name string, result_value string",
-    "chartevents": "subject_id bigint, hadm_id bigint, itemid bigint, charttime timestamp_ntz, valuenum double",
+    "chartevents": "subject_id bigint, hadm_id bigint, itemid bigint, charttime timestamp_ntz, value string, valuenum double",
     "labevents": "labevent_id bigint, subject_id bigint, hadm_id bigint, itemid bigint, charttime timestamp_ntz, value string, valuenum double, valueuom string, ref_range_lower double, ref_range_upper double, flag string, priority string",
     "d_labitems": "itemid bigint, label string, fluid string, category string",
     "microbiologyevents": "microevent_id bigint, subject_id bigint, hadm_id bigint, charttime timestamp_ntz, spec_type_desc string, test_name string, org_name string, ab_name string, interpretation string, comments string",
