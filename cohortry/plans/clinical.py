@@ -115,15 +115,34 @@ def labels(admissions: DataFrame, days: int = 30) -> DataFrame:
     return out.select(*KEY, F.col("y1").alias("y1_mortality"), F.col("y2").alias("y2_readmission"))
 
 
-def _omr_value(admissions: DataFrame, omr: DataFrame, part: str, unit: str | None, factor: float, bounds: tuple[float, float]) -> DataFrame:
-    value = num.to_number("result_value")
-    if unit is not None:
-        value = F.when(num.name_contains("result_name", unit), value * F.lit(factor)).otherwise(value)
-    rows = omr.where(num.name_contains("result_name", part)).withColumn("x", num.plausible(value, *bounds))
-    rows = rows.withColumn("tie", F.struct("seq_num", "result_name"))
-    return pick.closest_to_anchor(admissions, rows, "subject_id", "hadm_id", "admittime", "chartdate", "x", "tie").select(
-        "hadm_id", F.col("x").alias(f"omr_{part}")
+# part of the measurement name, unit mark in the name, factor of that unit, plausible range
+_OMR_KINDS = {
+    "height": ("inches", num.UNIT_FACTORS["inch"], num.PLAUSIBLE["height_cm"]),
+    "weight": ("lbs", num.UNIT_FACTORS["lbs"], num.PLAUSIBLE["weight_kg"]),
+    "bmi": (None, 1.0, num.PLAUSIBLE["bmi"]),
+}
+
+
+def _omr_values(admissions: DataFrame, omr: DataFrame) -> DataFrame:
+    """Per visit the outpatient height, weight and BMI nearest to it: one as-of pass over (subject, kind)."""
+    found = []
+    for kind, (unit, factor, bounds) in _OMR_KINDS.items():
+        value = num.to_number("result_value")
+        if unit is not None:
+            value = F.when(num.name_contains("result_name", unit), value * F.lit(factor)).otherwise(value)
+        entry = F.struct(F.lit(kind).alias("kind"), num.plausible(value, *bounds).alias("x"))
+        found.append(F.when(num.name_contains("result_name", kind), entry))
+    measured = pick.dedup(omr, ["subject_id", "chartdate", "result_name"], ["seq_num"])
+    rows = measured.withColumn("e", F.explode(F.filter(F.array(*found), lambda e: e.isNotNull()))).select(
+        F.struct("subject_id", F.col("e.kind").alias("kind")).alias("line"), "chartdate", F.col("e.x").alias("x"),
+        F.struct("seq_num", "result_name").alias("tie"),
+    )
+    kinds = F.explode(F.array(*[F.lit(k) for k in _OMR_KINDS]))
+    wanted = admissions.select("subject_id", "hadm_id", "admittime", kinds.alias("kind")).select(
+        F.struct("subject_id", "kind").alias("line"), "hadm_id", "admittime"
     )
+    near = pick.closest_to_anchor(wanted, rows, "line", "hadm_id", "admittime", "chartdate", "x", "tie")
+    return near.groupBy("hadm_id").agg(*[F.max(F.when(F.col("line.kind") == k, F.col("x"))).alias(f"omr_{k}") for k in _OMR_KINDS])
 
 
 def _chart_units(units: Mapping[int, str]) -> Column:
@@ -140,11 +159,6 @@ def demographics(
     strategy: str = "drop", seed: int = 42,
 ) -> DataFrame:
     """``demographic_vec``: age, sex, height, weight, BMI and three missing flags, imputed from train strata."""
-    measured = pick.dedup(omr, ["subject_id", "chartdate", "result_name"], ["seq_num"])
-    height = _omr_value(admissions, measured, "height", "inches", num.UNIT_FACTORS["inch"], num.PLAUSIBLE["height_cm"])
-    weight = _omr_value(admissions, measured, "weight", "lbs", num.UNIT_FACTORS["lbs"], num.PLAUSIBLE["weight_kg"])
-    bmi = _omr_value(admissions, measured, "bmi", None, 1.0, num.PLAUSIBLE["bmi"])
-
     items = [*CHART_HEIGHT_UNITS, *CHART_WEIGHT_UNITS]
     charted = with_visit(chartevents.where(F.col("itemid").isin(items)), admissions, "charttime", strategy, tol_hours=1)
     tall = charted.where(F.col("itemid").isin(list(CHART_HEIGHT_UNITS))).withColumn(
@@ -159,7 +173,7 @@ def demographics(
     rows = admissions.join(patients, "subject_id", "left").select(
         *KEY, age_at("anchor_age", "anchor_year", "admittime").cast("double").alias("age"), num.encode("gender", num.SEX_CODES).alias("sex")
     )
-    for part in (height, weight, bmi, tall, heavy):
+    for part in (_omr_values(admissions, omr), tall, heavy):
         rows = rows.join(part, "hadm_id", "left")
     rows = rows.select(
         *KEY, "age", "sex", num.prefer("omr_height", "chart_height").alias("height"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import contracts, evaluate, vectors
 from cohortry.plans import clinical
-from cohortry.sources.tables import SCHEMAS, panel_table
+from cohortry.sources.tables import SCHEMAS, panel_table, write_table
 
 T0 = datetime(2020, 1, 1)
 H = lambda h: T0 + timedelta(hours=h)
@@ -90,10 +90,11 @@ def test_cultures(tables, spark):
     assert [(r["hadm_id"], r["panel"], r["text"]) for r in rows] == [(10, "urine_culture", "URINE CULTURE [URINE]: E COLI | CIPRO:R")]
 
 
-def test_training_table_meets_its_contract(tables, spark):
+def test_training_table_meets_its_contract(tables, spark, tmp_path):
+    land = lambda df, name: spark.read.parquet(write_table(df, str(tmp_path / name)))
     t, adm = tables, tables["admissions"]
-    split_table, label_table = clinical.splits(adm), clinical.labels(adm)
-    demographic = clinical.demographics(adm, t["patients"], t["omr"], t["chartevents"], split_table)
+    split_table, label_table = land(clinical.splits(adm), "splits"), land(clinical.labels(adm), "labels")
+    demographic = land(clinical.demographics(adm, t["patients"], t["omr"], t["chartevents"], split_table), "demographics")
     pairs = panel_table(spark, {"urine_culture": [("URINE CULTURE", "URINE")]})
     texts = clinical.feature_texts(
         clinical.diagnosis_history(adm, t["diagnoses_icd"], t["d_icd_diagnoses"]), clinical.discharge_history(adm, t["discharge"]),
@@ -101,7 +102,8 @@ def test_training_table_meets_its_contract(tables, spark):
         clinical.lab_texts(clinical.lab_lines(adm, t["labevents"], t["d_labitems"])),
         clinical.culture_texts(adm, t["microbiologyevents"], pairs),
     )
-    table = clinical.training_table(split_table, label_table, demographic, vectors.embed_many(texts, ["hadm_id", "feature"], "text", 8), 8)
+    embedded = land(vectors.embed_many(land(texts, "texts"), ["hadm_id", "feature"], "text", 8), "embeddings")
+    table = land(clinical.training_table(split_table, label_table, demographic, embedded, 8), "table")
     assert len(clinical.COLUMNS) == 61 and table.count() == 4
     report = contracts.check_contract(
         table, clinical.COLUMNS, {"demographic_vec": ["array<double>"], "triage_embedding": ["array<float>"]}, ["y1_mortality"],
