@@ -82,9 +82,6 @@ def _(t: Tables) -> DataFrame:
     return pf.repetition_stats(t.lineitem, ["l_returnflag", "l_partkey"], "l_suppkey").withColumn("mean", rnd("mean"))
 
 
-_STATUSES = ["F", "O", "P"]
-
-
 @query(
     "crosstab",
     """SELECT o_orderpriority, count(*)::BIGINT AS total, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS F, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS O,
@@ -210,15 +207,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "key_overlap",
-    """WITH k AS (SELECT key, sum(a) AS na, sum(b) AS nb FROM (SELECT o_custkey AS key, 1 AS a, 0 AS b FROM orders WHERE o_orderstatus = 'P'
+    """WITH k AS (SELECT key, sum(a) AS na, sum(b) AS nb FROM (SELECT o_custkey AS key, 1 AS a, 0 AS b FROM orders
       UNION ALL SELECT user_id, 0, 1 FROM events) GROUP BY 1)
 SELECT count(*) FILTER (na > 0)::BIGINT AS keys_a, count(*) FILTER (nb > 0)::BIGINT AS keys_b, count(*) FILTER (na > 0 AND nb > 0)::BIGINT AS common,
        count(*) FILTER (na > 0 AND nb = 0)::BIGINT AS only_a, count(*) FILTER (nb > 0 AND na = 0)::BIGINT AS only_b,
        count(*) FILTER (na > 1)::BIGINT AS repeated_a, count(*) FILTER (nb > 1)::BIGINT AS repeated_b FROM k""",
 )
 def _(t: Tables) -> DataFrame:
-    a = t.orders.where(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("key"))
-    return pf.key_overlap(a, t.events.select(F.col("user_id").alias("key")), "key")
+    return pf.key_overlap(t.orders.select(F.col("o_custkey").alias("key")), t.events.select(F.col("user_id").alias("key")), "key")
 
 
 @query(

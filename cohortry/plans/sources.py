@@ -21,6 +21,16 @@ def _(t: Tables) -> DataFrame:
     return back.select("doc_id", "lang", big(F.length("text")).alias("chars"), F.md5("text").alias("digest"))
 
 
+@query("typed_csv_table", f"SELECT o_orderkey, o_totalprice, {ts_sql('o_orderdate')} AS o_orderdate FROM orders")
+def _(t: Tables) -> DataFrame:
+    """Orders landed as a CSV table, found in the second of two places and read with a declared schema."""
+    root = scratch_path(t.spark, "landing")
+    src.write_text(t.orders, f"{root}/orders.csv", "csv")
+    schema = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz"
+    back = src.read_table(t.spark, "orders", [f"{root}/absent", root], schema, ["o_orderkey", "o_totalprice", "o_orderdate"])
+    return back.withColumn("o_orderdate", ts_text("o_orderdate"))
+
+
 @query("json_round_trip", f"SELECT event_id, event_type, value, {ts_sql('ts')} AS ts FROM events")
 def _(t: Tables) -> DataFrame:
     path = src.write_text(t.events.select("event_id", "event_type", "value", "ts"), scratch_path(t.spark, "json"), "json")
@@ -37,12 +47,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "partitioned_sink",
-    "SELECT p_type AS panel, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('PROMO', 'SMALL') GROUP BY 1",
+    "SELECT p_type AS panel, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
 )
 def _(t: Tables) -> DataFrame:
     kinds = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("panel"))
     path = src.write_by(t.lineitem.join(kinds, "l_partkey"), scratch_path(t.spark, "panels"), "panel")
-    back = t.spark.read.parquet(path).where(F.col("panel").isin("PROMO", "SMALL"))
+    back = t.spark.read.parquet(path)
     return back.groupBy("panel").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 

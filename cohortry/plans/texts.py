@@ -16,18 +16,18 @@ def measurements(t: Tables) -> DataFrame:
     """Line items as lab rows with label, unit, reference range and flag."""
     items = t.part.select(
         F.col("p_partkey").alias("item"), F.col("p_name").alias("label"), F.col("p_type").alias("unit"),
-        F.col("p_size").cast("double").alias("size"), "p_brand",
+        F.col("p_size").cast("double").alias("size"), F.col("p_type").alias("lab_group"),
     )
     starts = visits(t).select("visit_id", "start_ts")
     return spread(visit_labs(t)).join(items, "item").join(starts, "visit_id").select(
-        "visit_id", "line", "item", "ts", "start_ts", "label", "p_brand",
+        "visit_id", "line", "item", "ts", "start_ts", "label",
         F.when(F.col("line") != 5, F.col("value") / 8).alias("number"),
         F.when(F.col("line") == 5, F.lit(" see note ")).alias("text_value"),
         F.when(F.col("unit") != "PROMO", F.col("unit")).alias("unit"),
         F.when(F.col("line") != 2, F.col("size") / 16).alias("low"),
         (F.col("size") / 16 + 3).alias("high"),
         F.when(F.col("flag") == "R", F.lit(" Abnormal ")).alias("flag"),
-        F.col("p_brand").alias("lab_group"),
+        F.col("lab_group"),
     )
 
 
@@ -37,7 +37,7 @@ def lined(t: Tables) -> DataFrame:
 
 
 LINED = f"""{VISITS}, {VISIT_LABS},
-m AS (SELECT visit_id, line, item, ts, start_ts, p_name AS label, p_brand AS lab_group, CASE WHEN line <> 5 THEN value / 8 END AS number,
+m AS (SELECT visit_id, line, item, ts, start_ts, p_name AS label, p_type AS lab_group, CASE WHEN line <> 5 THEN value / 8 END AS number,
         CASE WHEN line = 5 THEN 'see note' ELSE '' END AS text_value, CASE WHEN p_type <> 'PROMO' THEN ' ' || p_type ELSE '' END AS unit,
         CASE WHEN line <> 2 THEN p_size::DOUBLE / 16 END AS low, p_size::DOUBLE / 16 + 3 AS high, flag = 'R' AS flagged,
         greatest(0, epoch_us(ts) - epoch_us(start_ts)) // 60000000 AS mins
@@ -227,17 +227,18 @@ def _(t: Tables) -> DataFrame:
     return top.ordered_text(said, ["conv_id"], "text", ["turn"], "\n")
 
 
+_LAB_GROUPS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     "lab_group_text",
     f"""WITH {LINED}, g AS (SELECT visit_id, lab_group, string_agg(text, chr(10) ORDER BY ts, item, line, text) AS text FROM lined
-        WHERE lab_group IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2)
+        GROUP BY 1, 2)
 SELECT visit_id, lab_group, coalesce(text, '') AS text
-FROM (SELECT visit_id, unnest(['Brand#1', 'Brand#2', 'Brand#3']) AS lab_group FROM visits) LEFT JOIN g USING (visit_id, lab_group)""",
+FROM (SELECT visit_id, unnest({_LAB_GROUPS!r}) AS lab_group FROM visits) LEFT JOIN g USING (visit_id, lab_group)""",
 )
 def _(t: Tables) -> DataFrame:
-    groups = ["Brand#1", "Brand#2", "Brand#3"]
-    lines = lined(t).where(F.col("lab_group").isin(groups))
-    return top.group_text(visits(t), lines, ["visit_id"], "lab_group", groups, "text", ["ts", "item", "line"])
+    return top.group_text(visits(t), lined(t), ["visit_id"], "lab_group", _LAB_GROUPS, "text", ["ts", "item", "line"])
 
 
 @query(
