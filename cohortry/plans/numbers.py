@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions import numbers as num
 from cohortry.functions.times import age_at
 from cohortry.operators import numeric, sampling, vectors
-from cohortry.plans.registry import SUBJECT_SPLIT, VISITS, Tables, big, query, rnd, visits
+from cohortry.plans.registry import SUBJECT_SPLIT, Tables, big, query, rnd, visits
 
 
 def vitals(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.times import elapsed_hhmm, length_of_stay
 from cohortry.operators import windows
 from cohortry.plans.registry import (
-    VISIT_LABS, VISITS, Tables, big, query, rnd, ts_sql, ts_text, visit_labs, visits,
+    VISIT_LABS, VISITS, Tables, query, rnd, ts_sql, ts_text, visit_labs, visits,
 )
 
 _ROWS = f"visit_id, {ts_sql('ts')} AS ts, item, line"
