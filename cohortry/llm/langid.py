@@ -17,15 +17,17 @@ DIM, GRAM = 1024, 3
 PARTS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
-_LETTER: np.ndarray | None = None
+class Letters:
+    """Which code points are letters; the table is as long as the highest one asked for."""
 
+    def __init__(self) -> None:
+        self.table = np.zeros(0, bool)
 
-def _letters() -> np.ndarray:
-    """Whether each code point is a letter, made once a process."""
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
-    return _LETTER
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        top = int(points.max(initial=0)) + 1
+        if top > len(self.table):
+            self.table = np.array([chr(i).isalpha() for i in range(top)])
+        return self.table[points]
 
 
 def _letter_vectors(points: np.ndarray) -> np.ndarray:
@@ -47,10 +49,10 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 def count_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, gram's number, count) of all texts, and the distinct grams. Case is ignored; what is not a letter is a space."""
-    letter, codes, owner = _letters(), [], []
+    letter, codes, owner = Letters(), [], []
     for i, text in enumerate(texts):
         points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        points = np.where(letter[points], points, 0x20) if len(points) else points
+        points = np.where(letter(points), points, 0x20) if len(points) else points
         points = np.concatenate([[0x20], points, [0x20]])
         points = points[np.append(True, (points[1:] != 0x20) | (points[:-1] != 0x20))]
         if len(points) >= GRAM:
