@@ -4,26 +4,25 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The public pattern that splits text before merging, for Java's regular expressions: white space is that of Unicode.
+from cohortry.llm.common import slices
+
+#: The public pattern that splits text before merging; white space is that of Unicode.
 PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
-    r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Maps that the literal of ranks is dealt over: a look-up compares a few keys of one map.
-BUCKETS = 8192
-#: Words of more bytes are merged with a heap, as the fold looks at all pairs for each merge.
-FOLD_BYTES = 96
-#: Words of a chunk of documents that share one list of distinct words.
-CHUNK_WORDS = 6_000_000
+#: Longer words are merged with a heap, as the fold looks at all pairs for each merge.
+FOLD_BYTES = 64
+#: Distinct words whose ids a task keeps; beyond that it begins anew. And words of a text that are looked up at once.
+KEPT_WORDS, STEP = 500_000, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,58 +31,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """An array of maps from the hex digits of a piece to its rank; a piece is in the map that the crc32 of its digits names."""
-    import zlib
-
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """Pieces of a word, as hex digits, after all merges; a word that is a piece itself stays whole.
-
-    The state of the fold is the list of pieces. Each step finds the adjacent pair of least rank (of equal ones the first) and
-    joins it, until no pair has a rank.
-    """
-
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(ranks, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int") + 1), piece)
-
-    def joined(parts: Column, at: Column) -> Column:
-        pair = F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
-        return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(pair), F.slice(parts, at + 2, F.lit(FOLD_BYTES)))
-
-    def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        pairs = F.transform(F.slice(parts, F.lit(2), F.lit(FOLD_BYTES)), lambda x, i: rank(F.concat(F.element_at(parts, i + 1), x)) * F.lit(1024) + i)
-        nothing = F.struct(parts.alias("parts"), F.lit(False).alias("on"))
-        merged = _let(
-            F.array_min(pairs),
-            lambda best: F.when(best.isNull(), nothing).otherwise(
-                F.struct(joined(parts, F.pmod(best, F.lit(1024)) + 1).alias("parts"), (F.size(parts) > 2).alias("on"))
-            ),
-        )
-        return F.when(state["on"], merged).otherwise(state)
-
-    def fold(digits: Column) -> Column:
-        n = F.length(digits) / 2
-        single = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring(digits, i * 2 - 1, F.lit(2)))
-        start = F.struct(single.alias("parts"), (n > 1).alias("on"))
-        return F.when(rank(digits).isNotNull(), F.array(digits)).otherwise(F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step)["parts"])
-
-    def ids(pieces: Column) -> Column:
-        return F.transform(pieces, rank)
-
-    return _let(F.hex(F.encode(word, "UTF-8")), lambda digits: ids(fold(digits)))
+def fold_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word. The state of the fold is the list of pieces, at first its bytes, and the rank of each with its right neighbour;
+    each step joins the pair of least rank, of equal ones the first, until no pair has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > FOLD_BYTES:
+        return merge_long(word, ranks)
+    none = len(ranks) + 1
+    rank = ranks.get
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        i = pairs.index(best)
+        joined = pieces[i] + pieces[i + 1]
+        pieces[i : i + 2] = [joined]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(joined + pieces[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(pieces[i - 1] + joined, none)
+    return [ranks[p] for p in pieces]
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -116,45 +87,6 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of documents: their ids, sizes in words, places in the list of distinct words, and that list."""
-    ids, sizes, places, known, count = [], [], [], None, 0
-
-    def out() -> pa.RecordBatch:
-        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays(
-            [listed(pa.concat_arrays(ids)), listed(pa.concat_arrays(sizes)), listed(pa.concat_arrays(places)), listed(known)],
-            ["ids", "sizes", "places", "words"],
-        )
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        begin, lengths = 0, pc.fill_null(pc.list_value_length(batch.column("words")), 0)
-        total = np.cumsum(lengths.to_numpy(zero_copy_only=False))
-        while begin < batch.num_rows:
-            # cut a batch as well, but never a document
-            base = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, base + max(1, CHUNK_WORDS - count), "right")))
-            piece = batch.slice(begin, end - begin)
-            flat = piece.column("words").flatten()
-            distinct = flat.dictionary_encode()
-            known = distinct.dictionary if known is None else pa.concat_arrays([known, distinct.dictionary])
-            merged = known.dictionary_encode()
-            moved = merged.indices.slice(len(known) - len(distinct.dictionary)).take(distinct.indices)
-            known = merged.dictionary
-            ids.append(piece.column("id"))
-            sizes.append(lengths.slice(begin, end - begin).cast(pa.int64()))
-            places.append(moved.cast(pa.int32()))
-            count += len(flat)
-            begin = end
-            if count >= CHUNK_WORDS:
-                yield out()
-                ids, sizes, places, known, count = [], [], [], None, 0
-    if ids:
-        yield out()
-
-
 def _gathered(values: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``values[bounds[p] : bounds[p + 1]]`` for each place in order, joined; and the bounds of the runs."""
     length = (bounds[1:] - bounds[:-1])[places]
@@ -163,47 +95,41 @@ def _gathered(values: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> tup
     return values[at], np.concatenate([[0], ends])
 
 
+def _packed(text: str, find, known: dict[str, bytes], ranks: dict[bytes, int]) -> bytes:
+    """Ids of a text as little-endian unsigned numbers of 32 bits; ``known`` holds those of words seen before."""
+    out, matches = [], find(text)
+    while words := [m.group() for m in islice(matches, STEP)]:
+        new = set(words).difference(known)
+        if new:
+            if len(known) + len(new) > KEPT_WORDS:
+                known.clear()
+                new = set(words)
+            for w in new:
+                known[w] = np.array(fold_merges(w.encode(), ranks), "<u4").tobytes()
+        out.append(b"".join([known[w] for w in words]))
+    return b"".join(out)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) for each row: the ids that the ranks give, each match of the pattern on its own.
 
-    A scan splits texts into words; chunks of documents are turned to lists of distinct words, so that each is folded once a chunk;
-    the ids are put together in the order of the text. Nothing is shuffled. Null and empty texts have no ids; words of any length
-    are encoded (beyond FOLD_BYTES with a heap). Repeated rows are encoded each; other columns are not looked at.
+    A task folds each distinct word once and keeps its ids (of a bounded number of words); the ids of a text are put together in the
+    order of its words. Nothing is shuffled. Null and empty texts have no ids; words of any length are encoded (long ones with a
+    heap). Repeated rows are encoded each; null ids are kept; other columns are not looked at.
     """
-    kind = dict(docs.select(F.col(doc_id).alias("id")).dtypes)["id"]
-    # null when empty, as there is nothing to extract
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
-    split = docs.select(F.col(doc_id).alias("id"), words.alias("words"))
-    chunks = split.mapInArrow(_chunks, f"ids array<{kind}>, sizes array<long>, places array<int>, words array<string>")
-    literal = rank_literal(ranks)
-    folded = F.transform("words", lambda w: F.when(F.octet_length(w) <= FOLD_BYTES, fold_merges(w, literal)))
-    long_words = F.filter("words", lambda w: F.octet_length(w) > FOLD_BYTES)
-    chunks = chunks.select("ids", "sizes", "places", folded.alias("pieces"), long_words.alias("long_words"))
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                pieces = row.column("pieces").flatten()
-                length = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                values = pieces.flatten().to_numpy(zero_copy_only=False)
-                late = row.column("long_words").flatten().to_pylist()
-                if late:
-                    runs = np.split(values, np.cumsum(length)[:-1])
-                    for place, word in zip(np.flatnonzero(pc.is_null(pieces).to_numpy(zero_copy_only=False)), late):
-                        runs[place] = np.array(merge_long(word.encode(), ranks), np.int32)
-                        length[place] = len(runs[place])
-                    values = np.concatenate(runs)
-                bounds = np.concatenate([[0], np.cumsum(length)])
-                ids, ends = _gathered(values.astype(np.int32), bounds, row.column("places").flatten().to_numpy())
-                words = np.concatenate([[0], np.cumsum(row.column("sizes").flatten().to_numpy())])
-                for begin in range(0, len(words) - 1, 256):
-                    own = ends[words[begin : begin + 257]]
-                    listed = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(ids[own[0] : own[-1]], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([row.column("ids").flatten().slice(begin, 256), listed], ["id", "ids"])
-
-    made = chunks.mapInArrow(joined, f"id {kind}, ids array<int>")
-    return made.select(F.col("id").alias(doc_id), "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, known = regex.compile(PATTERN).finditer, {}
+        for batch in slices(batches, "text"):
+            packed = [_packed(t, find, known, ranks) if t else b"" for t in batch.column("text").to_pylist()]
+            bounds = np.cumsum([0, *map(len, packed)]) // 4
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["id", "ids"])
+
+    chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, ids array<int>").withColumnRenamed("id", doc_id)
 
 
 def decode_digests(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
