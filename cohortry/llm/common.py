@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words, and a word, as Java regular expressions.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -20,6 +21,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Letters and digits of ASCII, and every byte of a longer UTF-8 sequence.
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: log2 of the bits of a filter, 1 MB: for some million values.
+FILTER_BITS = 23
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -85,6 +88,28 @@ def constants(seed: int, n: int) -> np.ndarray:
     return mix(at * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Two bits for each value of the column ``h`` (64-bit hashes) in a filter of ``2 ** bits`` bits.
+
+    At most ``2 ** bits / 64`` numbers reach the driver, whatever the data; a fuller filter passes more, it never misses a value.
+    """
+    bit = F.explode(F.array(*(F.shiftrightunsigned("h", s).bitwiseAND((1 << bits) - 1) for s in (0, 27)))).alias("bit")
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))"))
+    found = hashes.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(mask.alias("mask")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def passes(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    hit, top = np.ones(len(hashes), bool), np.uint64(len(filled) * 64 - 1)
+    for shift in (0, 27):
+        at = (hashes >> np.uint64(shift)) & top
+        hit &= (filled[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return hit
+
+
 class Words:
     """The words of several texts: ``hash`` of each, and ``bounds`` of each text's words.
 

@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Words, constants, lower_ascii, mix, slices, utf8, written
+from cohortry.llm.common import Words, bit_filter, constants, mix, passes, slices, utf8, written
 
 #: Tokens in a window, and how many of them must be plain words for a window of that length to say anything.
 WIDTH, PLAIN = 8, 3
 #: A document repeats an item if it has at least this share of the item's windows and of its slots one consistent value each.
 COVERAGE, CONSISTENT = 0.5, 0.8
-#: log2 of the bits of the filter; its size doesn't depend on the benchmark.
-FILTER_BITS = 22
 UNITS = (
     "mm cm m km in inch inches ft feet yd yards mi mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gal s sec "
     "second seconds min minute minutes h hr hour hours day days week weeks month months year years percent pct dollar dollars usd "
@@ -44,7 +42,7 @@ def _templates(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH):
         kept, digits = words.sums(words.kept), words.sums(words.kept & _DIGIT[data])
         upper = words.sums(words.kept & _UPPER[data])
         # where a word's first letter stands: its first kept byte
-        first = np.flatnonzero(words.kept)[np.cumsum(kept) - kept] if n else words.starts
+        first = np.flatnonzero(words.kept)[np.cumsum(kept) - kept]
         titled = (_UPPER[data[first]]) & (upper == 1) & (kept > 1)
         kind[titled] = _NAME
         kind[np.isin(value, _unit_hashes())] = _UNIT
@@ -72,12 +70,7 @@ def _windows(batch: pa.RecordBatch, bits: np.ndarray | None):
     words, slot, hashes, ok = _templates(data, bounds)
     at = np.flatnonzero(ok)
     if bits is not None and len(at):
-        h = hashes[at]
-        hit = np.ones(len(at), bool)
-        for shift in (0, 21):
-            where = (h >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-            hit &= (bits[(where >> np.uint64(6)).astype(np.int64)] >> (where & np.uint64(63))) & np.uint64(1) == 1
-        at = at[hit]
+        at = at[passes(bits, hashes[at])]
     row = np.searchsorted(words.bounds, at, "right") - 1
     padded = np.concatenate([slot, np.zeros(WIDTH, np.uint64)]).view(np.int64)
     values = [padded[i : min(i + WIDTH, e)] for i, e in zip(at, words.bounds[row + 1])]
@@ -99,16 +92,6 @@ def template_windows(df: DataFrame, row_id: str, text: str, bits: np.ndarray | N
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, at long, h long, slots array<long>")
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
-    """Two bits for each window of the benchmark; at most 2 ** FILTER_BITS / 64 numbers reach the driver, whatever its size."""
-    bit = F.explode(F.array(*(F.shiftrightunsigned("h", s).bitwiseAND((1 << FILTER_BITS) - 1) for s in (0, 21)))).alias("bit")
-    words = windows.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for word, mask in words.toLocalIterator():
-        bits[word] = np.int64(mask).view(np.uint64)
-    return bits
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, consistency`` for each document that repeats an item, also with other values.
 
@@ -121,8 +104,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Rows of one id count as one document, null is an id like any other. Null, empty and very short texts match nothing; with an
     empty benchmark the result is empty. Repeated items are found each. Other columns are not looked at.
     """
-    items = written(template_windows(benchmark.withColumns({}), item_id, item_text), "items")
-    found = template_windows(docs, doc_id, text, _filter(items))
+    items = written(template_windows(benchmark, item_id, item_text), "items")
+    found = template_windows(docs, doc_id, text, bit_filter(items.select("h")))
     items = items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     hits = found.join(items, "h").select(F.col("id").alias("doc"), "item", "item_at", "slots", "item_slots")
     sizes = items.groupBy("item").agg(F.countDistinct("item_at").alias("n_item_windows"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Words, constants, mix, slices, utf8, written
+from cohortry.llm.common import Words, bit_filter, constants, mix, passes, slices, utf8, written
 from cohortry.llm.components import connected_components
 
 #: Words in a shingle, per cent of similarity that links, bands and registers in a band. Two texts at the threshold of 85 % miss
@@ -68,34 +68,34 @@ def super_minhash(sets: list[np.ndarray], m: int = BANDS * ROWS, chunk: int = 1
     return held
 
 
-def _fingerprints(sets: list[np.ndarray]) -> list[str | None]:
-    """128 bits of each set as text; equal sets have equal ones. None for an empty set."""
+def _fingerprints(sets: list[np.ndarray]) -> pa.Array:
+    """128 bits of each set; equal sets have equal ones. Null for an empty set."""
     seeds = constants(13, 2)
-    return [None if not len(s) else "".join(f"{int(mix(s ^ c).sum(dtype=np.uint64)):016x}" for c in seeds) for s in sets]
+    return pa.array([np.array([mix(s ^ c).sum(dtype=np.uint64) for c in seeds]).tobytes() if len(s) else None for s in sets], pa.binary())
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles, fp`` (128 bits of the set, null if empty) and ``bands`` (a number for each band, null if empty)."""
-    factors = constants(17, ROWS)
+    factors, numbers = constants(17, ROWS), constants(19, BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingles(*utf8(batch.column("text")))
             held = super_minhash(sets).view(np.uint64).reshape(len(sets), BANDS, ROWS)
-            bands = mix((mix(held) * factors).sum(axis=2, dtype=np.uint64)).view(np.int64)
+            bands = mix((mix(held) * factors).sum(axis=2, dtype=np.uint64) + numbers).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_fingerprints(sets), pa.string()),
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), _fingerprints(sets),
                  pa.array([b if len(s) else None for b, s in zip(bands, sets)], pa.list_(pa.int64()))],
                 ["id", "n_shingles", "fp", "bands"],
             )
 
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, n_shingles long, fp string, bands array<long>")
+    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, n_shingles long, fp binary, bands array<long>")
 
 
 def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links within one block, or between two: a spanning forest of them, by exact counts on whole sets."""
-    pdf = pdf.sort_values("fp")
+    pdf = pdf.drop_duplicates("fp").sort_values("fp")
     sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
     fps, part = pdf["fp"].tolist(), pdf["part"].to_numpy()
     n = np.array([len(s) for s in sets])
@@ -148,26 +148,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = rows.where("fp is not null and id is not null")
     # the bands of equal sets are equal
     classes = written(known.groupBy("fp").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands")), "classes")
-    banded = classes.select("fp", F.posexplode("bands").alias("band", "value"))
-    crowded = banded.groupBy("band", "value").agg(F.min("fp").alias("pivot"), F.max("fp").alias("other")).where("pivot <> other")
-    stars = banded.join(crowded.drop("other"), ["band", "value"]).where("fp <> pivot").select("fp", "pivot").distinct()
+    banded = classes.select("fp", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    banded = written(banded.join(crowded, "band"), "crowded")
+    pivots = banded.groupBy("band").agg(F.min("fp").alias("pivot"))
+    stars = banded.join(pivots, "band").where("fp <> pivot").select("fp", "pivot").distinct()
     groups = connected_components(stars, "fp", "pivot")
 
     members = groups.join(classes.drop("bands"), groups["node"] == classes["fp"]).select("fp", "id", "n", F.col("component").alias("grp"))
     blocks = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = written(members.join(blocks, "grp").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks"))), "members")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = shingles(*utf8(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(sets), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], ["made", "shingles"])
+    bits = bit_filter(members.select(F.xxhash64("id").alias("h")))
 
-    asked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id").select("text")
-    sets = asked.mapInArrow(sets_of, "made string, shingles binary").dropDuplicates(["made"])
-    work = members.join(sets, members["fp"] == sets["made"]).drop("made")
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.filter(pa.array(passes(bits, batch.column("h").to_numpy().view(np.uint64))))
+            for part in slices([chosen], "text"):
+                sets = shingles(*utf8(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("asked"), _fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["asked", "made", "shingles"])
+
+    asked = docs.select(F.col(doc_id).alias("asked"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
+    sets = asked.mapInArrow(sets_of, f"asked {dict(asked.dtypes)['asked']}, made binary, shingles binary")
+    work = members.join(sets, (F.col("fp") == F.col("made")) & (F.col("id") == F.col("asked")))
     work = work.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("grp", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "fp", "shingles")
-    links = work.groupBy("grp", "lo", "hi").applyInPandas(_verified, "a string, b string")
+    links = work.groupBy("grp", "lo", "hi").applyInPandas(_verified, "a binary, b binary")
 
     linked = connected_components(links, "a", "b").join(classes.select("fp", "id"), F.col("node") == F.col("fp"))
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
