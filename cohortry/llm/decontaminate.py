@@ -98,8 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ASCII punctuation is left out and A-Z counts as a-z. Words of digits, words in Title case and units become placeholders; a window
     is eight words, three of them plain (a shorter item of five words or more, mostly plain, is one window). Windows of documents
     first pass a filter of fixed size and are then joined by hash. A document repeats an item if it holds half of its windows
-    and its slots are filled consistently: of all matches of a slot value of the item, at least 80 % have that value's most
-    frequent partner. Other numbers or names in the same places are thus found; chance fits of templates are not.
+    and its slots are filled consistently: at least 80 % of the item's slots have the most frequent partner of their value. Other numbers or names in the same places are thus found; chance fits of templates are not.
 
     Rows of one id count as one document, null is an id like any other. Null, empty and very short texts match nothing; with an
     empty benchmark the result is empty. Repeated items are found each. Other columns are not looked at.
@@ -112,8 +111,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # one row for each window of an item in a document, then whole items
     matched = hits.select("doc", "item", "item_at").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"))
     matched = matched.join(sizes, matched["item"].eqNullSafe(sizes["item"])).drop(sizes["item"]).where(F.col("n_windows") >= COVERAGE * F.col("n_item_windows"))
-    pairs = hits.select("doc", "item", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots <> 0")
-    pairs = pairs.groupBy("doc", "item", F.col("p.item_slots").alias("want"), F.col("p.slots").alias("has")).agg(F.count(F.lit(1)).alias("n"))
+    # a slot counts once for each value it has in the document, however many windows hold it
+    zipped = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "p")
+    pairs = hits.select("doc", "item", "item_at", zipped).where("p.item_slots <> 0")
+    pairs = pairs.select("doc", "item", (F.col("item_at") + F.col("k")).alias("at"), F.col("p.item_slots").alias("want"), F.col("p.slots").alias("has")).distinct()
+    pairs = pairs.groupBy("doc", "item", "want", "has").agg(F.count(F.lit(1)).alias("n"))
     slots = pairs.groupBy("doc", "item", "want").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     slots = slots.groupBy(F.col("doc").alias("d"), F.col("item").alias("i")).agg((F.sum("most") / F.sum("n")).alias("consistency"))
     judged = matched.join(slots, matched["doc"].eqNullSafe(slots["d"]) & matched["item"].eqNullSafe(slots["i"]), "left")
