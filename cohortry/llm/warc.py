@@ -151,13 +151,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Spark cuts files in byte ranges and reads each from its first gzip magic to the end of the member that begins last in it, as it
     reads lines; the magic is the separator. A magic may also stand inside a member by chance: a piece counts as a member's beginning
     only if it inflates to the head of a WARC record, else it continues the member before it. Members that such a magic cuts at the
-    edge of a range are put together afterwards by file and place. Files named ``.gz`` are read as they are, but Hadoop doesn't cut
-    files of that name; those of ``write_warc`` have another. Length and digest of a response are those of what was read.
+    edge of a range are put together afterwards by file and place. A file named ``.gz`` is refused, as Hadoop would inflate it before it is
+    cut; ``write_warc`` gives another name. Length and digest of a response are those of what was read.
     """
-    pieces = (
-        spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
-        .option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec").option("io.compress.passthrough.extension", ".gz").text(path)
-    )
+    pieces = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = pieces.select(
         F.col("value").cast("binary").alias("piece"), F.input_file_name().alias("file"), F.input_file_block_start().alias("begin")
     )
@@ -176,6 +173,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows, left = [], []
             for piece, file, begin in zip(*(batch.column(c).to_pylist() for c in ("piece", "file", "begin"))):
+                if file.endswith(".gz"):
+                    raise ValueError(f"{file} was inflated because of its name; give archives a name without .gz")
                 if (file, begin) != at:
                     if at is not None and joiner.open is not None:
                         left.append(rest(at, joiner.open, place))
