@@ -106,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = written(template_windows(benchmark, item_id, item_text), "items")
     found = template_windows(docs, doc_id, text, bit_filter(items.select("h")))
     items = items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    hits = found.join(items, "h").select(F.col("id").alias("doc"), "item", "item_at", "slots", "item_slots")
+    hits = written(found.join(items, "h").select(F.col("id").alias("doc"), "item", "item_at", "slots", "item_slots"), "hits")
     sizes = items.groupBy("item").agg(F.countDistinct("item_at").alias("n_item_windows"))
     # one row for each window of an item in a document, then whole items
     matched = hits.select("doc", "item", "item_at").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"))
