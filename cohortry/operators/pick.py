@@ -20,6 +20,11 @@ def _names(c: str | Sequence[str]) -> list[str]:
     return [c] if isinstance(c, str) else list(c)
 
 
+def nulls_last(*cols: str) -> Column:
+    """An order in which a missing value of a column comes after all others."""
+    return F.struct(*(x for c in cols for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))))
+
+
 def _row_pick(df: DataFrame, keys: Sequence[str], order: Column, smallest: bool = True) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     pick = F.min_by if smallest else F.max_by
@@ -69,22 +74,19 @@ def closest_abs(
 
 
 def earliest(df: DataFrame, keys: str | Sequence[str], value: str, ts: str, tie: str) -> DataFrame:
-    return (
-        df.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
-        .groupBy(*_names(keys))
-        .agg(F.min_by(value, F.struct(ts, tie)).alias(value))
-    )
+    """First value in time; undated rows come last, and count where a group has no others."""
+    return df.where(F.col(value).isNotNull()).groupBy(*_names(keys)).agg(F.min_by(value, nulls_last(ts, tie)).alias(value))
 
 
 def by_priority_then_time(
     df: DataFrame, keys: str | Sequence[str], value: str, rank: Column, ts: str, tie: str
 ) -> DataFrame:
-    """Lowest rank first, then the earliest time; rows without a rank are left out."""
+    """Lowest rank first, then the earliest time, undated rows last; rows without a rank are left out."""
     return (
         df.withColumn("__rank", rank)
         .where(F.col(value).isNotNull() & F.col("__rank").isNotNull())
         .groupBy(*_names(keys))
-        .agg(F.min_by(value, F.struct("__rank", ts, tie)).alias(value))
+        .agg(F.min_by(value, nulls_last("__rank", ts, tie)).alias(value))
     )
 
 
@@ -104,8 +106,8 @@ def latest_row(df: DataFrame, keys: str | Sequence[str], ts: str, tie: str) -> D
 
 
 def dedup(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
-    """The first row per key in the declared order."""
-    return _row_pick(df, _names(keys), F.struct(*_names(order)))
+    """The first row per key in the declared order; missing order values come last."""
+    return _row_pick(df, _names(keys), nulls_last(*_names(order)))
 
 
 def sample_per_key(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
@@ -120,7 +122,7 @@ def distinct_catalogue(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def first_value_text(
     cohort: DataFrame, df: DataFrame, keys: str | Sequence[str], value: str, order: str | Sequence[str], default: str = ""
 ) -> DataFrame:
-    """First non-null text per cohort key, or the default."""
+    """First non-null text per cohort key, or the default; missing order values come last."""
     keys = _names(keys)
-    first = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, F.struct(*_names(order))).alias(value))
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, nulls_last(*_names(order))).alias(value))
     return cohort.select(*keys).join(first, keys, "left").select(*keys, F.coalesce(value, F.lit(default)).alias(value))

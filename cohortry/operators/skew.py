@@ -48,11 +48,6 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row), F.lit(True))
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only where a count proves the table small; beyond that a shuffle join (AQE splits skew)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def text_order(c: Column | str) -> Column:
     """Number that rises with the byte order of a string (its first six bytes)."""
     return F.conv(F.rpad(F.substring(F.hex(as_col(c)), 1, 12), 12, "0"), 16, 10).cast("long")

@@ -224,10 +224,14 @@ def triage_and_complaint(admissions: DataFrame, edstays: DataFrame, triage: Data
     linked = linkage.link_next_after(linked, admissions, "subject_id", "hadm_id", "intime", "admittime")
     first = pick.dedup(linked, KEY, ["stay_id"])
     names = ["temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "acuity"]
-    said = first.select(*KEY, tx.fill_template(tx.TRIAGE_TEMPLATE, {n: n for n in names}).alias("triage_text"))
+    told = F.col("chiefcomplaint") if "chiefcomplaint" in first.columns else F.lit(None).cast("string")
+    text = tx.fill_template(tx.TRIAGE_TEMPLATE, {n: n for n in names}).alias("triage_text")
+    said = first.select(*KEY, text, F.nullif(F.trim(told), F.lit("")).alias("__told"))
     asked = chartevents.where(F.col("itemid") == CHIEF_COMPLAINT_ITEM).withColumnRenamed("value", "chief_complaint_text")
     complaint = pick.first_value_text(said, linkage.drop_null_key(asked, "hadm_id"), KEY, "chief_complaint_text", ["charttime", "chief_complaint_text"])
-    return said.join(complaint, KEY)
+    # what triage took down counts; the chart serves where it has nothing
+    found = said.join(complaint, KEY)
+    return found.withColumn("chief_complaint_text", F.coalesce("__told", "chief_complaint_text")).drop("__told")
 
 
 def lab_lines(
@@ -235,7 +239,7 @@ def lab_lines(
     strategy: str = "drop", tol_hours: float = 2,
 ) -> DataFrame:
     """One text line per lab event inside the window, with its lab group."""
-    items = d_labitems.where(~F.trim("fluid").isin(panels.ARTEFACT_FLUIDS)).select(
+    items = d_labitems.where(~F.coalesce(F.trim("fluid").isin(panels.ARTEFACT_FLUIDS), F.lit(False))).select(
         "itemid", "label", panels.lab_group_of("fluid", "category").alias("lab_group")
     ).where(F.col("label").isNotNull())
     events = with_visit(labevents, admissions, "charttime", strategy, asof=True, tol_hours=tol_hours)

@@ -123,3 +123,50 @@ def _(t: Tables) -> DataFrame:
     told = visits(t).withColumn("complaint", F.when(F.col("died") == 1, F.col("priority")))
     cohort = t.customer.select(F.col("c_custkey").alias("subject_id"))
     return pick.first_value_text(cohort, told, "subject_id", "complaint", ["start_ts", "visit_id"])
+
+
+_UNDATED = "SELECT *, CASE WHEN flag <> 'R' THEN ts END AS t FROM visit_labs"
+
+
+def _undated(t: Tables) -> DataFrame:
+    """Measurements of which those flagged R have lost their time."""
+    return visit_labs(t).withColumn("ts", F.when(F.col("flag") != "R", F.col("ts")))
+
+
+@query(
+    "earliest_undated",
+    f"""WITH {VISIT_LABS}, u AS ({_UNDATED}) SELECT visit_id, value FROM u
+QUALIFY row_number() OVER (PARTITION BY visit_id ORDER BY t NULLS LAST, item, line, value) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return pick.earliest(_tied(_undated(t)), "visit_id", "value", "ts", "tie")
+
+
+@query(
+    "priority_pick_undated",
+    f"""WITH {VISIT_LABS}, u AS ({_UNDATED}) SELECT visit_id, value FROM u
+QUALIFY row_number() OVER (PARTITION BY visit_id ORDER BY line % 2, t NULLS LAST, item, line, value) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return pick.by_priority_then_time(_tied(_undated(t)), "visit_id", "value", F.col("line") % 2, "ts", "tie")
+
+
+@query(
+    "dedup_undated",
+    f"""WITH {VISIT_LABS}, u AS ({_UNDATED}) SELECT visit_id, {ts_sql('t')} AS ts, item, line, value FROM u
+QUALIFY row_number() OVER (PARTITION BY visit_id ORDER BY t NULLS LAST, item, line, value) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    rows = _undated(t).select("visit_id", "ts", "item", "line", "value")
+    return pick.dedup(rows, "visit_id", ["ts", "item", "line", "value"]).withColumn("ts", ts_text("ts"))
+
+
+@query(
+    "first_value_undated",
+    f"""WITH {VISIT_LABS}, u AS ({_UNDATED}), f AS (SELECT visit_id, flag FROM u
+      QUALIFY row_number() OVER (PARTITION BY visit_id ORDER BY t NULLS LAST, item, line, value) = 1)
+SELECT o_orderkey AS visit_id, coalesce(flag, '') AS flag FROM orders LEFT JOIN f ON o_orderkey = visit_id""",
+)
+def _(t: Tables) -> DataFrame:
+    cohort = t.orders.select(F.col("o_orderkey").alias("visit_id"))
+    return pick.first_value_text(cohort, _undated(t), "visit_id", "flag", ["ts", "item", "line", "value"])

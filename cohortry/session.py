@@ -38,8 +38,11 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a temporary folder is used.
+    Where the session names none, a session in one process takes a temporary folder; on a cluster that is an error, as each executor
+    would write to a disk of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="cohortry-")
     return f"{root}/{label}-{uuid.uuid4().hex}"
