@@ -78,6 +78,3 @@ def queries() -> dict[str, Query]:
     own = [op1_secrets, op2_near_duplicates, op3_bpe, op4_language, op5_urls, op6_decontamination, op7_shards, op8_quality, op9_pii, op10_warc]
     return {f.__name__: f for f in own}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
