@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule
+from cohortry.functions.times import micros
 from cohortry.operators.skew import prefix_sums, text_order
 
 # Lab groups.
@@ -157,14 +158,15 @@ def action_index(df: DataFrame, c: str, order: str, index: str = "action") -> Da
     """
     first = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias("first_seen"))
     # equal moments: count items per moment, offset the moments, then rank inside one moment
-    moments = first.groupBy("first_seen").agg(F.count(F.lit(1)).alias("__n"))
-    numeric = dict(df.dtypes)[order] not in ("timestamp_ntz", "timestamp", "date", "string")
-    if not numeric:
-        raise ValueError("action_index needs a numeric order column")
-    offsets = prefix_sums(moments, [], "first_seen", {"__before": "__n"}).drop("__n")
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        raise ValueError("action_index needs a number, date or timestamp to order by")
+    first = first.withColumn("__at", micros("first_seen") if kind in ("timestamp_ntz", "timestamp", "date") else F.col("first_seen"))
+    moments = first.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = prefix_sums(moments, [], "__at", {"__before": "__n"}).drop("__n")
     inside = F.struct(F.col(c))
-    ranked = first.withColumn("__r", F.row_number().over(Window.partitionBy("first_seen").orderBy(inside)) - 1)
-    return ranked.join(offsets, "first_seen").select(c, "first_seen", (F.col("__r") + F.col("__before")).alias(index))
+    ranked = first.withColumn("__r", F.row_number().over(Window.partitionBy("__at").orderBy(inside)) - 1)
+    return ranked.join(offsets, "__at").select(c, "first_seen", (F.col("__r") + F.col("__before")).alias(index))
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, on: Sequence[str], how: str = "left", fill: str | None = "") -> DataFrame:

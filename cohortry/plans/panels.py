@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators import panels as pan
-from cohortry.plans.registry import Tables, big, query
+from cohortry.plans.registry import Tables, big, query, ts_sql, ts_text
 from cohortry.sources.tables import lookup_table, panel_table
 
 # part types and brands in the place of fluids and categories
@@ -181,9 +181,9 @@ def _(t: Tables) -> DataFrame:
     return pan.lookup(facts, titles, ["l_partkey"], how="inner")
 
 
-@query("valid_dictionary", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("valid_dictionary", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def _(t: Tables) -> DataFrame:
-    facts = t.lineitem.where(F.col("l_quantity") > 49).select(F.col("l_partkey").alias("p_partkey"))
+    facts = t.lineitem.select(F.col("l_partkey").alias("p_partkey"))
     return pan.valid_dictionary(t.part.select("p_partkey", "p_name"), facts, ["p_partkey"])
 
 
@@ -213,3 +213,13 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return pan.action_index(t.lineitem, "l_partkey", "l_orderkey").withColumn("action", big("action"))
+
+
+@query(
+    "action_index_dates",
+    f"""WITH f AS (SELECT l_partkey, min(l_shipdate) AS t FROM lineitem GROUP BY 1)
+       SELECT l_partkey, {ts_sql('t')} AS first_seen, (row_number() OVER (ORDER BY t, l_partkey) - 1)::BIGINT AS action FROM f""",
+)
+def _(t: Tables) -> DataFrame:
+    ranked = pan.action_index(t.lineitem, "l_partkey", "l_shipdate")
+    return ranked.select("l_partkey", ts_text("first_seen").alias("first_seen"), big("action").alias("action"))

@@ -17,7 +17,7 @@ from cohortry.sources import tables as src
 def _(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "lang", "text")
     path = src.write_text(rows, scratch_path(t.spark, "csv"), "csv")
-    back = src.read_csv(t.spark, path, "doc_id bigint, lang string, text string")
+    back = src.read_csv(t.spark, path, "doc_id bigint, lang string, text string", multi_line=True)
     return back.select("doc_id", "lang", big(F.length("text")).alias("chars"), F.md5("text").alias("digest"))
 
 

@@ -48,6 +48,10 @@ def find_source(spark: SparkSession, name: str, roots: Sequence[str]) -> str | N
     return None
 
 
+#: Tables whose texts hold line breaks.
+NOTE_TABLES = ("discharge", "radiology")
+
+
 def read_table(
     spark: SparkSession,
     name: str,
@@ -55,8 +59,11 @@ def read_table(
     schema: str | T.StructType,
     cols: Sequence[str] | None = None,
     optional: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Typed scan of a CSV table (quoted cells may span lines); columns are matched by header name.
+    """Typed scan of a CSV table; columns are matched by header name.
+
+    With ``multi_line`` quoted cells may span lines, but a file is then one split; by default that holds for tables of notes only.
 
     A ``.gz`` file is one split: land big ones once as parquet.  An optional table that does not exist
     gives an empty typed frame.
@@ -67,13 +74,14 @@ def read_table(
         if optional:
             return empty_table(spark, wanted).select(*(cols or wanted.fieldNames()))
         raise FileNotFoundError(f"no {name}.csv.gz or {name}.csv under {roots}")
-    header = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).columns
+    spans = str(name in NOTE_TABLES if multi_line is None else multi_line).lower()
+    header = spark.read.option("header", "true").option("multiLine", spans).option("escape", '"').csv(path).columns
     types = {f.name: f.dataType for f in wanted.fields}
     on_file = T.StructType([T.StructField(h, types.get(h, T.StringType()), True) for h in header])
     lacking = [n for n in (cols or wanted.fieldNames()) if n not in header]
     if lacking:
         raise ValueError(f"{path} lacks the columns {lacking}")
-    scan = spark.read.schema(on_file).option("header", "true").option("multiLine", "true").option("escape", '"')
+    scan = spark.read.schema(on_file).option("header", "true").option("multiLine", spans).option("escape", '"')
     return scan.csv(path).select(*(cols or wanted.fieldNames()))
 
 
@@ -134,10 +142,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
     return spark.read.schema(_schema(schema)).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return (
-        spark.read.schema(_schema(schema)).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; ``multi_line`` where quoted cells span lines, which makes each file one split."""
+    scan = spark.read.schema(_schema(schema)).option("header", "true").option("multiLine", str(multi_line).lower())
+    return scan.option("escape", '"').csv(path)
 
 
 def read_sql(

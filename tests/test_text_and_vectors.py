@@ -305,3 +305,15 @@ def test_profile_helpers(spark):
     assert got == {("a", "b"): 1}
     wide = profile.to_matrix(profile.rate_matrix(df, "u", "i", F.col("i") == "a", 5, 1), "u", "i", "pct", ["a", "b"])
     assert {r["u"]: (r["a"], r["b"]) for r in wide.collect()} == {1: (100.0, 0.0), 2: (None, 0.0)}
+
+
+def test_csv_is_cut_unless_cells_span_lines(spark, tmp_path):
+    (tmp_path / "labevents.csv").write_text("subject_id,hadm_id\n" + "".join(f"{i},{i}\n" for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+        read = lambda **more: src.read_table(spark, "labevents", str(tmp_path), "subject_id long, hadm_id long", **more)
+        assert read().rdd.getNumPartitions() > 3 and read().count() == 20000
+        assert read(multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
