@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule
 from cohortry.functions.times import micros
-from cohortry.operators.skew import prefix_sums, text_order
+from cohortry.operators.skew import prefix_sums
 
 # Lab groups.
 ARTEFACT_FLUIDS = ["I", "Q", "fluid"]
@@ -137,16 +137,15 @@ def one_hot(df: DataFrame, c: str, levels: Sequence | None = None, prefix: str |
     return df.select(*rest, *flags)
 
 
-def dense_codes(values: DataFrame, c: str, order: str, code: str, piece_by: Column | None = None) -> DataFrame:
+def dense_codes(values: DataFrame, c: str, order: str, code: str) -> DataFrame:
     """0-based position of each distinct value in the given order, without one task over all values."""
-    return prefix_sums(values.withColumn("__one", F.lit(1)), [], order, {code: "__one"}, piece_by=piece_by).drop("__one")
+    return prefix_sums(values.withColumn("__one", F.lit(1)), [], order, {code: "__one"}).drop("__one")
 
 
 def category_codes(df: DataFrame, c: str, code: str = "code") -> DataFrame:
     """Integer codes in sorted order of the values; NULL gives -1."""
     values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("__v")).distinct()
-    piece_by = text_order("__v") if dict(df.dtypes)[c] == "string" else None
-    codes = dense_codes(values, "__v", "__v", code, piece_by)
+    codes = dense_codes(values, "__v", "__v", code)
     joined = df.join(codes, F.col(c) == F.col("__v"), "left").drop("__v")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1)).cast("long"))
 
@@ -157,16 +156,8 @@ def action_index(df: DataFrame, c: str, order: str, index: str = "action") -> Da
     Items first seen at the same moment are ordered by the item itself.
     """
     first = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias("first_seen"))
-    # equal moments: count items per moment, offset the moments, then rank inside one moment
-    kind = dict(df.dtypes)[order]
-    if kind == "string":
-        raise ValueError("action_index needs a number, date or timestamp to order by")
-    first = first.withColumn("__at", micros("first_seen") if kind in ("timestamp_ntz", "timestamp", "date") else F.col("first_seen"))
-    moments = first.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = prefix_sums(moments, [], "__at", {"__before": "__n"}).drop("__n")
-    inside = F.struct(F.col(c))
-    ranked = first.withColumn("__r", F.row_number().over(Window.partitionBy("__at").orderBy(inside)) - 1)
-    return ranked.join(offsets, "__at").select(c, "first_seen", (F.col("__r") + F.col("__before")).alias(index))
+    placed = first.withColumn("__at", F.struct("first_seen", c))
+    return dense_codes(placed, c, "__at", index).select(c, "first_seen", index)
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, on: Sequence[str], how: str = "left", fill: str | None = "") -> DataFrame:

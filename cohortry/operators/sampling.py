@@ -70,7 +70,7 @@ def balance_oversample(df: DataFrame, y: str, key: str | Sequence[str], seed: st
     """Copies of the smaller classes until every class is as large as the largest.
 
     Every row is copied equally often and the remainder goes to the lowest hashes; ``copy`` is 0 for originals.
-    Where a class is so small that a row is copied very often, its copies are made in chunks by many tasks.
+    Copies are made in chunks, so that the copies of one row of a very small class are made by many tasks.
     """
     key = [key] if isinstance(key, str) else list(key)
     sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n").alias("__max"), F.min("__n").alias("__min"))
@@ -79,12 +79,8 @@ def balance_oversample(df: DataFrame, y: str, key: str | Sequence[str], seed: st
     extra = F.col("__max") - size
     last = (F.floor(extra / size) + F.when(rank <= extra % size, 1).otherwise(0)).cast("long")
     rows = ranked.select(*df.columns, last.alias("__last"))
-    largest, smallest = sizes.first()
-    if largest is not None and largest > COPY_CHUNK * smallest:
-        starts = F.sequence(F.lit(0).cast("long"), F.col("__last"), F.lit(COPY_CHUNK).cast("long"))
-        rows = rows.select("*", F.explode(starts).alias("__from")).repartition(*key, "__from")
-    else:
-        rows = rows.withColumn("__from", F.lit(0).cast("long"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("__last"), F.lit(COPY_CHUNK).cast("long"))
+    rows = rows.select("*", F.explode(starts).alias("__from")).repartition(*key, "__from")
     upto = F.least(F.col("__last"), F.col("__from") + F.lit(COPY_CHUNK - 1))
     return rows.select(*df.columns, F.explode(F.sequence("__from", F.greatest(upto, F.col("__from")))).alias("copy"))
 

@@ -1,13 +1,14 @@
 """Ordered work that survives hot keys.
 
-A window over one key runs in one task.  Where a key may hold a large share of all rows, its
-timeline is cut into pieces at approximate quantiles, the window runs per (key, piece), and what
-has to pass from piece to piece is carried over in a table of one row per piece.
-
-Two bounds hold by construction, whatever the data: at most ``MAX_HOT`` keys can each hold more
-than ``1 / MAX_HOT`` of the rows, and every hot key has at most ``PIECES`` pieces.  So the tables
-broadcast here never exceed ``MAX_HOT`` rows of ``PIECES`` numbers.  The cut points only decide
-where the work runs; results are exact for any cut points.
+A window over one key runs in one task.  Where a key holds many rows, its timeline is cut into pieces,
+the window runs per (key, piece), and what has to pass from piece to piece is carried over in a table of
+one row per piece.
+
+A value of the order column is a cut if its hash (with the key) is 0 modulo ``PIECE_ROWS``.  So a piece
+has ``PIECE_ROWS`` values on average, whatever share of the table its key holds; values of any type with
+an order can be cut, a NULL key is a key like any other, and the cuts depend on the data alone: tasks
+that run again, or branches of a plan, always cut alike.  Cuts are broadcast: one value for each
+``PIECE_ROWS`` rows, 16 MB for 10 ** 12 rows of a number or moment.  Results are exact for any cuts.
 """
 
 from __future__ import annotations
@@ -22,25 +23,22 @@ from pyspark.sql import functions as F
 from cohortry.functions.hashing import as_col, hash_hex, hex_number
 from cohortry.functions.times import micros
 
-MAX_HOT = 256
-PIECES = 256
-HOT_FLOOR = 1_000_000
-HASH_DIGITS = 3
+PIECE_ROWS = 1_000_000
+HASH_DIGITS = 4
+LINE = ["__line", "__piece"]
 
 
-def _probs(pieces: int) -> Column:
-    return F.expr("array(" + ", ".join(f"{i / pieces!r}D" for i in range(1, pieces)) + ")")
-
-
-def _piece_of(splits: Column, value: Column, pieces: int) -> Column:
-    """How many split points lie at or below ``value``: a binary search over the sorted array."""
-    steps = ", ".join(str(2**e) for e in range(pieces.bit_length() - 1, -1, -1))
+def _piece_of(cuts: Column, value: Column) -> Column:
+    """How many cuts lie at or below ``value``: a binary search over the sorted array."""
+    top = F.ceil(F.log2(F.size(cuts) + 1)).cast("int")
     found = F.aggregate(
-        F.expr(f"array({steps})"),
+        F.sequence(top, F.lit(0), F.lit(-1)),
         F.lit(0),
-        lambda acc, s: F.when(F.try_element_at(splits, acc + s) <= value, acc + s).otherwise(acc),
+        lambda acc, e: F.when(
+            F.try_element_at(cuts, acc + F.call_function("shiftleft", F.lit(1), e)) <= value, acc + F.call_function("shiftleft", F.lit(1), e)
+        ).otherwise(acc),
     )
-    return F.when(splits.isNull(), F.lit(0)).otherwise(found)
+    return F.when(F.coalesce(F.size(cuts), F.lit(0)) <= 0, F.lit(0)).otherwise(found)
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -48,42 +46,22 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row), F.lit(True))
 
 
-def text_order(c: Column | str) -> Column:
-    """Number that rises with the byte order of a string (its first six bytes)."""
-    return F.conv(F.rpad(F.substring(F.hex(as_col(c)), 1, 12), 12, "0"), 16, 10).cast("long")
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> DataFrame:
-    """Keys holding more than ``1 / MAX_HOT`` of all rows (and more than ``floor``): at most MAX_HOT rows."""
-    floor = HOT_FLOOR if floor is None else floor
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    heavy = counts.where(F.col("__n") > floor)
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return with_row(heavy, total).where(F.col("__n") * MAX_HOT > F.col("__total")).select(*keys)
+def add_piece(df: DataFrame, keys: Sequence[str], order: Column | str, piece_rows: int | None = None) -> DataFrame:
+    """Add ``__line`` (the key as a struct, in which NULLs are equal), ``__piece`` (never falls as ``order``
+    rises within a key; 0 without an order) and ``__cut`` (whether the key has cuts).
 
-
-def add_piece(
-    df: DataFrame, keys: Sequence[str], order: Column | str, floor: int | None = None, pieces: int = PIECES
-) -> DataFrame:
-    """Add ``__piece`` (monotone in ``order`` within a key) and ``__hot``.
-
-    Without keys the whole table is one timeline and is always cut.
+    Without keys the whole table is one timeline.
     """
-    if not keys:
-        splits = df.agg(F.percentile_approx(as_col(order), _probs(pieces), F.lit(10 * pieces)).alias("__splits"))
-        cut = with_row(df, splits).withColumn("__piece", _piece_of(F.col("__splits"), as_col(order), pieces))
-        return cut.withColumn("__hot", F.lit(True)).drop("__splits")
-    hot = hot_keys(df, keys, floor)
-    splits = (
-        df.join(F.broadcast(hot), list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(as_col(order), _probs(pieces), F.lit(10 * pieces)).alias("__splits"))
-    )
+    size = PIECE_ROWS if piece_rows is None else piece_rows
+    lined = df.withColumn("__line", F.struct(*(keys or [F.lit(0).alias("all")])))
+    at = as_col(order)
+    chosen = lined.where(at.isNotNull() & (F.pmod(F.xxhash64("__line", at), F.lit(size)) == 0))
+    cuts = chosen.groupBy("__line").agg(F.sort_array(F.collect_set(at)).alias("__cuts"))
     return (
-        df.join(F.broadcast(splits), list(keys), "left")
-        .withColumn("__piece", _piece_of(F.col("__splits"), as_col(order), pieces))
-        .withColumn("__hot", F.col("__splits").isNotNull())
-        .drop("__splits")
+        lined.join(F.broadcast(cuts), "__line", "left")
+        .withColumn("__piece", _piece_of(F.col("__cuts"), at))
+        .withColumn("__cut", F.col("__cuts").isNotNull())
+        .drop("__cuts")
     )
 
 
@@ -93,26 +71,23 @@ def prefix_sums(
     order: str,
     sums: Mapping[str, str],
     totals: Mapping[str, str] | None = None,
-    floor: int | None = None,
-    pieces: int = PIECES,
-    piece_by: Column | None = None,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Exclusive running sums in ``order`` per key, and sums over the whole key.
 
     ``sums`` and ``totals`` map a new column to a summed column.  Rows must be unique per (keys, order):
-    group by the order value first.  ``piece_by`` is a number that never falls as ``order`` rises, for an
-    order that is not numeric itself.
+    group by the order value first.
     """
     keys, totals = list(keys), dict(totals or {})
-    cut = add_piece(df, keys, piece_by if piece_by is not None else order, floor, pieces)
-    piece = Window.partitionBy(*keys, "__piece")
+    cut = add_piece(df, keys, order, piece_rows)
+    piece = Window.partitionBy(*LINE)
     inside = piece.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    whole = Window.partitionBy("__line")
     across = whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     summed = sorted({*sums.values(), *totals.values()})
-    per_piece = cut.where("__hot").groupBy(*keys, "__piece").agg(*[F.sum(c).alias(f"__t_{c}") for c in summed])
+    per_piece = cut.where("__cut").groupBy(*LINE).agg(*[F.sum(c).alias(f"__t_{c}") for c in summed])
     carry = per_piece.select(
-        *keys, "__piece",
+        *LINE,
         *[F.sum(f"__t_{c}").over(across).alias(f"__c_{n}") for n, c in sums.items()],
         *[F.sum(f"__t_{c}").over(whole).alias(f"__c_{n}") for n, c in totals.items()],
     )
@@ -122,7 +97,7 @@ def prefix_sums(
         *[F.sum(c).over(piece).alias(f"__i_{n}") for n, c in totals.items()],
     )
     zero = F.lit(0)
-    return walked.join(F.broadcast(carry), [*keys, "__piece"], "left").select(
+    return walked.join(carry, LINE, "left").select(
         *df.columns,
         *[(F.coalesce(F.col(f"__i_{n}"), zero) + F.coalesce(F.col(f"__c_{n}"), zero)).alias(n) for n in sums],
         *[F.coalesce(F.col(f"__c_{n}"), F.col(f"__i_{n}")).alias(n) for n in totals],
@@ -130,7 +105,7 @@ def prefix_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], floor: int | None = None
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], piece_rows: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per (group, prob): columns ``prob``, ``quantile``.
 
@@ -139,7 +114,7 @@ def exact_quantiles(
     """
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = prefix_sums(counts, by, "__v", {"__before": "__n"}, {"__total": "__n"}, floor)
+    ranked = prefix_sums(counts, by, "__v", {"__before": "__n"}, {"__total": "__n"}, piece_rows)
     before, after = F.col("__before"), F.col("__before") + F.col("__n")
     place = lambda p: p * (F.col("__total") - 1)
     # the ranks next to a place are adjacent: a row matters if its ranks meet them
@@ -185,7 +160,7 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: str |
     )
 
 
-def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: str, key: str, floor: int | None) -> DataFrame:
+def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: str, key: str, piece_rows: int | None) -> DataFrame:
     """Points and targets of a subject as one timeline: ``__kind`` 0 is a target, 1 a point."""
     def nothing(frame: DataFrame, c: str) -> Column:
         return F.lit(None).cast(frame.schema[c].dataType)
@@ -199,7 +174,7 @@ def _timeline(points: DataFrame, targets: DataFrame, by: str, ts: str, start: st
         F.col(by).alias("__by"), micros(start).alias("__t"), F.lit(0).alias("__kind"),
         nothing(points, ts).alias("__ts"), F.col(start).alias("__start"), "__key",
     )
-    return add_piece(p.unionByName(t), ["__by"], "__t", floor)
+    return add_piece(p.unionByName(t), ["__by"], "__t", piece_rows)
 
 
 def nearest(
@@ -213,7 +188,7 @@ def nearest(
     forward: bool = True,
     backward: bool = False,
     strict: bool = False,
-    floor: int | None = None,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """As-of match per subject, one row per distinct (subject, ts).
 
@@ -222,7 +197,7 @@ def nearest(
     there is none; among equal starts the smallest key wins.  Both sides are merged into one timeline and
     a running "last target seen" answers every point, so no pair of a point and a target is ever built.
     """
-    line = _timeline(points, targets, by, ts, start, key, floor)
+    line = _timeline(points, targets, by, ts, start, key, piece_rows)
     target = F.when(F.col("__kind") == 0, F.struct("__start", "__key"))
     at = F.when(F.col("__kind") == 0, F.col("__t"))
     sides = []
@@ -231,39 +206,39 @@ def nearest(
         sides.append(("next", [F.col("__t").desc(), kind], F.col("__piece").desc(), F.min_by(target, at)))
     if backward:
         sides.append(("prev", [F.col("__t").asc(), F.col("__kind").asc()], F.col("__piece").asc(), F.max_by(target, at)))
-    edges = line.where("__hot").groupBy("__by", "__piece").agg(*[edge.alias(f"__edge_{n}") for n, _, _, edge in sides])
+    edges = line.where("__cut").groupBy(*LINE).agg(*[edge.alias(f"__edge_{n}") for n, _, _, edge in sides])
     seen, carried, out = [], [], []
     for name, order, piece_order, _ in sides:
-        walk = Window.partitionBy("__by", "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        back = Window.partitionBy("__by").orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
+        walk = Window.partitionBy(*LINE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        back = Window.partitionBy("__line").orderBy(piece_order).rowsBetween(Window.unboundedPreceding, -1)
         seen.append(F.last(target, ignorenulls=True).over(walk).alias(f"__seen_{name}"))
         carried.append(F.last(f"__edge_{name}", ignorenulls=True).over(back).alias(f"__carry_{name}"))
         hit = F.coalesce(f"__seen_{name}", f"__carry_{name}")
         out += [hit["__start"].alias(f"{name}_start"), hit["__key"].alias(f"{name}_key")]
-    carry = edges.select("__by", "__piece", *carried)
-    walked = line.select("__by", "__piece", "__kind", "__ts", *seen).where("__kind = 1")
-    return walked.join(F.broadcast(carry), ["__by", "__piece"], "left").select(
+    carry = edges.select(*LINE, *carried)
+    walked = line.select(*LINE, "__by", "__kind", "__ts", *seen).where("__kind = 1")
+    return walked.join(carry, LINE, "left").select(
         F.col("__by").alias(by), F.col("__ts").alias(ts), *out
     )
 
 
 def running_list(
-    df: DataFrame, by: str, order: str, value: Column | str, name: str, floor: int | None = None
+    df: DataFrame, by: str, order: str, value: Column | str, name: str, piece_rows: int | None = None
 ) -> DataFrame:
     """Per row the list of ``value`` of the rows of the same subject **strictly** earlier in time.
 
     The lists themselves are the result (they grow with the history by definition); what is split for a
     hot subject is the walk over its timeline.
     """
-    line = add_piece(df.withColumn("__t", micros(order)).withColumn("__value", as_col(value)), [by], "__t", floor)
-    walk = Window.partitionBy(by, "__piece").orderBy("__t")
-    back = Window.partitionBy(by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    line = add_piece(df.withColumn("__t", micros(order)).withColumn("__value", as_col(value)), [by], "__t", piece_rows)
+    walk = Window.partitionBy(*LINE).orderBy("__t")
+    back = Window.partitionBy("__line").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     entry = F.when(F.col("__value").isNotNull(), F.struct("__t", "__value"))
     own = line.withColumn("__own", F.collect_list(entry).over(walk.rangeBetween(Window.unboundedPreceding, -1)))
-    pieces = line.where("__hot").groupBy(by, "__piece").agg(F.collect_list(entry).alias("__all"))
-    carry = pieces.select(by, "__piece", F.flatten(F.collect_list("__all").over(back)).alias("__carry"))
+    pieces = line.where("__cut").groupBy(*LINE).agg(F.collect_list(entry).alias("__all"))
+    carry = pieces.select(*LINE, F.flatten(F.collect_list("__all").over(back)).alias("__carry"))
     empty = F.array().cast(own.schema["__own"].dataType)
     both = F.concat(F.coalesce("__carry", empty), F.coalesce("__own", empty))
-    return own.join(carry, [by, "__piece"], "left").select(
+    return own.join(carry, LINE, "left").select(
         *df.columns, F.transform(F.array_sort(both), lambda e: e["__value"]).alias(name)
     )

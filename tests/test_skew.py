@@ -8,9 +8,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortry.operators import evaluate, linkage, pick, sampling, skew, windows
+from cohortry.operators import evaluate, linkage, panels, pick, sampling, skew, windows
 from cohortry.plans import oracle_sql, queries
 from tools.check_queries import compare
 
@@ -25,7 +26,7 @@ DAY = datetime(2020, 1, 1)
 
 @pytest.mark.parametrize("name", ORDERED)
 def test_all_keys_hot(spark, sf_dir, duck, monkeypatch, name):
-    monkeypatch.setattr(skew, "HOT_FLOOR", 2)
+    monkeypatch.setattr(skew, "PIECE_ROWS", 2)
     df = queries()[name](spark, sf_dir)
     cursor = duck.execute(oracle_sql()[name])
     want = ([d[0] for d in cursor.description], cursor.fetchall())
@@ -48,7 +49,7 @@ def skewed(spark):
 @pytest.mark.parametrize("floor", [10**6, 50, 2])
 def test_nearest_brute_force(skewed, floor):
     visits, events, st, ev = skewed
-    got = skew.nearest(ev, st, "s", "t", "a", "v", backward=True, strict=True, floor=floor).collect()
+    got = skew.nearest(ev, st, "s", "t", "a", "v", backward=True, strict=True, piece_rows=floor).collect()
     want = {}
     for s, _, t, _ in events:
         own = [(a, v) for s2, v, a, _ in visits if s2 == s]
@@ -73,7 +74,7 @@ def test_link_by_window_brute_force(skewed):
 
 @pytest.mark.parametrize("floor", [10**6, 2])
 def test_next_visit_brute_force(skewed, floor, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_FLOOR", floor)
+    monkeypatch.setattr(skew, "PIECE_ROWS", floor)
     visits, _, st, _ = skewed
     got = {r["v"]: r["next_visit"] for r in windows.next_visit(st, "s", "v", "a", "e").collect()}
     want = {}
@@ -113,10 +114,37 @@ def test_hash_rank_is_a_permutation_on_any_partitioning(spark):
     assert {r[3] for r in results[0] if r[1] == "rare"} == {100}
 
 
-def test_no_group_is_hot_by_count_alone(spark):
-    df = spark.range(1000).select((F.col("id") % 500).alias("k"))
-    assert skew.hot_keys(df, ["k"], 0).count() == 0
-    assert skew.hot_keys(df.unionByName(spark.range(500).select(F.lit(7).cast("long").alias("k"))), ["k"], 0).count() == 1
+def largest_piece(df):
+    return df.groupBy("__line", "__piece").count().agg(F.max("count")).first()[0]
+
+
+def test_pieces_have_an_absolute_size(spark):
+    """A key of 0.3 %, a NULL key with a third of the rows, and the rest in keys of one row."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 300 == 1, F.lit(-1)).otherwise(F.col("id"))
+    cut = skew.add_piece(spark.range(200_000).select(key.alias("k"), "id"), ["k"], "id", 100).cache()
+    for hot, rows in ((F.col("k").isNull(), 66_667), (F.col("k") == -1, 667)):
+        own = cut.where(hot)
+        assert own.count() == rows
+        assert largest_piece(own) < 2500
+    assert cut.where("k is null").agg(F.count_distinct("__piece")).first()[0] > 500
+    falls = Window.partitionBy("k").orderBy("id")
+    assert cut.withColumn("d", F.col("__piece") - F.lag("__piece").over(falls)).where("d < 0 or d > 1").count() == 0
+    cut.unpersist()
+
+
+def test_strings_with_one_common_start_are_cut(spark):
+    names = spark.range(50_000).select(F.format_string("Customer#%09d", "id").alias("v"), "id")
+    assert largest_piece(skew.add_piece(names, [], "v", 100)) < 2500
+    codes = panels.category_codes(names, "v")
+    assert codes.where("code <> id").count() == 0
+
+
+@pytest.mark.parametrize("rows", [10**6, 20])
+def test_null_subject_is_matched_like_any_other(spark, rows):
+    st = spark.range(300).select(F.lit(None).cast("long").alias("s"), (F.col("id") * 10).alias("v"), F.timestamp_seconds(F.col("id") * 10).cast("timestamp_ntz").alias("a"))
+    ev = spark.range(2990).select(F.lit(None).cast("long").alias("s"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), "id")
+    got = skew.nearest(ev, st, "s", "t", "a", "v", piece_rows=rows).select("next_key").collect()
+    assert sorted(r[0] for r in got) == [-(-i // 10) * 10 for i in range(2990)]
 
 
 def test_tiny_class_is_copied_in_chunks(spark):
