@@ -126,13 +126,13 @@ def _noise_sql(i: int) -> str:
 @query(
     "balance_with_noise",
     f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings), {_balance_sql('label', 'e', 'vec_id', 5)}
-SELECT vec_id, label::BIGINT AS label, copy::BIGINT AS copy, {_noise_sql(0)}, {_noise_sql(1)}, {_noise_sql(63)} FROM b""",
+SELECT vec_id, label::BIGINT AS label, copy::BIGINT AS copy, {', '.join(_noise_sql(i) for i in range(64))} FROM b""",
 )
 def _(t: Tables) -> DataFrame:
     rows = t.embeddings.withColumn("embedding", F.col("embedding").cast("array<double>"))
     noisy = sampling.balance_with_noise(rows, "label", "vec_id", "embedding", 0.01, 5)
     entry = lambda i: rnd(F.get("embedding", F.lit(i)), 5).alias(f"x{i}")
-    return noisy.select("vec_id", big("label").alias("label"), big("copy").alias("copy"), entry(0), entry(1), entry(63))
+    return noisy.select("vec_id", big("label").alias("label"), big("copy").alias("copy"), *[entry(i) for i in range(64)])
 
 
 @query(

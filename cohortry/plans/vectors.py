@@ -145,11 +145,10 @@ def _(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", rnd(vec.l2_norm("embedding")).alias("norm"))
 
 
-@query("explode_vector", "SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[64]::DOUBLE AS z FROM embeddings")
+@query("explode_vector", f"SELECT vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE AS x{i}' for i in range(64))} FROM embeddings")
 def _(t: Tables) -> DataFrame:
     names = [f"x{i}" for i in range(64)]
-    wide = vec.explode_vector(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", names)
-    return wide.select("vec_id", F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("x63").alias("z"))
+    return vec.explode_vector(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", names)
 
 
 @query(

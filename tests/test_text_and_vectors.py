@@ -203,6 +203,7 @@ def test_model_hook(spark):
 @pytest.mark.parametrize("chunk", [4096, 8])
 def test_top_k_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(vectors, "QUERY_CHUNK", chunk)
+    monkeypatch.setattr(vectors, "DOC_CHUNK", 3 * chunk)
     rng = np.random.default_rng(4)
     docs, asked = rng.normal(size=(300, 5)), rng.normal(size=(17, 5))
     docs[10] = docs[200]
