@@ -20,7 +20,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _FAMILIES = [
     "sources", "linking", "timing", "picking", "numbers", "texts", "panels", "sampling", "vectors", "evaluation",
-    "profiling", "contracts",
+    "profiling", "contracts", "hospital",
 ]
 
 

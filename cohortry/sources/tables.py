@@ -22,7 +22,7 @@ SCHEMAS: dict[str, str] = {
     "d_icd_diagnoses": "icd_code string, icd_version int, long_title string",
     "discharge": "note_id string, subject_id bigint, hadm_id bigint, charttime timestamp_ntz, text string",
     "radiology": "note_id string, subject_id bigint, hadm_id bigint, charttime timestamp_ntz, text string",
-    "triage": "subject_id bigint, stay_id bigint, temperature double, heartrate double, resprate double, o2sat double, sbp double, dbp double, pain string, acuity int, chiefcomplaint string",
+    "triage": "subject_id bigint, stay_id bigint, temperature string, heartrate string, resprate string, o2sat string, sbp string, dbp string, pain string, acuity int, chiefcomplaint string",
     "edstays": "subject_id bigint, hadm_id bigint, stay_id bigint, intime timestamp_ntz, outtime timestamp_ntz",
 }
 
