@@ -92,13 +92,22 @@ def template_windows(df: DataFrame, row_id: str, text: str, bits: np.ndarray | N
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, at long, h long, slots array<long>")
 
 
+def _consistency(filled: DataFrame, by: list[str]) -> DataFrame:
+    """Share of the slots in each group whose value has the most frequent partner of the item's value."""
+    pairs = filled.groupBy(*by, "want", "has").agg(F.count(F.lit(1)).alias("n"))
+    slots = pairs.groupBy(*by, "want").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    return slots.groupBy(*by).agg((F.sum("most") / F.sum("n")).alias("consistency"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, consistency`` for each document that repeats an item, also with other values.
 
     ASCII punctuation is left out and A-Z counts as a-z. Words of digits, words in Title case and units become placeholders; a window
     is eight words, three of them plain (a shorter item of five words or more, mostly plain, is one window). Windows of documents
     first pass a filter of fixed size and are then joined by hash. A document repeats an item if it holds half of its windows
-    and its slots are filled consistently: at least 80 % of the item's slots have the most frequent partner of their value. Other numbers or names in the same places are thus found; chance fits of templates are not.
+    and its slots are filled consistently: at least 80 % of the item's slots have the most frequent partner of their value, in the
+    whole document or in one run of windows that keep their distance to the item's and are half of them. Other numbers or names in the
+    same places are thus found, also if a document asks one question several times with several values; chance fits of templates are not.
 
     Rows of one id count as one document, null is an id like any other. Null, empty and very short texts match nothing; with an
     empty benchmark the result is empty. Repeated items are found each. Other columns are not looked at.
@@ -106,18 +115,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = written(template_windows(benchmark, item_id, item_text), "items")
     found = template_windows(docs, doc_id, text, bit_filter(items.select("h")))
     items = items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
-    hits = written(found.join(items, "h").select(F.col("id").alias("doc"), "item", "item_at", "slots", "item_slots"), "hits")
+    hits = written(found.join(items, "h").select(F.col("id").alias("doc"), "item", "item_at", (F.col("at") - F.col("item_at")).alias("run"), "slots", "item_slots"), "hits")
     sizes = items.groupBy("item").agg(F.countDistinct("item_at").alias("n_item_windows"))
     # one row for each window of an item in a document, then whole items
     matched = hits.select("doc", "item", "item_at").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_windows"))
     matched = matched.join(sizes, matched["item"].eqNullSafe(sizes["item"])).drop(sizes["item"]).where(F.col("n_windows") >= COVERAGE * F.col("n_item_windows"))
-    # a slot counts once for each value it has in the document, however many windows hold it
+    # a slot counts once for each value it has, however many windows hold it: in the document, and in each run of windows in place
     zipped = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "p")
-    pairs = hits.select("doc", "item", "item_at", zipped).where("p.item_slots <> 0")
-    pairs = pairs.select("doc", "item", (F.col("item_at") + F.col("k")).alias("at"), F.col("p.item_slots").alias("want"), F.col("p.slots").alias("has")).distinct()
-    pairs = pairs.groupBy("doc", "item", "want", "has").agg(F.count(F.lit(1)).alias("n"))
-    slots = pairs.groupBy("doc", "item", "want").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    slots = slots.groupBy(F.col("doc").alias("d"), F.col("item").alias("i")).agg((F.sum("most") / F.sum("n")).alias("consistency"))
+    filled = hits.select("doc", "item", "run", "item_at", zipped).where("p.item_slots <> 0")
+    filled = filled.select("doc", "item", "run", (F.col("item_at") + F.col("k")).alias("at"), F.col("p.item_slots").alias("want"), F.col("p.slots").alias("has")).distinct()
+    whole = _consistency(filled.drop("run").distinct(), ["doc", "item"])
+    runs = hits.groupBy("doc", "item", "run").agg(F.countDistinct("item_at").alias("n"))
+    runs = runs.join(sizes, runs["item"].eqNullSafe(sizes["item"])).drop(sizes["item"]).where(F.col("n") >= COVERAGE * F.col("n_item_windows"))
+    own = _consistency(filled, ["doc", "item", "run"]).withColumnsRenamed({"doc": "d", "item": "i", "run": "r"})
+    own = runs.join(own, runs["doc"].eqNullSafe(own["d"]) & runs["item"].eqNullSafe(own["i"]) & (runs["run"] == own["r"]))
+    slots = whole.unionByName(own.select("doc", "item", "consistency"))
+    slots = slots.groupBy(F.col("doc").alias("d"), F.col("item").alias("i")).agg(F.max("consistency").alias("consistency"))
     judged = matched.join(slots, matched["doc"].eqNullSafe(slots["d"]) & matched["item"].eqNullSafe(slots["i"]), "left")
     judged = judged.withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENT)
     return judged.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_windows", "n_item_windows", "consistency")

@@ -259,6 +259,14 @@ def test_other_values_in_the_same_places(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(0, 9)]
 
 
+def test_one_question_with_several_values(spark):
+    item = "Anna buys 12 apples for 3 dollars each and sells 12 pears to Bob , then Anna counts what is left of 12 coins in her box"
+    asked = [item.replace("Anna", a).replace("Bob", b).replace("12", n) for a, b, n in (("Carla", "Dora", "70"), ("Emil", "Fred", "8"), ("Gina", "Hugo", "31"))]
+    docs = ["first " + " and next ".join(asked), "two words " + " or ".join([item, *asked])]
+    got = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.consistency) for r in got) == [(0, 9, 1.0), (1, 9, 1.0)]
+
+
 def test_decontamination_odd(odd, nothing, spark):
     items = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem ipsum dolor")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.contaminated(odd, items).collect()) == [3, 4]
