@@ -173,3 +173,29 @@ def test_closest_to_anchor_prefers_the_past(spark):
     )
     got = {r["v"]: r["x"] for r in pick.closest_to_anchor(st, obs, "s", "v", "a", "t", "x", "tie").collect()}
     assert got == {10: 5.0, 20: 8.0}
+
+
+def test_closed_windows_of_any_length(spark):
+    """Against all pairs: windows up to the year 9999, reversed ones, thousands that overlap, tolerances of weeks."""
+    rng = np.random.default_rng(5)
+    base = datetime(2020, 1, 1)
+    hours = lambda x: base + timedelta(hours=float(x))
+    stays = [(1, i, hours(a), hours(a + rng.choice([-30, 0, 5, 40, 3000, 90000]))) for i, a in enumerate(rng.integers(0, 2000, 400) / 2)]
+    stays += [(2, 1000 + i, hours(i % 50), datetime(9999, 12, 31)) for i in range(2000)]
+    stays += [(None, 5000, hours(0), hours(9)), (1, 5001, None, hours(9)), (1, 5002, hours(9), None)]
+    points = [(1, None, hours(h)) for h in rng.integers(-200, 3000, 300) / 2] + [(2, None, hours(h)) for h in (-3, 10, 30000, 800000)]
+    points += [(None, None, hours(1)), (1, None, None)]
+    st = spark.createDataFrame(stays, "sid long, vid long, s timestamp_ntz, e timestamp_ntz")
+    ev = spark.createDataFrame(points, "sid long, vid long, ts timestamp_ntz")
+    for tol in (0.0, 1.0, 500.0):
+        gap = timedelta(hours=tol)
+        want, many = set(), 0
+        for sid, _, ts in points:
+            fits = [(abs(s - ts), s, v) for i, v, s, e in stays if None not in (sid, ts, i, s, e) and i == sid and s - gap <= ts and ts - e <= gap]
+            if fits:
+                want.add((sid, min(fits)[2], ts))
+                many += len(fits) > 1
+        got = linkage.link_by_window(ev, st, "sid", "vid", "ts", "s", "e", tol)
+        assert {tuple(r) for r in got.collect()} == want
+        assert linkage.linkage_stats(ev, st, "sid", "vid", "ts", "s", "e", tol).first()["ambiguous_resolved"] == many
+    assert linkage._pieces(st.where("sid = 2"), "sid", "vid", "s", "e", 0).count() < 10_000
