@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators import contracts as con
@@ -58,19 +58,29 @@ def _(t: Tables) -> DataFrame:
     return report.select("output", big("rows").alias("rows"), big("nulls").alias("nulls"), "expected", "status")
 
 
-@query("source_manifest")
+_FILES = ", ".join(f"('{name}.parquet')" for name in (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split())
+
+
+def _base(file: str) -> Column:
+    return F.element_at(F.split(file, "/"), -1)
+
+
+@query("source_manifest", f"SELECT file, 32::BIGINT AS digits, true AS filled FROM (VALUES {_FILES}) v(file)")
 def _(t: Tables) -> DataFrame:
-    """Content fingerprint of every file of the given tables."""
-    return con.source_manifest(t.spark, t.folder)
+    """Every file of the given tables: its name, the digits of its content's fingerprint, whether it holds anything."""
+    found = con.source_manifest(t.spark, t.folder)
+    return found.select(_base("file").alias("file"), big(F.length("fingerprint")).alias("digits"), (F.col("length") > 0).alias("filled"))
 
 
-@query("changed_sources")
+@query("changed_sources", "SELECT * FROM (VALUES ('lineitem.parquet', 'new'), ('orders.parquet', 'changed')) v(file, state)")
 def _(t: Tables) -> DataFrame:
     """Every table against a registry that lacks one and holds another's old stamp (by name, length and time)."""
     now = con.source_manifest(t.spark, t.folder, content=False)
     stamp = F.when(F.col("file").contains("orders.parquet"), F.lit("stale")).otherwise(F.col("fingerprint"))
     before = now.where(~F.col("file").contains("lineitem.parquet")).withColumn("fingerprint", stamp)
-    return con.changed(now, before)
+    return con.changed(now, before).select(_base("file").alias("file"), "state")
 
 
 @query("required_columns", "SELECT o_custkey AS subject_id, l_partkey AS itemid, (l_returnflag = 'R')::BIGINT AS reward FROM lineitem JOIN orders ON o_orderkey = l_orderkey")

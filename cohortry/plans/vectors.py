@@ -243,19 +243,41 @@ def split_vectors(t: Tables) -> DataFrame:
     )
 
 
-@query("reduce_vectors_svd")
+_NONZERO = "SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label <> 0"
+
+
+@query("reduce_vectors_svd", "SELECT vec_id, 16::BIGINT AS entries, label = 0 AS is_zero, true AS no_longer, true AS ordered FROM embeddings")
 def _(t: Tables) -> DataFrame:
-    reduced, _ = vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, "svd")
-    return reduced
+    """What holds for any components: entries, zeros stay zero, no vector grows, energy falls from component to component."""
+    table = split_vectors(t)
+    reduced, _ = vec.reduce_vectors(table, "embedding", "split", 16, "svd")
+    both = reduced.join(table.select("vec_id", F.col("embedding").alias("whole")), "vec_id")
+    energy = reduced.where("split = 'train'").select(F.posexplode("embedding")).groupBy("pos").agg(F.sum(F.col("col").cast("double") ** 2).alias("e"))
+    falls = energy.agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("s")).select(
+        F.forall(F.sequence(F.lit(2), F.size("s")), lambda k: F.element_at("s", k)["e"] <= F.element_at("s", k - 1)["e"] * (1 + 1e-6)).alias("ordered")
+    )
+    return both.join(F.broadcast(falls), F.lit(True)).select(
+        "vec_id", big(F.size("embedding")).alias("entries"), F.forall("embedding", lambda x: x == 0).alias("is_zero"),
+        (vec.l2_norm("embedding") <= vec.l2_norm("whole") * (1 + 1e-6)).alias("no_longer"), "ordered",
+    )
 
 
-@query("reduce_vectors_pca")
+@query(
+    "reduce_vectors_pca",
+    f"""WITH e AS ({_NONZERO}), m AS (SELECT i, avg(x) FILTER (vec_id % 10 < 7) AS mean FROM e GROUP BY 1),
+n AS (SELECT vec_id, round(sqrt(sum((x - mean) ** 2)), 3) AS norm FROM e JOIN m USING (i) GROUP BY 1)
+SELECT vec_id, coalesce(norm, 0) AS norm FROM embeddings LEFT JOIN n USING (vec_id)""",
+)
 def _(t: Tables) -> DataFrame:
-    reduced, _ = vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, "pca")
-    return reduced
+    """With all components a projection keeps the length of the centred vector."""
+    reduced, _ = vec.reduce_vectors(split_vectors(t), "embedding", "split", 64, "pca")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    return reduced.select("vec_id", rnd(length, 3).alias("norm"))
 
 
-@query("explained_variance")
+@query("explained_variance", "SELECT * FROM (VALUES ('pca', 1.0::DOUBLE, true), ('svd', 0.0::DOUBLE, true)) v(vector, whole, in_bounds)")
 def _(t: Tables) -> DataFrame:
-    stats = [vec.reduce_vectors(split_vectors(t), "embedding", "split", 16, m)[1].withColumn("vector", F.lit(m)) for m in ("svd", "pca")]
-    return vec.explained_variance(*stats)
+    """All components of one method, some of the other."""
+    stats = [vec.reduce_vectors(split_vectors(t), "embedding", "split", k, m)[1].withColumn("vector", F.lit(m)) for m, k in (("svd", 16), ("pca", 64))]
+    share = F.col("variance")
+    return vec.explained_variance(*stats).select("vector", F.floor(share + 1e-9).cast("double").alias("whole"), share.between(0, 1 + 1e-9).alias("in_bounds"))
