@@ -281,3 +281,19 @@ def _(t: Tables) -> DataFrame:
     stats = [vec.reduce_vectors(split_vectors(t), "embedding", "split", k, m)[1].withColumn("vector", F.lit(m)) for m, k in (("svd", 16), ("pca", 64))]
     share = F.col("variance")
     return vec.explained_variance(*stats).select("vector", F.floor(share + 1e-9).cast("double").alias("whole"), share.between(0, 1 + 1e-9).alias("in_bounds"))
+
+
+@query(
+    "reduce_table",
+    f"""WITH e AS ({_NONZERO}), d AS (SELECT vec_id, 'embedding' AS part, i, x FROM e UNION ALL SELECT vec_id, 'half', i, x FROM e WHERE i <= 32),
+m AS (SELECT part, i, avg(x) FILTER (vec_id % 10 < 7) AS mean FROM d GROUP BY ALL),
+n AS (SELECT part, vec_id, round(sqrt(sum((x - mean) ** 2)), 3) AS norm FROM d JOIN m USING (part, i) GROUP BY ALL)
+SELECT vec_id, coalesce(max(norm) FILTER (part = 'embedding'), 0) AS embedding, coalesce(max(norm) FILTER (part = 'half'), 0) AS half
+FROM embeddings LEFT JOIN n USING (vec_id) GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """Two vector columns in one pass; with all components each projection keeps the length of the centred vector."""
+    table = split_vectors(t).withColumn("half", F.slice("embedding", 1, 32))
+    reduced, _ = vec.reduce_table(table, ["embedding", "half"], "split", 64, "pca")
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    return reduced.select("vec_id", *(rnd(length(c), 3).alias(c) for c in ("embedding", "half")))

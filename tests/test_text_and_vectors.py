@@ -171,6 +171,17 @@ def test_reduction_pads_and_survives_no_train_rows(spark):
     assert all(r["e"] == [0.0] * 4 for r in none.collect()) and stats.first()["variance"] == 0.0
 
 
+def test_reduction_of_several_columns(spark):
+    _, df = _reduce_fixture(spark)
+    two = df.withColumn("f", F.when(F.col("id") % 7 != 3, F.transform(F.slice("e", 1, 6), lambda x: x * x)))
+    out, stats = vectors.reduce_table(two, ["e", "f"], k=3, method="pca")
+    for c in ("e", "f"):
+        alone, row = vectors.reduce_vectors(two, c, k=3, method="pca")
+        assert {(r["id"], tuple(r[c])) for r in out.collect()} == {(r["id"], tuple(r[c])) for r in alone.collect()}
+        assert row.first() == stats.where(F.col("vector") == c).first()
+    assert all(r["f"] == [0.0] * 3 for r in out.where("id % 7 = 3").collect())
+
+
 def test_masks_leave_visible_slots_alone(spark):
     slots = [(f"s{i}", 2 * i, 2) for i in range(12)]
     df = spark.range(200).select("id", F.array_repeat(F.lit(1.0), 24).alias("v"), F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: i.cast("double")).alias("imp"))
