@@ -217,6 +217,24 @@ def presence(df: DataFrame, c: str, by: str | None = None) -> DataFrame:
     )
 
 
+def top_meaningful(df: DataFrame, c: str, n: int, by: str | None = None, groups: int = 10) -> DataFrame:
+    """The n most frequent meaningful values, trimmed; with ``by`` those of the groups with the highest share of meaningful rows."""
+    named = df.where(presence_kind(c) == "meaningful").withColumn("__value", strip(F.col(c)))
+    if by is None:
+        return named.groupBy(F.col("__value").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
+    best = presence(df, c, by).where(F.col(by).isNotNull()).orderBy(F.desc("percent"), by).limit(groups)
+    return top_per_group(named, by, "__value", n, best).select(by, F.col("__value").alias("value"), "n", "rank")
+
+
+def tested_share(df: DataFrame, panel: str, visit: str, hit: Column, tested: Column) -> DataFrame:
+    """Per panel: visits with a hit, visits with a test of it, and the second as a percentage of the first (of one at least)."""
+    flags = df.where(F.col(visit).isNotNull()).groupBy(panel, visit).agg(
+        F.bool_or(F.coalesce(hit, F.lit(False))).alias("__hit"), F.bool_or(F.coalesce(tested, F.lit(False))).alias("__tested")
+    )
+    counts = flags.groupBy(panel).agg(F.count_if("__hit").alias("positive_visits"), F.count_if("__tested").alias("tested_visits"))
+    return counts.withColumn("tested_pct", F.col("tested_visits") * 100.0 / F.greatest(F.col("positive_visits"), F.lit(1)))
+
+
 def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: keys in a, in b, common, only one side, keys repeated per side."""
     both = a.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(

@@ -197,3 +197,21 @@ def before_after(df: DataFrame, a: str, b: str) -> DataFrame:
         F.avg(F.length(a)).alias("mean_before"),
         F.avg(F.length(b)).alias("mean_after"),
     )
+
+
+def length_distribution(df: DataFrame, text: str) -> DataFrame:
+    """One row: texts and the least, median, mean, 75th, 90th, 95th percentile and greatest of their lengths; NULL texts left out."""
+    lengths = df.where(F.col(text).isNotNull()).select(F.length(text).cast("double").alias("n"))
+    row = lengths.agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("greatest"))
+    marks = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    found = exact_quantiles(lengths, [], "n", list(marks.values()))
+    wide = found.agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in marks.items()])
+    return row.join(F.broadcast(wide), F.lit(True)).select("texts", "least", "median", "mean", "p75", "p90", "p95", "greatest")
+
+
+def phrase_report(df: DataFrame, text: str, phrases: Sequence[str], key: str, chars: int = 80) -> DataFrame:
+    """Per phrase that occurs: texts with it, and the beginning of the first one by key, on one line."""
+    held = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col(text), p))
+    shown = F.translate(F.substring(text, 1, chars), "\n", " ")
+    hits = df.select(key, shown.alias("__shown"), F.explode(held).alias("phrase"))
+    return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("texts"), F.min_by("__shown", F.struct(key, "__shown")).alias("example"))

@@ -97,6 +97,18 @@ def _(t: Tables) -> DataFrame:
     return linkage.linkage_stats(labs(t), visits(t), "subject_id", "visit_id", "ts", "start_ts", None, 48)
 
 
+@query(
+    "linkage_report",
+    f"""SELECT 'labs' AS module, 'window' AS table, *, 0::BIGINT AS dropped FROM ({_stats_sql(_CLOSED)})
+UNION ALL SELECT 'labs', 'drop', count(*), count(*) FILTER (visit_id IS NULL), 0, 0, 0, count(*) FILTER (visit_id IS NULL)
+FROM (WITH {VISITS}, {LABS} SELECT visit_id FROM labs)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Counters of two strategies on one table."""
+    window = linkage.linkage_stats(labs(t), visits(t), "subject_id", "visit_id", "ts", "start_ts", "end_ts", 48)
+    return linkage.stats_report({("labs", "window"): window, ("labs", "drop"): linkage.drop_stats(labs(t), "visit_id")})
+
+
 @query(
     "link_via_bridge",
     f"""SELECT l_orderkey AS stay_id, l_linenumber::BIGINT AS line, l_partkey AS item,

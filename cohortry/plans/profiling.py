@@ -205,6 +205,35 @@ def _(t: Tables) -> DataFrame:
     return pf.presence(_comments(t), "comments", "grp").withColumn("percent", rnd("percent"))
 
 
+_MEANINGFUL = f"m AS (SELECT grp, trim(comments) AS value, count(*)::BIGINT AS n FROM c WHERE {_KIND} = 'meaningful' GROUP BY ALL)"
+
+
+@query("top_comments", f"WITH {_COMMENTS}, {_MEANINGFUL} SELECT value, sum(n)::BIGINT AS n FROM m GROUP BY 1 ORDER BY n DESC, value LIMIT 80")
+def _(t: Tables) -> DataFrame:
+    return pf.top_meaningful(_comments(t), "comments", 80)
+
+
+@query(
+    "top_comments_by_group",
+    f"""WITH {_COMMENTS}, {_MEANINGFUL}, best AS (SELECT grp FROM c GROUP BY 1 ORDER BY avg(CASE WHEN {_KIND} = 'meaningful' THEN 1.0 ELSE 0 END) DESC, grp LIMIT 10)
+SELECT grp, value, n, row_number() OVER (PARTITION BY grp ORDER BY n DESC, value)::BIGINT AS rank FROM m SEMI JOIN best USING (grp)
+QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, value) <= 10""",
+)
+def _(t: Tables) -> DataFrame:
+    return pf.top_meaningful(_comments(t), "comments", 10, "grp").withColumn("rank", big("rank"))
+
+
+@query(
+    "tested_share",
+    f"""WITH {CULTURES}, v AS (SELECT specimen, visit_id, bool_or(organism IS NOT NULL) AS hit, bool_or(drug IS NOT NULL) AS tested FROM cultures GROUP BY ALL)
+SELECT specimen, count(*) FILTER (hit)::BIGINT AS positive_visits, count(*) FILTER (tested)::BIGINT AS tested_visits,
+       round(count(*) FILTER (tested) * 100.0 / greatest(count(*) FILTER (hit), 1), 6) AS tested_pct FROM v GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    share = pf.tested_share(cultures(t), "specimen", "visit_id", F.col("organism").isNotNull(), F.col("drug").isNotNull())
+    return share.withColumn("tested_pct", rnd("tested_pct"))
+
+
 @query(
     "key_overlap",
     """WITH k AS (SELECT key, sum(a) AS na, sum(b) AS nb FROM (SELECT o_custkey AS key, 1 AS a, 0 AS b FROM orders

@@ -350,3 +350,23 @@ def _(t: Tables) -> DataFrame:
     both = t.documents.select("text", tx.clean_comment("text", RULES).alias("cleaned"))
     report = top.before_after(both, "text", "cleaned")
     return report.select("rows", "changed", "emptied", rnd("mean_before").alias("mean_before"), rnd("mean_after").alias("mean_after"))
+
+
+@query(
+    "cleaned_lengths",
+    f"""WITH b AS (SELECT length({clean_sql('text')})::DOUBLE AS n FROM documents), q AS (SELECT n FROM b WHERE n IS NOT NULL)
+SELECT count(*)::BIGINT AS texts, min(n) AS least, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.75), 6) AS p75,
+       round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, max(n) AS greatest FROM q""",
+)
+def _(t: Tables) -> DataFrame:
+    report = top.length_distribution(t.documents.select(tx.clean_comment("text", RULES).alias("cleaned")), "cleaned")
+    return report.withColumns({c: rnd(c) for c in ("mean", "p75", "p90", "p95")})
+
+
+@query(
+    "discard_report",
+    f"""WITH h AS (SELECT doc_id, text, phrase FROM documents JOIN (SELECT unnest({_PHRASES!r}) AS phrase) p ON contains(text, phrase))
+SELECT phrase, count(*)::BIGINT AS texts, replace(left(arg_min(text, doc_id), 80), chr(10), ' ') AS example FROM h GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    return top.phrase_report(t.documents, "text", _PHRASES, "doc_id")
