@@ -274,6 +274,22 @@ def test_decontamination_odd(odd, nothing, spark):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == decontaminate.contaminated(nothing, items).count() == 0
 
 
+def leaks(spark, items, docs):
+    made = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, docs), made).collect())
+
+
+def filler(seed, n=300):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n))
+
+
+def test_short_items_inside_long_texts(spark):
+    items = ["What is the capital of France?", "who wrote the old green book", "name the river under that long bridge", "red blue", "Paris", "12 44 81 90 7 16 23 5 61 70 2", "The Old Man And The Sea Of Storms Again", "3 of 4"]
+    docs = [filler(i) + " " + x + " " + filler(i + 50) for i, x in enumerate(items)] + [filler(99), filler(98) + " 12 44 81 90 7 16 23 5 61 70 3 red and blue " + filler(97)]
+    assert leaks(spark, items, docs) == [(i, i) for i in range(len(items))]
+
+
 # 7 shards
 
 
