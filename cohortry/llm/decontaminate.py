@@ -50,10 +50,27 @@ _LOWER, _UPPER = _cases()
 
 
 def _fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes in lower case, each at its place, and whether each is an upper-case letter of ASCII."""
+    """The bytes in lower case, each at its place, and whether an upper-case character begins at each; ß is ss."""
     upper, out = _UPPER[data] & (data < 0x80), data.copy()
     ascii_upper = np.flatnonzero(upper)
     out[ascii_upper] += np.uint8(32)
+    for low, high, more in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + more < len(data)]
+        code = data[at].astype(np.int64) & (0x3F >> more)
+        for j in range(1, more + 1):
+            code = code << 6 | data[at + j] & 0x3F
+        at, code = at[code < len(_LOWER)], code[code < len(_LOWER)]
+        upper[at] = _UPPER[code]
+        new = _LOWER[code]
+        at, new = at[new != code], new[new != code]
+        for j in range(more, 0, -1):
+            out[at + j] = 0x80 | new & 0x3F
+            new = new >> 6
+        out[at] = (0x100 - (0x80 >> more)) & 0xFF | new
+        if more == 1:
+            sharp = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == 0x9F))
+            out[sharp] = out[sharp + 1] = 0x73
     return out, upper
 
 
@@ -143,7 +160,7 @@ def item_windows(benchmark: DataFrame, row_id: str, text: str) -> DataFrame:
             bounds, sizes = t.words.bounds, t.sizes
             narrow = np.array([_narrow(int(x)) for x in sizes], np.int64)
             found = np.zeros(len(sizes), bool)
-            for which, width in [(k, w) for k in (TYPED, EXACT) for w in range(1, WIDTH + 1)]:
+            for which, width in [(k, w) for k in (TYPED, FOLDED, EXACT) for w in range(1, WIDTH + 1)]:
                 if which == EXACT:
                     rows = (np.minimum(sizes, WIDTH) == width) & ~found
                 else:
@@ -195,8 +212,9 @@ def document_windows(docs: DataFrame, row_id: str, text: str, sets: list[int], b
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, consistency`` for each document that repeats an item, also with other values.
 
-    ASCII punctuation is left out and A-Z counts as a-z. Words of digits, words in Title case and units become placeholders.
-    A window is eight words, three of them plain. An item of five to seven words is one window, mostly plain. An item without such windows, as one under
+    ASCII punctuation is left out and capitals count as small letters (where both are as long in UTF-8; ß as ss). An item has two sets
+    of windows: in one, words of digits, words in Title case and units are placeholders, in the other only digits and units are, so that
+    a copy in another case is found. A window is eight words, three of them plain. An item of five to seven words is one window, mostly plain. An item without such windows, as one under
     five words or a table of numbers, is found where its exact words stand in a row, be it one word.
 
     Windows of documents first pass a filter of fixed size and are then joined by hash. A document repeats an item if in one set it holds

@@ -290,6 +290,19 @@ def test_short_items_inside_long_texts(spark):
     assert leaks(spark, items, docs) == [(i, i) for i in range(len(items))]
 
 
+def test_copies_in_another_case(spark):
+    items = ["The Émile house in Paris . Where did Anna leave the Éclair that Bob and Carla found , Before the Öffnung of the Straße near Old Rome",
+             "Ciónñ rado está la Ñasca . Quién llevó el Árbol de Иван hasta la Привет casa вчера вечером с друзьями"]
+    docs = [filler(i) + " " + f(x) + " " + filler(i + 50) for i, x in enumerate(items) for f in (str, str.lower, str.upper, str.title)]
+    assert leaks(spark, items, docs) == [(k, k // 4) for k in range(8)]
+
+
+def test_names_with_other_initials(spark):
+    item = "Élodie gives some of her warm bread to Иван and then Élodie asks him how much of that bread the son of Иван would like to eat"
+    docs = [filler(1) + " " + item.replace("Élodie", "Ödön").replace("Иван", "Пётр") + " " + filler(2)]
+    assert leaks(spark, [item], docs) == [(0, 0)]
+
+
 # 7 shards
 
 
