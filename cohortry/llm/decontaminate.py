@@ -15,8 +15,10 @@ from cohortry.llm.common import Words, bit_filter, constants, mix, passes, slice
 WIDTH, PLAIN = 8, 3
 #: A document repeats an item if it has at least this share of the item's windows and of its slots one consistent value each.
 COVERAGE, CONSISTENT = 0.5, 0.8
+#: It also repeats an item if it has so many plain words of it in one piece, whatever the item's length.
+RUN = 13
 #: Items of fewer words than the key also have windows of this width, of which one replaced word breaks less than half.
-SHORTER: dict[int, int] = {}
+SHORTER = {14: 4, 23: 5}
 #: Windows of an item that stand at most so far from where the others put the item belong to one place.
 NEAR = 16
 UNITS = (
@@ -214,11 +216,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ASCII punctuation is left out and capitals count as small letters (where both are as long in UTF-8; ß as ss). An item has two sets
     of windows: in one, words of digits, words in Title case and units are placeholders, in the other only digits and units are, so that
-    a copy in another case is found. A window is eight words, three of them plain. An item of five to seven words is one window, mostly plain. An item without such windows, as one under
+    a copy in another case is found. A window is eight words, three of them plain. Items under 23 words also have narrow windows of
+    five words, under 14 of four; an item of five to seven words is one window, mostly plain. An item without such windows, as one under
     five words or a table of numbers, is found where its exact words stand in a row, be it one word.
 
     Windows of documents first pass a filter of fixed size and are then joined by hash. A document repeats an item if in one set it holds
-    half of its windows (narrow ones: near one place) and the slots are filled
+    half of its windows (narrow ones: near one place), or consecutive ones in place with thirteen plain words, and the slots are filled
     consistently there: at least 80 % of the item's slots have the most frequent partner of their value, in the whole document or in one
     run of windows that keep their distance to the item's. Other numbers or names in the same places are thus found, also if a document
     asks one question several times with several values; chance fits of templates are not. The row tells of the best of these.
@@ -243,7 +246,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pieces = held.withColumn("piece", F.col("nth") - F.row_number().over(Window.partitionBy(*by).orderBy("nth")))
     pieces = pieces.groupBy(*by, "total", "piece").agg(F.count(F.lit(1)).alias("n"), (F.max("behind") - F.min("before")).alias("span"))
     judged = pieces.groupBy(*by, "total").agg(F.sum("n").alias("n"), F.max("span").alias("span"))
-    judged = judged.where(F.when(F.col("s") >= 16 * EXACT, F.col("n") == F.col("total")).otherwise(F.col("n") >= COVERAGE * F.col("total")))
+    piece = wide & (F.col("s") < 16 * EXACT) & (F.col("place.kind") == 3) & (F.col("span") >= RUN)
+    judged = judged.where(F.when(F.col("s") >= 16 * EXACT, F.col("n") == F.col("total")).otherwise((F.col("n") >= COVERAGE * F.col("total")) | piece))
     # a slot counts once for each value it has, however many windows hold it
     filled = hits.select(*by, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "p")).where("p.item_slots <> 0")
     filled = filled.select(*by, (F.col("item_at") + F.col("k")).alias("at"), F.col("p.item_slots").alias("want"), F.col("p.slots").alias("has")).distinct()

@@ -303,6 +303,21 @@ def test_names_with_other_initials(spark):
     assert leaks(spark, [item], docs) == [(0, 0)]
 
 
+def test_a_part_of_a_long_item(spark):
+    long = filler(5, 59).split(" ")
+    docs = [filler(6) + " " + " ".join(x) + " " + filler(7) for x in (long[9:39], long[:13], long[46:], long[20:32])]
+    assert leaks(spark, [" ".join(long)], docs) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_one_replaced_word_in_a_short_item(spark):
+    items = [filler(i + 10, n) for i, n in enumerate((11, 13, 14, 15, 18, 22))]
+    changed = [" ".join("other" if k == len(x.split(" ")) // 2 else w for k, w in enumerate(x.split(" "))) for x in items]
+    docs = [filler(i + 30) + " " + x + " " + filler(i + 40) for i, x in enumerate(changed)]
+    # narrow windows of an item that are spread over a document are no copy of it
+    docs.append(" ".join(filler(80 + k, 40) + " " + " ".join(items[3].split(" ")[k : k + 5]) for k in range(0, 11, 5)))
+    assert leaks(spark, items, docs) == [(i, i) for i in range(len(items))]
+
+
 # 7 shards
 
 
