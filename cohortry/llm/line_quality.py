@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import SPACE_RE, WORD_RE
 
-#: A line is boilerplate of its host if at least so many distinct texts hold it and at least this share of the host's texts.
-MIN_TEXTS, SHARE = 10, 0.005
+#: A line is boilerplate of its host if at least so many distinct texts hold it; a line of fewer words than LONG_LINE may repeat by
+#: chance and must also be held by this share of the host's texts.
+MIN_TEXTS, LONG_LINE, SHARE = 10, 5, 0.005
 #: A document is depleted if more than this share of its words stands in boilerplate lines.
 DEPLETED = 0.5
 #: Rules on the text alone.
@@ -74,10 +75,10 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text") -> Da
     counted = F.transform(in_text, lambda x: F.struct(_line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD_RE)).alias("n")))
     # place tells apart the lines of one text, so that rows of equal texts fall together
     lines = rows.select("__host", "__md5", F.posexplode(counted).alias("place", "c")).select("__host", "__md5", "place", "c.line", "c.n").distinct()
-    held = lines.groupBy("__host", "__md5", "line").agg(F.sum("n").alias("n"))
+    held = lines.groupBy("__host", "__md5", "line").agg(F.sum("n").alias("n"), F.max("n").alias("words"))
     texts = rows.select("__host", "__md5").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("texts"))
-    counts = held.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("in_texts")).where(F.col("in_texts") >= MIN_TEXTS)
-    frequent = counts.join(texts, "__host").where(F.col("in_texts") >= F.col("texts") * SHARE).select("__host", "line")
+    counts = held.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("in_texts"), F.max("words").alias("words")).where(F.col("in_texts") >= MIN_TEXTS)
+    frequent = counts.join(texts, "__host").where((F.col("words") >= LONG_LINE) | (F.col("in_texts") >= F.col("texts") * SHARE)).select("__host", "line")
     found = held.join(frequent, ["__host", "line"]).groupBy("__host", "__md5")
     return found.agg(F.collect_set("line").alias("lines"), F.sum("n").alias("removed_words"))
 
@@ -101,8 +102,8 @@ def base_failed() -> Column:
 def line_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """``doc_id``, measures, ``removed_words, base_failed, kept`` for each row of ``docs``.
 
-    A line that at least ten distinct texts and 0.5 % of the texts of a host hold is boilerplate there, whatever its case and white
-    space; a document with more than half of its words in such lines is depleted. ``kept``: neither that nor failed by its own text
+    A line that at least ten distinct texts of a host hold is boilerplate there, whatever its case and white space and the size of the
+    host; a line under five words only if 0.5 % of the host's texts hold it, too. A document with more than half of its words in such lines is depleted. ``kept``: neither that nor failed by its own text
     (under 50 words, or over half of them in windows of three words that repeat).
 
     Null text counts as empty and fails; a null host is the host ''. Repeated rows are judged alike and count once. Rows of an empty

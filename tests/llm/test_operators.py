@@ -381,6 +381,19 @@ def test_boilerplate_of_a_host(spark):
     assert left[1] == rows[1][2].split("\n")[0] and left[200] == copy and 0 not in left and left[300].endswith("reserved.")
 
 
+def test_boilerplate_does_not_depend_on_the_size_of_the_host(spark):
+    rng = random.Random(9)
+    body = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    line, passage, short = "\nplease read our terms before you post", "\n" + body() + " " + body(), "\nread on"
+    tail = lambda i: (line if i < 12 else "") + (passage if 12 <= i < 24 else "") + (short if 24 <= i < 36 else "") + (line.replace("post", "ask") if 36 <= i < 45 else "")
+    rows = [(i + base, host, body() + tail(i)) for base, host, n in ((0, "small", 60), (1000, "large", 3000)) for i in range(n)]
+    got = {r.doc_id: r for r in line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    for base, of_short in ((0, 2), (1000, 0)):
+        want = [7] * 12 + [120] * 12 + [of_short] * 12 + [0] * 24
+        assert [got[base + i].removed_words for i in range(60)] == want
+        assert [got[base + i].kept for i in range(60)] == [x != 120 for x in want]
+
+
 def test_quality_odd(odd, nothing):
     got = {(r.doc_id, r.n_words, r.kept) for r in line_quality.line_quality(odd).collect()}
     assert got == {(1, 0, False), (2, 0, False), (None, 7, False), (3, 100000, False), (4, 100000, False), (5, 0, False), (6, 1, False)}
