@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Candidates that the base rules miss: a number without its country, an address that spells its signs out.
 _BARE_PHONE = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9-])")
+#: A card of 13 to 19 digits, in one piece or in groups with one separator; an address with bracketed or spelt dots; one of version 6.
+_LOOSE_CARD = re.compile(
+    r"(?<![0-9A-Za-z])(?<![0-9][./_-])(?:[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{4,5}"
+    r"|[0-9]{13,19})(?![0-9A-Za-z])(?![./_-][0-9])"
+)
+_DOT = r" ?(?:\[\.\]|\(\.\)|[\[(](?:dot|DOT)[\])]) ?|\.| dot "
+_LOOSE_IP = re.compile(rf"(?<![0-9A-Za-z.])[0-9]{{1,3}}(?:(?:{_DOT})[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])")
+_SIX = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{2,34}(?![\w:])")
 
 #: Gazetteers: last labels of domains, first digits of card issuers, calling codes.
 DOMAINS = "com net org edu gov io co uk de fr es it nl eu us info biz ca au ch at be se no dk pl".split()
@@ -101,23 +110,44 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     loose = [("phone", m.start(), m.end()) for m in _BARE_PHONE.finditer(text)]
     if "at" in text:
         loose += [("email", m.start(), m.end()) for m in _SPELT.finditer(text)]
+    loose += [("card", m.start(), m.end()) for m in _LOOSE_CARD.finditer(text)]
+    loose += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]
+    if ":" in text:
+        loose += [("ip", m.start(), m.end()) for m in _SIX.finditer(text) if m.group().count(":") > 1 and re.search("[0-9]", m.group())]
     taken = [(a, b) for _, a, b in base]
     return [x for x in loose if all(x[2] <= a or b <= x[1] for a, b in taken)]
 
 
+def _address(span: str) -> bool:
+    """Whether the span is an address once its dots are written as such."""
+    if ":" in span:
+        try:
+            return bool(ipaddress.IPv6Address(span))
+        except ValueError:
+            return False
+    return _ip_matches(plain := re.sub(_DOT, ".", span)) == [(0, len(plain))]
+
+
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int, int, int, int]:
-    """What the labelers say: 1 for, 0 against, -1 nothing. Regex (base rule), gazetteer, context, shape."""
+    """What the labelers say: 1 for, 0 against, -1 nothing. Rule, gazetteer, context, shape.
+
+    The rule is the base regex; for a candidate card it is Luhn's sum, for a candidate address its numbers, however they are separated.
+    """
     span = text[start:end]
     digits = _digits(span)
     if kind == "email":
         listed = re.split(r"[.\s)\]]", span.lower())[-1] in DOMAINS
         shape = 1 if re.match(r"[A-Za-z0-9]", span) else 0
     elif kind == "ip":
-        listed = span.split(".")[0].lstrip("0") not in ("", "127", "255")
+        strict = strict or _address(span)
+        first = re.split(r"[^0-9A-Fa-f]", span)[0]
+        listed = first[:1] in ("2", "3") and len(first) == 4 if ":" in span else first.lstrip("0") not in ("", "127", "255")
         shape = 0 if text[start - 1 : start] in (".", "v") or text[end : end + 2][:1] == "." and text[end + 1 : end + 2].isdigit() else 1
     elif kind == "card":
         listed = digits.startswith(ISSUERS)
-        shape = 1 if len(digits) == 16 else 0
+        strict = strict or luhn(digits)
+        own = {"34": (15,), "37": (15,), "36": (14,), "38": (14,)}.get(digits[:2], (13, 16, 19) if digits[:1] == "4" else (16,))
+        shape = 1 if len(digits) in own else 0
     else:
         code = span.startswith("+")
         listed = any(digits.startswith(c) for c in CALLING) if code else digits[:1] not in ("0", "1")

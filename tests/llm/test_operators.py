@@ -440,6 +440,25 @@ def test_em_finds_the_reliable_labelers():
     assert right[0] > 0.9 and wrong[0] < 0.1 and abs(right[3] - 0.55) < 0.06 and ((post > 0.5) == truth).mean() > 0.95
 
 
+def test_candidates_of_cards_and_addresses(spark):
+    rng = random.Random(11)
+
+    def card(head, n, good=True):
+        made = head + "".join(str(rng.randrange(10)) for _ in range(n - len(head) - 1))
+        return made + next(str(d) for d in range(10) if pii.luhn(made + str(d)) == good)
+
+    octets = lambda: [str(rng.randrange(1, 120)) for _ in range(4)]
+    known = [f"my card {card('4', 16)} and the server {'.'.join(octets())} are here" for _ in range(60)]
+    known += [f"the order {card('9', 16, False)} of part 300.{'.'.join(octets()[:3])} is here" for _ in range(60)]
+    amex, dots = card("37", 15), card("51", 16)
+    true = [f"the card {amex} is", f"the card {dots[:4]}.{dots[4:8]}.{dots[8:12]}.{dots[12:]} is", f"the card {card('4', 13)} is", f"the card {card('4', 16)} {card('4', 16)} is",
+            f"server {'[.]'.join(octets())} is", f"server {' dot '.join(octets())} is", f"server {'[dot]'.join(octets())} is", "server 2001:db8::8a2e:370:7334 is"]
+    false = [f"the order {card('9', 15, False)} is", f"the order {card('9', 16, False)} is", "the part 300[.]1[.]2[.]3 is", "at 12:30:45 is", f"version 300.{'.'.join(octets()[:3])} is"]
+    masked = [r.text for r in pii.mask_pii(docs_of(spark, true + false + known)).orderBy("doc_id").collect()]
+    want = ["the card <CARD> is"] * 3 + ["the card <CARD> <CARD> is"] + ["server <IP> is"] * 4
+    assert masked[: len(true + false)] == want + false
+
+
 def test_mask(spark, odd):
     docs = docs_of(spark, ["mail a.b@c.org or +1 (555) 123-4567 now", None, "nothing"])
     assert [r.text for r in pii.mask_pii(docs).orderBy("doc_id").collect()] == ["mail <EMAIL> or <PHONE> now", None, "nothing"]
