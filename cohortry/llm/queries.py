@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import bpe, decontaminate, langid, line_quality, minhash, packing, pii, secrets, urls, warc
+from cohortry.llm import alignment, bpe, decontaminate, langid, line_quality, minhash, packing, pii, prefix_trie, secrets, urls, vector_dedup, warc
 from cohortry.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def vocabulary() -> str:
-    """The rank file of the byte-level BPE, where the installed package has it."""
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """A vocabulary file, by default the ranks of the byte-level BPE, where the installed package has it."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,21 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    pair = alignment.load_pair(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    out = alignment.align_digests(_table(spark, folder, "documents"), pair)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, folder, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_secrets, op2_near_duplicates, op3_bpe, op4_language, op5_urls, op6_decontamination, op7_shards, op8_quality, op9_pii, op10_warc]
+    own = [op1_secrets, op2_near_duplicates, op3_bpe, op4_language, op5_urls, op6_decontamination, op7_shards, op8_quality, op9_pii, op10_warc, op11_alignment, op12_vectors, op13_trie]
     return {f.__name__: f for f in own}
 
