@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import slices, written
 
 #: A single space before a visible character: both tokenizers begin a token there, whatever stands around it (``Pair`` checks that).
-CUT = re.compile(r"(?<=[^ ▁]) (?=[!-~\w])")
-#: Distinct pieces of text that a task keeps (longer ones than KEPT_CHARS aren't kept), and characters of a text it looks at at once.
-KEPT, KEPT_CHARS, STEP = 200_000, 64, 1 << 20
+CUT, BEGINS, BLANK = re.compile(r"(?<=[^ ▁]) (?=[!-~\w])"), re.compile(r"[!-~\w]"), " ▁"
+#: Distinct pieces of text that a task keeps for one turn or two (longer ones than KEPT_CHARS aren't kept), pieces that are encoded as
+#: one text, and characters of a text that a task looks at at once.
+KEPT, KEPT_CHARS, CHUNK, STEP = 100_000, 64, 100, 1 << 20
 SPACE = "▁"
 
 
@@ -87,8 +88,12 @@ def _codes(a_bytes: list[bytes | None], b_bytes: list[bytes | None]) -> np.ndarr
     return np.unique(np.array([i * len(b_bytes) + j for i, j in found], np.int64))
 
 
+#: What is known of a piece of text: its groups as text, the places of its links (32 bits each), and its numbers of tokens.
+Known = tuple[str, bytes, int, int]
+
+
 class Aligner:
-    """Both tokenizers in a task, and what they gave for pieces of text seen before."""
+    """Both tokenizers in a task, and what they gave for pieces of text seen lately."""
 
     def __init__(self, pair: Pair):
         import os
@@ -97,51 +102,91 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.pair, self.known = pair, {}
+        self.pair = pair
+        # pieces asked for since the last turn, and before it: words that come often are never forgotten
+        self.young: dict[str, Known | None] = {}
+        self.old: dict[str, Known | None] = {}
         self.a = Tokenizer.from_str(pair.a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.b_model)
-        self.a_size = [len(x) if x else 0 for x in pair.a_bytes]
-        self.b_size = [len(x) if x else 0 for x in pair.b_bytes]
-
-    def _piece(self, text: str, a: list[int], b: list[int]) -> tuple[str, list[int], int, int] | None:
-        """Groups as text, codes of the links, and the numbers of tokens; None if the tokens don't spell the piece."""
-        spelt = f" {text}".encode()
-        if b"".join([self.pair.a_bytes[i] or b"" for i in a]) != spelt or b"".join([self.pair.b_bytes[i] or b"" for i in b]) != spelt:
-            return None
-        at_a = {end: i for i, end in enumerate(accumulate([self.a_size[i] for i in a]))}
-        at_b = {end: i for i, end in enumerate(accumulate([self.b_size[i] for i in b]))}
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            i_next, j_next = at_a[end] + 1, at_b[end] + 1
-            groups.append(f"{','.join(map(str, a[i:i_next]))}|{','.join(map(str, b[j:j_next]))}")
-            links.append(a[i_next - 1] * len(self.b_size) + b[j_next - 1])  # no token is empty: one of each ends here
-            i, j = i_next, j_next
-        return ";".join(groups), links, len(a), len(b)
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[str, bytes, int, int] | None]:
-        """What is known of all pieces, new ones encoded together."""
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return self.known
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(pieces)
-        encoded = zip(new, self.a.encode_batch([f" {p}" for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
-        made = [self._piece(p, a.ids, b) for p, a, b in encoded]
-        codes = np.array([c for m in made if m for c in m[1]], np.int64)
+        self.a_size, self.b_size = ([len(x) if x else 0 for x in listed] for listed in (pair.a_bytes, pair.b_bytes))
+        self.a_name, self.b_name = ([str(i) for i in range(len(listed))] for listed in (pair.a_bytes, pair.b_bytes))
+
+    def _aligned(self, chunks: list[list[str]]) -> dict[str, Known | None]:
+        """What the pieces of the chunks give; a chunk is encoded as one text, its pieces joined by spaces.
+
+        A piece whose tokens don't spell it gives None; its chunk is encoded again piece by piece.
+        """
+        texts, out, again = [" ".join(c) for c in chunks], {}, []
+        a_bytes, b_bytes = self.pair.a_bytes, self.pair.b_bytes
+        pieces: list[str] = []
+        a: list[int] = []
+        b: list[int] = []
+        for chunk, text, x, y in zip(chunks, texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
+            spelt, ids = f" {text}".encode(), x.ids
+            if b"".join([a_bytes[i] or b"" for i in ids]) == spelt == b"".join([b_bytes[i] or b"" for i in y]):
+                pieces += chunk
+                a += ids
+                b += y
+            elif len(chunk) == 1:
+                out[text] = None
+            else:
+                again += [[piece] for piece in chunk]
+        at_a = dict(zip(accumulate([self.a_size[i] for i in a]), range(len(a))))
+        at_b = dict(zip(accumulate([self.b_size[i] for i in b]), range(len(b))))
+        ends = sorted(at_a.keys() & at_b.keys())
+        last_a, last_b = [at_a[e] for e in ends], [at_b[e] for e in ends]
+        # no token is empty, so that one of each side ends at a common end
+        codes = np.array([a[i] for i in last_a], np.int64) * len(b_bytes) + np.array([b[j] for j in last_b], np.int64)
         places = np.searchsorted(self.pair.codes, codes).astype("<i4").tobytes()
-        out, begin = {}, 0
-        for p, m in zip(new, made):
-            end = begin + (4 * len(m[1]) if m else 0)
-            out[p] = (m[0], places[begin:end], m[2], m[3]) if m else None
-            begin = end
-        self.known.update((p, m) for p, m in out.items() if len(p) <= KEPT_CHARS)
-        return self.known if all(len(p) <= KEPT_CHARS for p in new) else {**{p: self.known[p] for p in pieces if p in self.known}, **out}
-
-    def text(self, text: str) -> tuple[str, bytes, int, int] | None:
-        """The same for a whole text."""
-        rows, begin = [], 0
+        a_text, b_text = [self.a_name[i] for i in a], [self.b_name[i] for i in b]
+        groups, i, j = [], 0, 0
+        for x, y in zip(last_a, last_b):
+            groups.append(f"{a_text[i] if i == x else ','.join(a_text[i : x + 1])}|{b_text[j] if j == y else ','.join(b_text[j : y + 1])}")
+            i, j = x + 1, y + 1
+        stops = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in pieces])) + 1 if pieces else []
+        begin = 0
+        for piece, stop in zip(pieces, stops):
+            first_a, first_b = (last_a[begin - 1] + 1, last_b[begin - 1] + 1) if begin else (0, 0)
+            out[piece] = ";".join(groups[begin:stop]), places[4 * begin : 4 * stop], last_a[stop - 1] + 1 - first_a, last_b[stop - 1] + 1 - first_b
+            begin = stop
+        return out | self._aligned(again) if again else out
+
+    def learn(self, pieces: set[str]) -> dict[str, Known | None]:
+        """What is known of all pieces; new ones are encoded together."""
+        young, old, held, new, odd = self.young, self.old, {}, [], []
+        for p in pieces:
+            if p in young:
+                held[p] = young[p]
+            elif p in old:
+                held[p] = young[p] = old[p]
+            elif BEGINS.match(p) and p[-1] not in BLANK:
+                new.append(p)
+            else:
+                odd.append([p])  # the first or last piece of a text: another beside it could change its tokens
+        if new or odd:
+            made = self._aligned([new[i : i + CHUNK] for i in range(0, len(new), CHUNK)] + odd)
+            held |= made
+            young.update((p, m) for p, m in made.items() if len(p) <= KEPT_CHARS)
+        if len(young) > KEPT:
+            self.young, self.old = {}, young
+        return held
+
+    def texts(self, texts: list[str | None]) -> list[Known]:
+        """The same for whole texts; one without tokens has none of anything."""
+        out: list[Known] = [("", b"", 0, 0)] * len(texts)
+        cut = {i: CUT.split(t) for i, t in enumerate(texts) if t and len(t) <= STEP}
+        known = self.learn({p for pieces in cut.values() for p in pieces})
+        for i, t in enumerate(texts):
+            parts = [[known[p] for p in cut[i]]] if i in cut else self._long(t) if t else []
+            if parts and not any(None in part for part in parts):
+                rows = [r for part in parts for r in part]
+                out[i] = ";".join([r[0] for r in rows]), b"".join([r[1] for r in rows]), sum([r[2] for r in rows]), sum([r[3] for r in rows])
+        return out
+
+    def _long(self, text: str) -> list[list[Known | None]]:
+        """A long text in steps, of each of which only what it gives is held."""
+        parts, begin = [], 0
         while begin < len(text):
             cut = CUT.search(text, begin + STEP)
             end = cut.start() if cut else len(text)
@@ -149,10 +194,10 @@ class Aligner:
             known = self.learn(set(pieces))
             part = [known[p] for p in pieces]
             if None in part:
-                return None
-            rows.append((";".join([r[0] for r in part]), b"".join([r[1] for r in part]), sum([r[2] for r in part]), sum([r[3] for r in part])))
+                return [[None]]
+            parts.append([(";".join([r[0] for r in part]), b"".join([r[1] for r in part]), sum([r[2] for r in part]), sum([r[3] for r in part]))])
             begin = end + 1
-        return rows[0] if len(rows) == 1 else (";".join(r[0] for r in rows), b"".join(r[1] for r in rows), sum(r[2] for r in rows), sum(r[3] for r in rows))
+        return parts
 
 
 def align(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,8 +213,7 @@ def align(docs: DataFrame, pair: Pair, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(pair)
         for batch in slices(batches, "text"):
-            rows = [aligner.text(t) if t else None for t in batch.column("text").to_pylist()]
-            rows = [r or ("", b"", 0, 0) for r in rows]
+            rows = aligner.texts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3)), pa.array([len(r[1]) // 4 for r in rows], pa.int64()),
                  pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],

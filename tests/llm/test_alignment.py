@@ -95,12 +95,12 @@ def test_cuts_within_long_texts(spark, pair, monkeypatch):
     """Steps and a store of words that is too small don't change a result."""
     texts = ["one two  three four\nfive six " * 40, "seven eight"]
     aligner = alignment.Aligner(pair)
-    want = [aligner.text(t) for t in texts]
+    want = aligner.texts(texts)
     monkeypatch.setattr(alignment, "STEP", 7)
     monkeypatch.setattr(alignment, "KEPT", 3)
     monkeypatch.setattr(alignment, "KEPT_CHARS", 4)
     aligner = alignment.Aligner(pair)
-    assert [aligner.text(t) for t in texts] == want
+    assert aligner.texts(texts) == want
 
 
 def test_codes_hold_every_link(pair):
