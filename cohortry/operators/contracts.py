@@ -1,13 +1,19 @@
-"""Data contracts, output audits and source manifests."""
+"""Data contracts, output audits, source manifests and the registry of what steps have read."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.functions.hashing import hex_number
+from cohortry.sources.snapshots import current_version, read_snapshot, write_snapshot
+from cohortry.sources.tables import path_exists
+
 REPORT = "check string, status string, detail string"
 
 
@@ -99,14 +105,69 @@ def audit_outputs(outputs: Mapping[str, DataFrame | None], cohort: DataFrame, ke
     return full.select("output", "rows", "nulls", "expected", status.alias("status"))
 
 
-def source_manifest(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
-    """One row per source file: path, length, and the md5 of its content (or of its path, length and time).
+#: Formats by the end of a name; others are read as lines of text.
+FORMATS = {".parquet": "parquet", ".orc": "orc"}
+
+
+def row_digest(df: DataFrame) -> Column:
+    """md5 of a row: each column as text with its length in front, so that NULL, empty text and shifted columns differ."""
+    def part(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        text = F.hex(c) if isinstance(f.dataType, T.BinaryType) else c.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(*[part(f) for f in df.schema.fields])) if df.columns else F.md5(F.lit(""))
+
 
-    With ``content`` a file is held whole by the task that hashes it (at most 2 GB); without it no data is read.
+def fingerprints(df: DataFrame, by: Column | None = None) -> DataFrame:
+    """``file, rows, fingerprint`` of the rows in each group (of all rows without one), whatever their order.
+
+    A multiset hash: the sum of one half of each row's digest, the exclusive or of the other, and the number of rows are combined
+    before the shuffle, so that a file of any size is hashed by all tasks that read a part of it.  Copies of a row count.
+    """
+    names = F.lit(",".join(df.columns))
+    hashed = df.select((F.lit("") if by is None else by).alias("file"), row_digest(df).alias("__d"))
+    halves = hashed.select("file", hex_number(F.col("__d"), 1, 15).alias("a"), hex_number(F.col("__d"), 16, 15).alias("b"))
+    found = halves.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.bit_xor("b").alias("b"))
+    return found.select("file", "rows", F.md5(F.concat_ws("|", names, F.col("rows").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))).alias("fingerprint"))
+
+
+def _entries(spark: SparkSession, path: str) -> list[str]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(target).isFile() or any(path.rstrip("/").endswith(end) for end in FORMATS):
+        return [path]
+    names = sorted(s.getPath().getName() for s in fs.listStatus(target))
+    return [f"{path.rstrip('/')}/{n}" for n in names if not n.startswith((".", "_"))]
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Address and length of each file under a path, also of empty ones, which scans leave out; nothing is read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while found.hasNext():
+        status = found.next()
+        if not status.getPath().getName().startswith((".", "_")):
+            out.append((re.sub("^file:/+", "file:///", status.getPath().toUri().toString()), status.getLen()))
+    return out
+
+
+def source_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per source file under ``path`` (a file, a table's folder, or a folder of those): ``file, length, rows, fingerprint``.
+
+    Tables are read as such, other files as lines of text; a fingerprint depends on the rows only, not on their order or on how the
+    file was written.  A file without rows has the fingerprint of an empty one.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    stamp = F.md5("content") if content else F.md5(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")))
-    return files.select(F.col("path").alias("file"), "length", stamp.alias("fingerprint"))
+    files = spark.createDataFrame(_listed(spark, path), "file string, length long")
+    parts = []
+    for entry in _entries(spark, path):
+        kind = next((k for end, k in FORMATS.items() if entry.endswith(end)), "text")
+        df = spark.read.format(kind).option("recursiveFileLookup", "true").load(entry)
+        parts.append(fingerprints(df, F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///")))
+    if not parts:
+        return spark.createDataFrame([], "file string, length long, rows long, fingerprint string")
+    found = reduce(DataFrame.unionByName, parts)
+    return files.join(found, "file", "left").select("file", "length", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.coalesce("fingerprint", F.md5(F.lit(""))).alias("fingerprint"))
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -119,3 +180,31 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
         .when(F.col("fingerprint") != F.col("__old"), "changed")
     )
     return both.select("file", state.alias("state")).where(F.col("state").isNotNull())
+
+
+REGISTRY = "step string, file string, rows long, fingerprint string"
+
+
+def registered(spark: SparkSession, registry: str, step: str | None = None) -> DataFrame:
+    """What the registry at ``registry`` holds (of one step): ``step, file, rows, fingerprint``; empty where nothing was recorded."""
+    held = spark.createDataFrame([], REGISTRY) if current_version(spark, registry) is None else read_snapshot(spark, registry)
+    return held if step is None else held.where(F.col("step") == step)
+
+
+def record(registry: str, step: str, manifest: DataFrame) -> None:
+    """Store the sources of a step after it ran; other steps stay.  The registry is replaced as a whole, so readers see the old or the new one."""
+    spark = manifest.sparkSession
+    others = registered(spark, registry).where(F.col("step") != step)
+    write_snapshot(others.unionByName(manifest.select(F.lit(step).alias("step"), "file", "rows", "fingerprint")), registry)
+
+
+def unchanged(registry: str, step: str, manifest: DataFrame, outputs: Sequence[str] = (), force: bool = False) -> bool:
+    """Whether a step may be skipped: all its outputs exist, and its sources are those that were recorded, none new, gone or different.
+
+    False with ``force``, and for a step that was never recorded.
+    """
+    spark = manifest.sparkSession
+    if force or not all(path_exists(spark, p) for p in outputs):
+        return False
+    before = registered(spark, registry, step)
+    return not before.isEmpty() and changed(manifest, before).isEmpty()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_hex, normal
+from cohortry.operators.ranks import top_n
 from cohortry.operators.skew import hash_rank, with_row
 from cohortry.operators.windows import returns_within
 
@@ -141,4 +142,5 @@ def union_splits(*frames: DataFrame) -> DataFrame:
 def random_sample(df: DataFrame, key: str | Sequence[str], n: int, seed: str | int = 0) -> DataFrame:
     """``n`` rows drawn by hash of the key."""
     key = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(hash_hex(seed, *key), *key).limit(n)
+    drawn = top_n(df.withColumn("__draw", hash_hex(seed, *key)), n, ["__draw", *key])
+    return drawn.drop("__draw")

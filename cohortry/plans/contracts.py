@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from cohortry.operators import contracts as con
 from cohortry.operators import sampling
 from cohortry.plans.registry import Tables, big, query, visits
 from cohortry.plans.sampling import visit_splits
+from cohortry.session import scratch_path
 
 
 @query(
@@ -58,29 +61,77 @@ def _(t: Tables) -> DataFrame:
     return report.select("output", big("rows").alias("rows"), big("nulls").alias("nulls"), "expected", "status")
 
 
-_FILES = ", ".join(f"('{name}.parquet')" for name in (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-).split())
-
-
 def _base(file: str) -> Column:
     return F.element_at(F.split(file, "/"), -1)
 
 
-@query("source_manifest", f"SELECT file, 32::BIGINT AS digits, true AS filled FROM (VALUES {_FILES}) v(file)")
+#: Tables whose columns both engines write alike as text.
+_PLAIN = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "documents": "doc_id text lang source n_chars", "pages": "page_id url html",
+    "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _fingerprint_sql(table: str, columns: list[str], source: str | None = None) -> str:
+    """``file, rows, fingerprint`` of a table."""
+    row = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"""SELECT '{table}.parquet' AS file, count(*)::BIGINT AS rows,
+  md5('{','.join(columns)}|' || count(*) || '|' || sum(('0x' || substr(d, 1, 15))::BIGINT) || '|' || bit_xor(('0x' || substr(d, 16, 15))::BIGINT)) AS fingerprint
+  FROM (SELECT md5({row}) AS d FROM {source or table})"""
+
+
+@query("source_manifest", " UNION ALL ".join(_fingerprint_sql(n, c.split()) for n, c in _PLAIN.items()))
+def _(t: Tables) -> DataFrame:
+    """Rows and fingerprint of the files of seven tables, which SQL computes from the tables as well."""
+    found = reduce(DataFrame.unionByName, [con.source_manifest(t.spark, t.path(n)) for n in _PLAIN])
+    return found.select(_base("file").alias("file"), "rows", "fingerprint")
+
+
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_LAST = "(SELECT max(o_orderkey) FROM orders)"
+_COPIES = {
+    "whole": "orders", "permuted": "(SELECT * FROM orders ORDER BY o_totalprice DESC)",
+    "edited": f"(SELECT * REPLACE (CASE WHEN o_orderkey = {_LAST} THEN o_custkey + 1 ELSE o_custkey END AS o_custkey) FROM orders)",
+    "doubled row": f"(SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey = {_LAST})",
+}
+
+
+@query(
+    "source_copies",
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT '{name}' AS copy, rows, fingerprint FROM ({_fingerprint_sql('orders', _ORDER_COLS, source)})" for name, source in _COPIES.items())
+    + ") SELECT copy, rows, fingerprint, fingerprint = (SELECT fingerprint FROM c WHERE copy = 'whole') AS same FROM c",
+)
 def _(t: Tables) -> DataFrame:
-    """Every file of the given tables: its name, the digits of its content's fingerprint, whether it holds anything."""
-    found = con.source_manifest(t.spark, t.folder)
-    return found.select(_base("file").alias("file"), big(F.length("fingerprint")).alias("digits"), (F.col("length") > 0).alias("filled"))
+    """Fingerprints of a table and of copies: in another order, with a changed value, with a row twice."""
+    orders = t.orders.select(*_ORDER_COLS)
+    flagged = orders.join(F.broadcast(orders.agg(F.max("o_orderkey").alias("__last"))), F.lit(True))
+    at_last = F.col("o_orderkey") == F.col("__last")
+    copies = {
+        "whole": orders, "permuted": orders.repartition(5, "o_custkey").sortWithinPartitions(F.desc("o_orderkey")),
+        "edited": flagged.withColumn("o_custkey", F.when(at_last, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))).drop("__last"),
+        "doubled row": orders.unionByName(flagged.where(at_last).drop("__last")),
+    }
+    rows = reduce(DataFrame.unionByName, [con.fingerprints(df).select(F.lit(name).alias("copy"), "rows", "fingerprint") for name, df in copies.items()])
+    whole = con.fingerprints(orders).select(F.col("fingerprint").alias("whole"))
+    return rows.join(F.broadcast(whole), F.lit(True)).select("copy", "rows", "fingerprint", (F.col("fingerprint") == F.col("whole")).alias("same"))
 
 
-@query("changed_sources", "SELECT * FROM (VALUES ('lineitem.parquet', 'new'), ('orders.parquet', 'changed')) v(file, state)")
+@query(
+    "changed_sources",
+    f"""SELECT file, state, rows FROM (SELECT 'nation.parquet' AS file, 'new' AS state, (SELECT count(*) FROM nation)::BIGINT AS rows
+UNION ALL SELECT 'labels.parquet', 'changed', (SELECT count(*) FROM labels WHERE quality = 1)::BIGINT) WHERE rows >= 0""",
+)
 def _(t: Tables) -> DataFrame:
-    """Every table against a registry that lacks one and holds another's old stamp (by name, length and time)."""
-    now = con.source_manifest(t.spark, t.folder, content=False)
-    stamp = F.when(F.col("file").contains("orders.parquet"), F.lit("stale")).otherwise(F.col("fingerprint"))
-    before = now.where(~F.col("file").contains("lineitem.parquet")).withColumn("fingerprint", stamp)
-    return con.changed(now, before).select(_base("file").alias("file"), "state")
+    """Tables against a registry: one was recorded with some of its rows, one was not recorded, one is as it was."""
+    kept = t.labels.where("quality = 1")
+    registry, names = scratch_path(t.spark, "registry"), ["region", "nation", "labels"]
+    now = reduce(DataFrame.unionByName, [con.source_manifest(t.spark, t.path(n)) for n in names])
+    old = con.fingerprints(kept).select("rows", F.col("fingerprint").alias("old"))
+    before = now.where(~F.col("file").contains("nation.parquet")).drop("rows").join(F.broadcast(old), F.col("file").contains("labels.parquet"), "left")
+    con.record(registry, "load", before.select("file", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), F.coalesce("old", "fingerprint").alias("fingerprint")))
+    held = con.registered(t.spark, registry, "load")
+    states = con.changed(now, held).join(now.select("file", F.col("rows").alias("now")), "file").join(held.select("file", "rows"), "file", "left")
+    return states.select(_base("file").alias("file"), "state", F.when(F.col("state") == "changed", F.col("rows")).otherwise(F.col("now")).alias("rows"))
 
 
 @query("required_columns", "SELECT o_custkey AS subject_id, l_partkey AS itemid, (l_returnflag = 'R')::BIGINT AS reward FROM lineitem JOIN orders ON o_orderkey = l_orderkey")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.plans.registry import Tables, big, query, rnd, ts_sql, ts_text
 from cohortry.session import scratch_path
+from cohortry.sources import snapshots as snap
 from cohortry.sources import tables as src
 
 
@@ -45,6 +48,31 @@ def _(t: Tables) -> DataFrame:
     return back.select("l_orderkey", "l_partkey", big("l_linenumber").alias("line"), "l_quantity")
 
 
+@query(
+    "snapshot_replace",
+    """SELECT stage, l_returnflag, n, quantity FROM (SELECT 'before' AS stage, l_returnflag, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 2
+UNION ALL SELECT 'failed', l_returnflag, count(*)::BIGINT, sum(l_quantity) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'open', l_returnflag, count(*)::BIGINT, sum(l_quantity) FROM lineitem GROUP BY 2
+UNION ALL SELECT 'after', l_returnflag, count(*)::BIGINT, sum(l_quantity) FROM lineitem WHERE l_quantity > 10 GROUP BY 2)""",
+)
+def _(t: Tables) -> DataFrame:
+    """A table that is replaced: as written first, after a writer that failed midway, of a reader that was open meanwhile, and afterwards."""
+    path = scratch_path(t.spark, "snapshots")
+    snap.write_snapshot(t.lineitem.select("l_returnflag", "l_quantity"), path)
+    first = snap.read_snapshot(t.spark, path)
+    broken = first.withColumn("l_quantity", F.when(F.col("l_quantity") == 50, F.raise_error(F.lit("broken row")).cast("double")).otherwise(F.col("l_quantity")))
+    try:
+        snap.write_snapshot(broken, path)
+    except Exception as error:  # noqa: BLE001
+        if "broken row" not in str(error):
+            raise
+    failed = snap.read_snapshot(t.spark, path)
+    snap.write_snapshot(first.where("l_quantity > 10"), path)
+    stages = {"before": t.lineitem, "failed": failed, "open": first, "after": snap.read_snapshot(t.spark, path)}
+    rows = [df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")).withColumn("stage", F.lit(name)) for name, df in stages.items()]
+    return reduce(DataFrame.unionByName, rows).select("stage", "l_returnflag", "n", "quantity")
+
+
 @query(
     "partitioned_sink",
     "SELECT p_type AS panel, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",
@@ -99,7 +127,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("row_cap", f"SELECT event_id, {ts_sql('ts')} AS ts FROM (SELECT * FROM events ORDER BY events.ts DESC, event_id LIMIT 500)")
 def _(t: Tables) -> DataFrame:
-    return src.cap_rows(t.events, 500, [F.desc("ts"), F.col("event_id")]).select("event_id", ts_text("ts").alias("ts"))
+    return src.cap_rows(t.events, 500, [("ts", "desc"), "event_id"]).select("event_id", ts_text("ts").alias("ts"))
+
+
+@query("half_sample", "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_quantity FROM lineitem ORDER BY l_returnflag DESC, l_quantity, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 2 FROM lineitem)")
+def _(t: Tables) -> DataFrame:
+    """Half of a table in an order whose first columns tie in most rows: found by thresholds, without a task that holds it."""
+    half = src.head_sample(t.lineitem, t.lineitem.count() // 2, [("l_returnflag", "desc"), "l_quantity", "l_orderkey", "l_linenumber"])
+    return half.select("l_orderkey", big("l_linenumber").alias("line"), "l_quantity")
 
 
 @query(

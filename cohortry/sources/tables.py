@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortry.operators.ranks import Order, top_n
+from cohortry.sources.quoted import read_quoted_csv
+
 # The columns each clinical source table is read with.
 SCHEMAS: dict[str, str] = {
     "admissions": "subject_id bigint, hadm_id bigint, admittime timestamp_ntz, dischtime timestamp_ntz, admission_type string, hospital_expire_flag int",
@@ -63,7 +66,8 @@ def read_table(
 ) -> DataFrame:
     """Typed scan of a CSV table; columns are matched by header name.
 
-    With ``multi_line`` quoted cells may span lines, but a file is then one split; by default that holds for tables of notes only.
+    With ``multi_line`` quoted cells may span lines; by default that holds for tables of notes only.  Such files are
+    read in byte ranges, too (``read_quoted_csv``).
 
     A ``.gz`` file is one split: land big ones once as parquet.  An optional table that does not exist
     gives an empty typed frame.
@@ -81,6 +85,8 @@ def read_table(
     lacking = [n for n in (cols or wanted.fieldNames()) if n not in header]
     if lacking:
         raise ValueError(f"{path} lacks the columns {lacking}")
+    if spans == "true" and not path.endswith(".gz"):
+        return read_quoted_csv(spark, path, on_file).select(*(cols or wanted.fieldNames()))
     scan = spark.read.schema(on_file).option("header", "true").option("multiLine", spans).option("escape", '"')
     return scan.csv(path).select(*(cols or wanted.fieldNames()))
 
@@ -118,7 +124,7 @@ def vector_column(spark: SparkSession, path: str, suffix: str = "embedding") ->
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Parquet through the commit protocol: readers never see half a table."""
+    """Parquet for a folder that nobody reads yet: overwriting removes the old table first.  ``write_snapshot`` replaces a table that is in use."""
     df.write.mode(mode).parquet(path)
     return path
 
@@ -143,8 +149,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
-    """CSV with a header; ``multi_line`` where quoted cells span lines, which makes each file one split."""
-    scan = spark.read.schema(_schema(schema)).option("header", "true").option("multiLine", str(multi_line).lower())
+    """CSV with a header; ``multi_line`` where quoted cells span lines."""
+    if multi_line:
+        return read_quoted_csv(spark, path, _schema(schema))
+    scan = spark.read.schema(_schema(schema)).option("header", "true")
     return scan.option("escape", '"').csv(path)
 
 
@@ -162,12 +170,12 @@ def read_sql(
     return reader.options(**options).load()
 
 
-def head_sample(df: DataFrame, n: int, order: str | Sequence[str]) -> DataFrame:
-    """First n rows in a declared order."""
-    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
+def head_sample(df: DataFrame, n: int, order: Order | Sequence[Order]) -> DataFrame:
+    """First n rows in a declared order (names, or ``(name, "desc")``); any n, no task holds them all."""
+    return top_n(df, n, order)
 
 
-def cap_rows(df: DataFrame, n: int, order: str | Sequence[str]) -> DataFrame:
+def cap_rows(df: DataFrame, n: int, order: Order | Sequence[Order]) -> DataFrame:
     """At most n rows, first in order (the row-cap option of a source)."""
     return head_sample(df, n, order)
 
