@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.operators import retrieval as ret
 from cohortry.operators import vectors as vec
 from cohortry.plans.registry import VISITS, Tables, big, query, rnd, visits
+from cohortry.session import scratch_path
 from cohortry.sources.tables import spread
 
 _TOKENS = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
@@ -123,6 +125,32 @@ def _(t: Tables) -> DataFrame:
     return hits.select("query", "vec_id", big("rank").alias("rank"), rnd("distance", 5).alias("distance"))
 
 
+_NEAR_SQL = """d AS (SELECT a.vec_id AS query, b.vec_id, list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist
+      FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rank FROM d)"""
+
+
+@query("nearest_vectors", f"WITH {_NEAR_SQL} SELECT query, vec_id, rank::BIGINT AS rank, round(dist, 5) AS distance FROM r WHERE rank <= 10")
+def _(t: Tables) -> DataFrame:
+    """Every twentieth vector as a query against all of them, through an index of at least sixteen pivots."""
+    docs, path = t.embeddings.select("vec_id", "embedding"), scratch_path(t.spark, "index")
+    ret.build_index(docs, "vec_id", "embedding", path, pivots=16)
+    asked = docs.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query")
+    hits, _ = ret.search_index(asked, "query", "embedding", path, 10, "vec_id")
+    return hits.select("query", "vec_id", big("rank").alias("rank"), rnd("distance", 5).alias("distance"))
+
+
+@query("extended_index", f"WITH {_NEAR_SQL} SELECT query, vec_id, rank::BIGINT AS rank, round(dist, 5) AS distance FROM r WHERE rank <= 4")
+def _(t: Tables) -> DataFrame:
+    """An index of the vectors of some labels that is extended by all others, those it holds included in the call."""
+    docs, path = t.embeddings.select("vec_id", "embedding", "label"), scratch_path(t.spark, "index")
+    ret.build_index(docs.where("label < 4"), "vec_id", "embedding", path, pivots=8)
+    ret.extend_index(docs, "vec_id", "embedding", path)
+    asked = docs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    hits, _ = ret.search_index(asked, "query", "embedding", path, 4, "vec_id")
+    return hits.select("query", "vec_id", big("rank").alias("rank"), rnd("distance", 5).alias("distance"))
+
+
 @query(
     "retrieved_context",
     f"""WITH {embed_sql('q', 'benchmark', 'item_id', 'text', 64)}, {embed_sql('d', 'documents', 'doc_id', 'text', 64)},

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions import numbers as num
 from cohortry.functions import text as tx
-from cohortry.operators import contracts, evaluate, numeric, panels, profile, text, vectors
+from cohortry.operators import contracts, evaluate, numeric, panels, profile, retrieval, text, vectors
 from cohortry.sources import tables as src
 
 
@@ -213,8 +213,8 @@ def test_model_hook(spark):
 
 @pytest.mark.parametrize("chunk", [4096, 8])
 def test_top_k_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(vectors, "QUERY_CHUNK", chunk)
-    monkeypatch.setattr(vectors, "DOC_CHUNK", 3 * chunk)
+    monkeypatch.setattr(retrieval, "CHUNK", chunk)
+    monkeypatch.setattr(retrieval, "BLOCK", 3 * chunk)
     rng = np.random.default_rng(4)
     docs, asked = rng.normal(size=(300, 5)), rng.normal(size=(17, 5))
     docs[10] = docs[200]
@@ -319,13 +319,13 @@ def test_profile_helpers(spark):
     assert {r["u"]: (r["a"], r["b"]) for r in wide.collect()} == {1: (100.0, 0.0), 2: (None, 0.0)}
 
 
-def test_csv_is_cut_unless_cells_span_lines(spark, tmp_path):
+def test_csv_is_cut(spark, tmp_path):
     (tmp_path / "labevents.csv").write_text("subject_id,hadm_id\n" + "".join(f"{i},{i}\n" for i in range(20000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
         read = lambda **more: src.read_table(spark, "labevents", str(tmp_path), "subject_id long, hadm_id long", **more)
         assert read().rdd.getNumPartitions() > 3 and read().count() == 20000
-        assert read(multi_line=True).rdd.getNumPartitions() == 1
+        assert read(multi_line=True).rdd.getNumPartitions() > 3 and read(multi_line=True).count() == 20000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
