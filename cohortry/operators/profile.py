@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule, is_blank, strip
 from cohortry.operators.panels import levels_of
+from cohortry.operators.ranks import column_quantiles
 from cohortry.operators.skew import exact_quantiles, with_row
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, nulls; for numbers also mean, deviation, min, quartiles, max."""
+    """One row per column: type, rows, nulls; for numbers also mean, deviation, min, quartiles, max.
+
+    One aggregate for all columns, and histograms for the quartiles of all numbers at once.
+    """
     kinds = dict(df.dtypes)
     numbers = [c for c in df.columns if kinds[c] in NUMERIC or kinds[c].startswith("decimal")]
     nothing = F.lit(None).cast("double")
@@ -32,10 +36,7 @@ def profile(df: DataFrame) -> DataFrame:
     table = df.agg(*stats).select(F.explode(F.array(*[F.col(c) for c in df.columns])).alias("s")).select("s.*")
     if not numbers:
         return table.select("*", nothing.alias("p25"), nothing.alias("p50"), nothing.alias("p75"))
-    long = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("e")
-    ).select("e.*")
-    quartiles = exact_quantiles(long, ["column"], "v", [0.25, 0.5, 0.75]).groupBy("column").agg(
+    quartiles = column_quantiles(df, numbers, [0.25, 0.5, 0.75]).groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     )
     return table.join(quartiles, "column", "left")
@@ -55,7 +56,7 @@ def group_size_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("groups"), F.min("size").alias("min"), F.avg("size").alias("mean"),
         F.stddev_samp("size").alias("std"), F.max("size").alias("max"),
     )
-    marks = exact_quantiles(sizes, [], "size", [0.25, 0.5, 0.75]).agg(
+    marks = column_quantiles(sizes, ["size"], [0.25, 0.5, 0.75]).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     )
     return with_row(row, marks)

@@ -222,23 +222,45 @@ def nearest(
     )
 
 
+def _stored(df: DataFrame, by: str, order: str, entry: Column, size: Column, piece_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``__subject`` and ``__end`` (the sizes of the subject's entries strictly earlier in time, added up), and the sorted entries
+    of each subject (``__subject, __store``).
+
+    An entry is NULL where a row has none.  Rows without a time have no entry and nothing before them.
+    """
+    rows = df.withColumns({"__subject": F.struct(by), "__t": micros(order)}).withColumn("__entry", F.when(F.col("__t").isNotNull(), entry))
+    sizes = rows.where(F.col("__t").isNotNull()).groupBy("__subject", "__t").agg(F.sum(F.when(F.col("__entry").isNotNull(), size).otherwise(0)).alias("__n"))
+    ends = prefix_sums(sizes, ["__subject"], "__t", {"__end": "__n"}, piece_rows=piece_rows).select("__subject", "__t", "__end")
+    store = rows.where(F.col("__entry").isNotNull()).groupBy("__subject").agg(F.array_sort(F.collect_list(F.struct("__t", "__entry"))).alias("__store"))
+    placed = rows.drop("__entry").join(ends, ["__subject", "__t"], "left")
+    return placed.withColumn("__end", F.coalesce("__end", F.lit(0)).cast("int")), store
+
+
 def running_list(
     df: DataFrame, by: str, order: str, value: Column | str, name: str, piece_rows: int | None = None
 ) -> DataFrame:
     """Per row the list of ``value`` of the rows of the same subject **strictly** earlier in time.
 
-    The lists themselves are the result (they grow with the history by definition); what is split for a
-    hot subject is the walk over its timeline.
+    A subject's values are stored once, in order; a row is a place in that store, and its list is cut from the store's front when
+    the row is written.  So a subject takes memory for its own values, however many rows refer to them.
     """
-    line = add_piece(df.withColumn("__t", micros(order)).withColumn("__value", as_col(value)), [by], "__t", piece_rows)
-    walk = Window.partitionBy(*LINE).orderBy("__t")
-    back = Window.partitionBy("__line").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.when(F.col("__value").isNotNull(), F.struct("__t", "__value"))
-    own = line.withColumn("__own", F.collect_list(entry).over(walk.rangeBetween(Window.unboundedPreceding, -1)))
-    pieces = line.where("__cut").groupBy(*LINE).agg(F.collect_list(entry).alias("__all"))
-    carry = pieces.select(*LINE, F.flatten(F.collect_list("__all").over(back)).alias("__carry"))
-    empty = F.array().cast(own.schema["__own"].dataType)
-    both = F.concat(F.coalesce("__carry", empty), F.coalesce("__own", empty))
-    return own.join(carry, LINE, "left").select(
-        *df.columns, F.transform(F.array_sort(both), lambda e: e["__value"]).alias(name)
-    )
+    value = as_col(value)
+    rows, store = _stored(df, by, order, F.when(value.isNotNull(), F.struct(value.alias("v"))), F.lit(1), piece_rows)
+    values = store.select("__subject", F.transform("__store", lambda e: e["__entry"]["v"]).alias("__store"))
+    empty = F.array().cast(values.schema["__store"].dataType)
+    cut = F.when(F.col("__end") > 0, F.slice("__store", F.lit(1), F.col("__end"))).otherwise(empty)
+    return rows.join(values, "__subject", "left").select(*df.columns, cut.alias(name))
+
+
+def running_text(
+    df: DataFrame, by: str, order: str, tie: str, text: Column, sep: str, name: str, piece_rows: int | None = None
+) -> DataFrame:
+    """Per row the texts of the subject's rows strictly earlier in time, joined by ``sep``; ``""`` where there are none.
+
+    As ``running_list``, with one text per subject as the store: each row's text is the beginning of it.
+    """
+    entry = F.when(text.isNotNull(), F.struct(F.col(tie).alias("tie"), text.alias("v")))
+    rows, store = _stored(df, by, order, entry, F.length(text) + len(sep), piece_rows)
+    joined = store.select("__subject", F.array_join(F.transform("__store", lambda e: e["__entry"]["v"]), sep).alias("__store"))
+    cut = F.when(F.col("__end") > 0, F.left(F.col("__store"), F.col("__end") - len(sep))).otherwise("")
+    return rows.join(joined, "__subject", "left").select(*df.columns, cut.alias(name))

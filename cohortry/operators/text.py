@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.functions.hashing import hash_hex
 from cohortry.functions.text import clean_comment, event_text, is_blank, sentences, word_count
-from cohortry.operators.skew import exact_quantiles
-from cohortry.operators.windows import prior_visits
+from cohortry.operators.ranks import column_quantiles
+from cohortry.operators.skew import running_text
 
 # Susceptibility grades, best first; anything else ranks behind them.
 GRADE_RANKS = {"R": 0, "S": 1, "I": 2}
 
 
+def _dated_blocks(
+    st: DataFrame, facts: DataFrame, by: str, visit: str, start: str, entry: Column, block: Callable[[Column, Column], Column], sep: str, name: str
+) -> DataFrame:
+    """Per visit the blocks of the subject's earlier visits; ``block`` gives a visit's text from its date and its sorted entries."""
+    folded = facts.groupBy(visit).agg(F.array_sort(F.collect_list(entry)).alias("__facts"))
+    line = st.select(by, visit, start).join(folded, visit, "left")
+    text = F.when(F.col("__facts").isNotNull(), block(F.date_format(F.col(start), "yyyy-MM-dd"), F.col("__facts")))
+    line = line.select(by, visit, start, text.alias("__block"))
+    return running_text(line, by, start, visit, F.col("__block"), sep, name).select(by, visit, name)
+
+
 def history_block(
     st: DataFrame, facts: DataFrame, by: str, visit: str, start: str, line: str, order: str,
     header: str = "Past Diagnoses:",
@@ -24,15 +36,13 @@ def history_block(
     A visit whose lines are all empty keeps its date line.  No earlier facts: ``""``.
     """
     entry = F.struct(F.col(order).alias("ord"), F.coalesce(F.col(line), F.lit("")).alias("line"))
-    prior = prior_visits(st, facts, by, visit, start, entry)
 
-    def block(p: Column) -> Column:
-        lines = F.filter(F.transform(p["facts"], lambda f: f["line"]), lambda t: F.length(t) > 0)
-        head = F.concat(F.lit("\nVisit ("), F.date_format(p[start], "yyyy-MM-dd"), F.lit("):"))
-        return F.array_join(F.concat(F.array(head), lines), "\n")
+    def block(date: Column, held: Column) -> Column:
+        lines = F.filter(F.transform(held, lambda f: f["line"]), lambda t: F.length(t) > 0)
+        return F.array_join(F.concat(F.array(F.concat(F.lit("\nVisit ("), date, F.lit("):"))), lines), "\n")
 
-    text = F.concat(F.lit(header + "\n"), F.array_join(F.transform("prior", block), "\n"))
-    return prior.select(by, visit, F.when(F.size("prior") > 0, text).otherwise("").alias("history"))
+    blocks = _dated_blocks(st, facts, by, visit, start, entry, block, "\n", "history")
+    return blocks.withColumn("history", F.when(F.col("history") != "", F.concat(F.lit(header + "\n"), F.col("history"))).otherwise(""))
 
 
 def notes_block(
@@ -42,13 +52,12 @@ def notes_block(
     """Per visit the notes of earlier visits, each under a dated header, joined by a blank line."""
     kept = notes.where(~is_blank(text))
     entry = F.struct(F.col(order).alias("ord"), F.col(text).alias("text"))
-    prior = prior_visits(st, kept, by, visit, start, entry)
 
-    def block(p: Column) -> Column:
-        head = F.concat(F.lit(f"{header} ("), F.date_format(p[start], "yyyy-MM-dd"), F.lit("):\n"))
-        return F.array_join(F.transform(p["facts"], lambda f: F.concat(head, f["text"])), "\n\n")
+    def block(date: Column, held: Column) -> Column:
+        head = F.concat(F.lit(f"{header} ("), date, F.lit("):\n"))
+        return F.array_join(F.transform(held, lambda f: F.concat(head, f["text"])), "\n\n")
 
-    return prior.select(by, visit, F.array_join(F.transform("prior", block), "\n\n").alias("notes"))
+    return _dated_blocks(st, kept, by, visit, start, entry, block, "\n\n", "notes")
 
 
 def susceptibility(
@@ -143,7 +152,7 @@ def text_length_stats(df: DataFrame, text: str, limit: int = 512) -> DataFrame:
         F.avg("t").alias("mean_tokens"),
         F.avg((F.col("t") > limit).cast("double")).alias("share_over_limit"),
     )
-    marks = exact_quantiles(counted, [], "w", [0.5, 0.95]).agg(
+    marks = column_quantiles(counted, ["w"], [0.5, 0.95]).agg(
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median_words"),
         F.max(F.when(F.col("prob") == 0.95, F.col("quantile"))).alias("p95_words"),
     )
@@ -167,11 +176,11 @@ def sentence_openers(df: DataFrame, text: str, position: int, words: int = 6) ->
     )
 
 
-def trigger_report(df: DataFrame, text: str, phrases: Sequence[str], key: str) -> DataFrame:
-    """Per phrase: texts with it, its most common sentence position, the first example by key.
+def trigger_report(df: DataFrame, text: str, phrases: Sequence[str], key: str, examples: int = 3, seed: str | int = 0) -> DataFrame:
+    """Per phrase: texts with it, its most common sentence position, the first example by key, and ``examples`` drawn by hash of the key.
 
     All rows are counted.  Phrases are tested inside the row, so no row is paired with the whole list
-    in a join; ties between positions go to the earlier one.
+    in a join; ties between positions go to the earlier one.  A task keeps its first ``examples`` of a phrase only.
     """
     def first_position(phrase: str) -> Column:
         hits = F.transform(sentences(text), lambda s: F.lower(s).contains(phrase.lower()))
@@ -183,9 +192,18 @@ def trigger_report(df: DataFrame, text: str, phrases: Sequence[str], key: str) -
     hits = df.select(key, F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select(key, "f.phrase", "f.pos")
     per_pos = hits.groupBy("phrase", "pos").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("example"))
     placed = F.when(F.col("pos") >= 0, F.struct((-F.col("n")).alias("n"), F.col("pos")))
-    return per_pos.groupBy("phrase").agg(
+    found = per_pos.groupBy("phrase").agg(
         F.sum("n").alias("texts"), F.min_by("pos", placed).alias("usual_position"), F.min("example").alias("example")
     )
+    return found.join(_drawn(hits, "phrase", key, examples, seed), "phrase")
+
+
+def _drawn(hits: DataFrame, group: str, key: str, n: int, seed: str | int) -> DataFrame:
+    """``group, examples``: the n keys of each group with the least hashes, in the order of these."""
+    order = Window.partitionBy(group).orderBy("__draw", key)
+    ranked = hits.select(group, key, hash_hex(seed, key).alias("__draw")).withColumn("__rank", F.row_number().over(order))
+    picked = ranked.where(F.col("__rank") <= n).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__rank", key))).alias("__picked"))
+    return picked.select(group, F.transform("__picked", lambda e: e[key]).alias("examples"))
 
 
 def before_after(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -204,7 +222,7 @@ def length_distribution(df: DataFrame, text: str) -> DataFrame:
     lengths = df.where(F.col(text).isNotNull()).select(F.length(text).cast("double").alias("n"))
     row = lengths.agg(F.count(F.lit(1)).alias("texts"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.max("n").alias("greatest"))
     marks = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
-    found = exact_quantiles(lengths, [], "n", list(marks.values()))
+    found = column_quantiles(lengths, ["n"], list(marks.values()))
     wide = found.agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in marks.items()])
     return row.join(F.broadcast(wide), F.lit(True)).select("texts", "least", "median", "mean", "p75", "p90", "p95", "greatest")
 

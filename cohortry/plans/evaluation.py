@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.text import first_rule
+from cohortry.operators import attribution as att
 from cohortry.operators import evaluate as ev
 from cohortry.plans.registry import SUBJECT_SPLIT, Tables, big, query, rnd
 from cohortry.plans.sampling import visit_splits
@@ -158,6 +160,51 @@ def _(t: Tables) -> DataFrame:
     return ev.mutual_information(scored(t), ["coarse", "fine", "logit"], "y").select("feature", rnd("mi").alias("mi"))
 
 
+_KNN_FEATS = list(range(6))
+
+
+@query(
+    "mutual_information_knn",
+    f"""WITH p AS (SELECT vec_id, label, f, embedding[f + 1]::DOUBLE AS x FROM embeddings, unnest({_KNN_FEATS}) AS u(f)),
+s AS (SELECT label, f, count(*) AS size FROM p GROUP BY ALL), q AS (SELECT p.*, size FROM p JOIN s USING (label, f) WHERE size > 1),
+d AS (SELECT a.vec_id, a.f, a.x, any_value(a.size) AS size, least(3, any_value(a.size) - 1) AS k, list_sort(list(abs(b.x - a.x))) AS gaps
+      FROM q a JOIN q b ON a.f = b.f AND a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id, a.f, a.x),
+m AS (SELECT d.f, d.vec_id, any_value(d.size) AS size, any_value(d.k) AS k, count(*) FILTER (abs(q.x - d.x) < gaps[k] OR gaps[k] = 0 AND q.x = d.x) AS m
+      FROM d JOIN q ON q.f = d.f GROUP BY d.f, d.vec_id),
+h AS (SELECT f, count(*) AS n, avg(list_sum([1.0::DOUBLE / i FOR i IN range(1, k)])) AS hk, avg(list_sum([1.0::DOUBLE / i FOR i IN range(1, size)])) AS hs,
+      avg(coalesce(list_sum([1.0::DOUBLE / i FOR i IN range(1, m)]), 0)) AS hm FROM m GROUP BY f)
+SELECT 'x' || f AS feature, round(greatest(0, list_sum([1.0::DOUBLE / i FOR i IN range(1, n)]) + coalesce(hk, 0) - hs - hm), 6) AS mi FROM h""",
+)
+def _(t: Tables) -> DataFrame:
+    table = t.embeddings.select("label", *[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in _KNN_FEATS])
+    return ev.mutual_information_knn(table, [f"x{i}" for i in _KNN_FEATS], "label").select("feature", rnd("mi").alias("mi"))
+
+
+@query("tree_attributions", f"WITH {SCORED} SELECT o_orderkey, true AS adds_up, true AS in_bounds FROM scored WHERE y IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    """For each labelled row, whether a forest's attributions and its mean prediction add up to the forest's own prediction of the row."""
+    rows = scored(t).where("y is not null").select("o_orderkey", "y", F.array("coarse", "fine", "logit", "z2").cast("array<double>").alias("x"))
+    model = att.fit_forest(rows, F.col("x"), "y", trees=5, depth=4)
+    found = model.transform(att.attributed(rows, "x", model).withColumn("features", array_to_vector("x")))
+    total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda a, v: a + v)
+    return found.select(
+        "o_orderkey", (F.abs(total - vector_to_array("probability")[1]) < 1e-9).alias("adds_up"), F.forall("attributions", lambda v: F.abs(v) <= 1).alias("in_bounds")
+    )
+
+
+@query(
+    "attributed_importance",
+    """SELECT feature, true AS in_bounds, true AS informed FROM (VALUES ('coarse'), ('fine'), ('logit'), ('z2')) v(feature)
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus <> 'P')""",
+)
+def _(t: Tables) -> DataFrame:
+    """Mean absolute attributions: the two features that the outcome moves have more than the others."""
+    found = att.attributed_importance(scored(t), ["coarse", "fine", "logit", "z2"], "y", trees=10, depth=4)
+    moved = F.col("feature").isin("coarse", "logit")
+    sides = found.agg(F.min(F.when(moved, F.col("importance"))).alias("least"), F.max(F.when(~moved, F.col("importance"))).alias("most"))
+    return found.join(F.broadcast(sides), F.lit(True)).select("feature", F.col("importance").between(0, 1).alias("in_bounds"), (F.col("least") > F.col("most")).alias("informed"))
+
+
 @query(
     "spearman",
     f"""WITH {SCORED}, r AS (SELECT rank() OVER (ORDER BY coarse) + (count(*) OVER (PARTITION BY coarse) - 1) / 2.0 AS a,
@@ -210,18 +257,19 @@ def _(t: Tables) -> DataFrame:
 @query(
     "baseline_model",
     f"""WITH {SUBJECT_SPLIT}, {SCORED}, s AS (SELECT split, y, y2 FROM scored JOIN orders USING (o_orderkey) JOIN splits ON o_custkey = subject_id)
-SELECT split, 'y' AS target, count(y)::BIGINT AS n, true AS better_than_chance FROM s GROUP BY ALL
+SELECT split, 'y' AS target, count(y)::BIGINT AS n, true AS reaches_chance FROM s GROUP BY ALL
 UNION ALL SELECT split, 'y2', count(y2)::BIGINT, true FROM s GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    """Train on one split; per split and target the labelled rows, and whether the order of all the target's rows beats chance (a split alone may be too small)."""
+    """Train on one split; per split and target the labelled rows, and whether the area of the split itself reaches chance, less the
+    error that its numbers of both classes allow."""
     table = scored(t).join(visit_splits(t).select(F.col("visit_id").alias("o_orderkey"), "split"), "o_orderkey")
     table = table.withColumn("x", F.array("coarse", "fine", "logit"))
     logits = ev.baseline_model(table.select("o_orderkey", "split", "x", "y", "y2"), "x", ["y", "y2"], "o_orderkey")
-    sizes = logits.groupBy("split").agg(F.count("y").alias("y"), F.count("y2").alias("y2"))
     parts = [
-        sizes.join(F.broadcast(ev.auroc(logits, y, f"logit_{y}")), F.lit(True))
-        .select("split", F.lit(y).alias("target"), F.col(y).alias("n"), (F.col("auroc") > 0.5).alias("better_than_chance"))
+        ev.auroc(logits, y, f"logit_{y}", ["split"])
+        .join(ev.auroc_margin(logits, y, ["split"]), "split")
+        .select("split", F.lit(y).alias("target"), (F.col("positives") + F.col("negatives")).alias("n"), (F.col("auroc") >= 0.5 - F.col("margin")).alias("reaches_chance"))
         for y in ("y", "y2")
     ]
     return parts[0].unionByName(parts[1])

@@ -332,12 +332,13 @@ _PHRASES = ["tion", "Le ", "the ", "sch", "qzx", "(c)"]
     f"""WITH s AS (SELECT doc_id, text, {_SENT} AS sents FROM documents), p AS (SELECT unnest({_PHRASES!r}) AS phrase),
 h AS (SELECT doc_id, phrase, list_position(list_transform(sents, lambda x: contains(lower(x), lower(phrase))), true) - 1 AS pos FROM s JOIN p ON contains(text, phrase)),
 c AS (SELECT phrase, pos, count(*) AS n, row_number() OVER (PARTITION BY phrase ORDER BY count(*) DESC, pos) AS r FROM h WHERE pos >= 0 GROUP BY 1, 2)
-SELECT h.phrase, count(*)::BIGINT AS texts, any_value(c.pos)::BIGINT AS usual_position, min(doc_id) AS example
+SELECT h.phrase, count(*)::BIGINT AS texts, any_value(c.pos)::BIGINT AS usual_position, min(doc_id) AS example,
+  array_to_string(list(doc_id ORDER BY md5(concat_ws('|', doc_id, '5')), doc_id)[1:3], ',') AS examples
 FROM h LEFT JOIN c ON c.phrase = h.phrase AND c.r = 1 GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
-    report = top.trigger_report(t.documents, "text", _PHRASES, "doc_id")
-    return report.withColumn("usual_position", big("usual_position"))
+    report = top.trigger_report(t.documents, "text", _PHRASES, "doc_id", examples=3, seed=5)
+    return report.withColumns({"usual_position": big("usual_position"), "examples": F.array_join("examples", ",")})
 
 
 @query(
