@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, and a word, as Java regular expressions.
@@ -43,7 +43,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: later steps don't depend on the executors that made it."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def in_blocks(rows: DataFrame, by: list[str], inner: Column, load: Column, key: str) -> DataFrame:
+    """``rows`` with ``lo, hi, part``: those of a group meet in blocks, of which two at a time (or one with itself) are one task's work.
+
+    ``load`` is what a row weighs; a block weighs about 1. Rows that are ``inner`` are compared with others only, never among
+    themselves, so that a group of many inner rows takes work in proportion to them. A group of weight 1 is one block. ``key`` deals rows
+    to blocks. Part of a row is the block it is in; ``lo`` and ``hi`` are the two that meet.
+    """
+    rows = rows.withColumns({"__inner": inner, "__load": load})
+    sums = rows.groupBy(*by).agg(*(F.sum(F.when(F.col("__inner") == side, F.col("__load")).otherwise(0.0)).alias(n) for n, side in (("__in", True), ("__out", False))))
+    large = sums.where(F.col("__in") + F.col("__out") > 1).select(*by, F.ceil("__out").alias("__bo"), F.ceil("__in").alias("__bi"))
+    dealt = rows.join(large, by, "left")
+    place = lambda n: F.pmod(F.xxhash64(key), F.greatest(n, F.lit(1)))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    part = F.when(F.col("__bo").isNull(), 0).when(F.col("__inner"), F.col("__bo") + place(F.col("__bi"))).otherwise(place(F.col("__bo")))
+    met = F.when(F.col("__bo").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("__inner"), upto(F.col("__bo"))).otherwise(upto(F.col("__bo") + F.col("__bi")))
+    dealt = dealt.withColumn("part", part.cast("long")).withColumn("__with", F.explode(met))
+    dealt = dealt.withColumns({"lo": F.least("part", "__with"), "hi": F.greatest("part", "__with")})
+    return dealt.drop("__inner", "__load", "__bo", "__bi", "__with")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:

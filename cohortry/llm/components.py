@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import written
+from cohortry.llm.common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,13 +35,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Edges lead either way, may repeat, and may have nulls (left out) or loops (left out). Empty in, empty out. Nodes are of any type
     that has an order. No node's neighbours meet in one task: minima are combined before they are shuffled, and joins on a node of
-    high degree are split by adaptive execution. Each round is written to the shared folder; their number grows with the logarithm.
+    high degree are split by adaptive execution. Each round is written to the shared folder, and the one before it removed; their number
+    grows with the logarithm.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     now = written(now.where("u <> v").distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(before)
         digest = _digest(now)
         if digest == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ COVERAGE, CONSISTENT = 0.5, 0.8
 RUN = 13
 #: Items of fewer words than the key also have windows of this width, of which one replaced word breaks less than half.
 SHORTER = {14: 4, 23: 5}
+#: Documents that repeat an item of fewer words than this are reported, not taken out: such an item stands in clean texts, too.
+LEAST_WORDS = 3
 #: Windows of an item that stand at most so far from where the others put the item belong to one place.
 NEAR = 16
 UNITS = (
@@ -145,13 +148,13 @@ def _narrow(size: int) -> int:
     return 0 if size < WIDTH else next((w for below, w in sorted(SHORTER.items()) if size < below), 0)
 
 
-_ITEM = "s int, at long, h long, slots array<long>, nth long, total long, before long, behind long"
+_ITEM = "sig binary, words long, s int, at long, h long, slots array<long>, nth long, total long, before long, behind long"
 
 
 def item_windows(benchmark: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``id, s, at, h, slots, nth, total, before, behind``: the windows by which items are found.
+    """``id, sig, words, s, at, h, slots, nth, total, before, behind``: the windows by which items are found.
 
-    ``s`` is 16 times the kind and the width; windows of one item and one ``s`` are judged together. ``nth`` counts usable windows,
+    ``sig`` is the digest of the item's words and kinds of words: items of one ``sig`` have the same windows. ``s`` is 16 times the kind and the width; windows of one item and one ``s`` are judged together. ``nth`` counts usable windows,
     ``total`` is what a document's windows are compared with, ``before`` and ``behind`` count plain words before the window and its end.
     """
     chosen = benchmark.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
@@ -159,7 +162,8 @@ def item_windows(benchmark: DataFrame, row_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             t = _Templates(*utf8(batch.column("text")))
-            bounds, sizes = t.words.bounds, t.sizes
+            bounds, sizes, typed = t.words.bounds, t.sizes, t.kinds[TYPED]
+            sig = [md5(t.value[a:b].tobytes() + typed[a:b].tobytes()).digest() for a, b in zip(bounds[:-1], bounds[1:])]
             narrow = np.array([_narrow(int(x)) for x in sizes], np.int64)
             found = np.zeros(len(sizes), bool)
             for which, width in [(k, w) for k in (TYPED, FOLDED, EXACT) for w in range(1, WIDTH + 1)]:
@@ -182,10 +186,11 @@ def item_windows(benchmark: DataFrame, row_id: str, text: str) -> DataFrame:
                 longs = [pa.array(x, pa.int64()) for x in (nth, total[row], plain[at] - plain[bounds[row]], plain[at + width] - plain[bounds[row]])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").take(pa.array(row)), pa.array(np.full(len(at), which * 16 + width), pa.int32()), pa.array(at - bounds[row], pa.int64()),
+                        batch.column("id").take(pa.array(row)), pa.array([sig[r] for r in row], pa.binary()), pa.array(sizes[row], pa.int64()),
+                        pa.array(np.full(len(at), which * 16 + width), pa.int32()), pa.array(at - bounds[row], pa.int64()),
                         pa.array(t.hashes(which, width)[at].view(np.int64)), pa.array(t.values(which, width, at), pa.list_(pa.int64())), *longs,
                     ],
-                    ["id", "s", "at", "h", "slots", "nth", "total", "before", "behind"],
+                    ["id", "sig", "words", "s", "at", "h", "slots", "nth", "total", "before", "behind"],
                 )
 
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, {_ITEM}")
@@ -212,7 +217,7 @@ def document_windows(docs: DataFrame, row_id: str, text: str, sets: list[int], b
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, n_windows, n_item_windows, consistency`` for each document that repeats an item, also with other values.
+    """``doc_id, item_id, n_windows, n_item_windows, consistency, n_item_words`` for each document that repeats an item, also with other values.
 
     ASCII punctuation is left out and capitals count as small letters (where both are as long in UTF-8; ß as ss). An item has two sets
     of windows: in one, words of digits, words in Title case and units are placeholders, in the other only digits and units are, so that
@@ -227,12 +232,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     asks one question several times with several values; chance fits of templates are not. The row tells of the best of these.
 
     Rows of one id count as one document, null is an id like any other. Null and empty texts match nothing; with an empty benchmark the
-    result is empty. Repeated items are found each. Other columns are not looked at.
+    result is empty. Items of the same words are one until the end, then found each. Other columns are not looked at.
     """
-    items = written(item_windows(benchmark, item_id, item_text), "items")
+    listed = written(item_windows(benchmark, item_id, item_text), "items")
+    members, items = listed.select("sig", "id").distinct(), listed.drop("id").dropDuplicates(["sig", "s", "at"])
     sets = [r.s for r in items.select("s").distinct().collect()]
     found = document_windows(docs, doc_id, text, sets, bit_filter(items.select("h")))
-    items = items.withColumnsRenamed({"id": "item", "at": "item_at", "slots": "item_slots"})
+    items = items.withColumnsRenamed({"sig": "item", "at": "item_at", "slots": "item_slots"})
     hits = found.withColumnRenamed("id", "doc").join(items, "h").drop("h").withColumn("run", F.col("at") - F.col("item_at"))
     # places whose windows are judged together: the whole document, a run, two grids of neighbouring runs
     place = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
@@ -242,10 +248,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = written(hits.withColumn("places", places), "hits").withColumn("place", F.explode("places"))
     by = ["doc", "item", "s", "place"]
     # one row for each window of an item in a place, then pieces of windows without a gap, then places
-    held = hits.select(*by, "item_at", "nth", "total", "before", "behind").distinct()
+    held = hits.select(*by, "item_at", "nth", "total", "before", "behind", "words").distinct()
     pieces = held.withColumn("piece", F.col("nth") - F.row_number().over(Window.partitionBy(*by).orderBy("nth")))
-    pieces = pieces.groupBy(*by, "total", "piece").agg(F.count(F.lit(1)).alias("n"), (F.max("behind") - F.min("before")).alias("span"))
-    judged = pieces.groupBy(*by, "total").agg(F.sum("n").alias("n"), F.max("span").alias("span"))
+    pieces = pieces.groupBy(*by, "total", "words", "piece").agg(F.count(F.lit(1)).alias("n"), (F.max("behind") - F.min("before")).alias("span"))
+    judged = pieces.groupBy(*by, "total", "words").agg(F.sum("n").alias("n"), F.max("span").alias("span"))
     piece = wide & (F.col("s") < 16 * EXACT) & (F.col("place.kind") == 3) & (F.col("span") >= RUN)
     judged = judged.where(F.when(F.col("s") >= 16 * EXACT, F.col("n") == F.col("total")).otherwise((F.col("n") >= COVERAGE * F.col("total")) | piece))
     # a slot counts once for each value it has, however many windows hold it
@@ -256,12 +262,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     slots = slots.groupBy(*by).agg((F.sum("most") / F.sum("n")).alias("consistency")).withColumnsRenamed({c: f"{c}_" for c in by})
     same = [judged[c].eqNullSafe(slots[f"{c}_"]) for c in ("doc", "item")] + [judged[c] == slots[f"{c}_"] for c in ("s", "place")]
     judged = judged.join(slots, same[0] & same[1] & same[2] & same[3], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).where(F.col("consistency") >= CONSISTENT)
-    best = F.max(F.struct("consistency", (F.col("n") / F.col("total")).alias("share"), "n", "total")).alias("best")
-    judged = judged.groupBy("doc", "item").agg(best)
-    return judged.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("best.n").alias("n_windows"), F.col("best.total").alias("n_item_windows"), "best.consistency")
+    best = F.max(F.struct("consistency", (F.col("n") / F.col("total")).alias("share"), "n", "total", "words")).alias("best")
+    judged = judged.groupBy("doc", "item").agg(best).join(members, F.col("item") == F.col("sig"))
+    judged = judged.groupBy("doc", "id").agg(F.max("best").alias("best"))
+    shown = [F.col("best.n").alias("n_windows"), F.col("best.total").alias("n_item_windows"), "best.consistency", F.col("best.words").alias("n_item_words")]
+    return judged.select(F.col("doc").alias(doc_id), F.col("id").alias(item_id), *shown)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that repeat an item of the benchmark, all columns."""
-    leaked = contaminated(docs, benchmark, doc_id, text).select(F.col(doc_id).alias("__leaked")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the documents that repeat an item of LEAST_WORDS words or more, all columns.
+
+    Shorter items stand in clean texts by chance; ``contaminated`` reports them with their ``n_item_words``.
+    """
+    found = contaminated(docs, benchmark, doc_id, text, item_id, item_text).where(F.col("n_item_words") >= LEAST_WORDS)
+    leaked = found.select(F.col(doc_id).alias("__leaked")).distinct()
     return docs.join(leaked, docs[doc_id].eqNullSafe(leaked["__leaked"]), "left_anti")

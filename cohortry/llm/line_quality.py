@@ -66,21 +66,24 @@ def _keyed(docs: DataFrame, host: str, text: str, *more: Column) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """``__host, __md5, lines, removed_words`` for each distinct text of a host that holds boilerplate lines.
+    """``__host, __md5, places, removed_words`` for each distinct text of a host that holds boilerplate lines.
 
-    Documents are counted by distinct text, so that copies of one text don't make its lines boilerplate.
+    ``places`` are those of the lines among all lines of the text. Documents are counted by distinct text, so that copies of one text
+    don't make its lines boilerplate.
     """
     rows = _keyed(docs, host, text)
-    in_text = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD_RE))
-    counted = F.transform(in_text, lambda x: F.struct(_line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD_RE)).alias("n")))
-    # place tells apart the lines of one text, so that rows of equal texts fall together
-    lines = rows.select("__host", "__md5", F.posexplode(counted).alias("place", "c")).select("__host", "__md5", "place", "c.line", "c.n").distinct()
-    held = lines.groupBy("__host", "__md5", "line").agg(F.sum("n").alias("n"), F.max("n").alias("words"))
+    counted = F.transform(
+        F.split("__text", "\n", -1),
+        lambda x, i: F.when(x.rlike(WORD_RE), F.struct(i.alias("place"), _line_hash(x).alias("line"), F.regexp_count(x, F.lit(WORD_RE)).alias("n"))),
+    )
+    # the place tells apart the lines of one text, so that rows of equal texts fall together
+    lines = rows.select("__host", "__md5", F.explode(F.filter(counted, lambda c: c.isNotNull())).alias("c")).select("__host", "__md5", "c.place", "c.line", "c.n").distinct()
+    held = lines.groupBy("__host", "__md5", "line").agg(F.sum("n").alias("n"), F.max("n").alias("words"), F.collect_list("place").alias("places"))
     texts = rows.select("__host", "__md5").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("texts"))
     counts = held.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("in_texts"), F.max("words").alias("words")).where(F.col("in_texts") >= MIN_TEXTS)
     frequent = counts.join(texts, "__host").where((F.col("words") >= LONG_LINE) | (F.col("in_texts") >= F.col("texts") * SHARE)).select("__host", "line")
     found = held.join(frequent, ["__host", "line"]).groupBy("__host", "__md5")
-    return found.agg(F.collect_set("line").alias("lines"), F.sum("n").alias("removed_words"))
+    return found.agg(F.flatten(F.collect_list("places")).alias("places"), F.sum("n").alias("removed_words"))
 
 
 def _measures() -> list[Column]:
@@ -120,14 +123,18 @@ def line_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
 
 
 def apply_quality(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """The documents that are kept, without their boilerplate lines; all columns, other texts as they are."""
-    found = boilerplate(docs, host, text).select(F.col("__host").alias("__h"), F.col("__md5").alias("__m"), "lines", "removed_words")
-    key = F.coalesce(F.col(host), F.lit("")), F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.withColumn("__host", key[0]).withColumn("__md5", key[1])
-    rows = rows.join(found, (F.col("__host") == F.col("__h")) & (F.col("__md5") == F.col("__m")), "left").withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumns({"n_words__": F.size(F.regexp_extract_all("__text", F.lit(WORD_RE), F.lit(0))), "repeat__": repeated_words(F.regexp_extract_all(F.col("__text"), F.lit(WORD_RE), F.lit(0)))})
-    failed = (F.col("n_words__") < MIN_WORDS) | (100 * F.col("repeat__") > MAX_REPEATED * F.col("n_words__"))
-    depleted = F.coalesce("removed_words", F.lit(0)) > DEPLETED * F.col("n_words__")
-    cleaned = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("lines", _line_hash(x))), "\n")
-    kept = rows.where(~failed & ~depleted)
-    return kept.select(*(F.when(F.col("lines").isNull(), F.col(text)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in docs.columns))
+    """The documents that are kept, without their boilerplate lines; all columns of any names, other texts as they are.
+
+    Nulls, empty texts, repeated rows and empty tables count as in ``line_quality``; none of the kept has a null text.
+    """
+    found = boilerplate(docs, host, text)
+    # the row travels as one struct: no name of a document's column can meet a name used here
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("__row")
+    words = lambda: F.regexp_extract_all(F.col("__text"), F.lit(WORD_RE), F.lit(0))
+    rows = _keyed(docs, host, text, whole).join(found, ["__host", "__md5"], "left")
+    rows = rows.withColumns({"n_words": F.size(words()).cast("long"), "n_repeat_words": repeated_words(words())})
+    depleted = F.coalesce("removed_words", F.lit(0)) > DEPLETED * F.col("n_words")
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places")), lambda i: F.get(lines, i))
+    cleaned = F.when(F.col("places").isNull(), F.col("__text")).otherwise(F.array_join(_let(F.split("__text", "\n", -1), left), "\n"))
+    kept = rows.where(~base_failed() & ~depleted)
+    return kept.select(*(cleaned.alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns))

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Words, bit_filter, constants, mix, passes, slices, utf8, written
+from cohortry.llm.common import Words, bit_filter, constants, discard, in_blocks, mix, passes, slices, utf8, written
 from cohortry.llm.components import connected_components
 
 #: Words in a shingle, per cent of similarity that links, bands and registers in a band. Two texts at the threshold of 85 % miss
@@ -18,6 +18,8 @@ from cohortry.llm.components import connected_components
 WIDTH, PERCENT, BANDS, ROWS = 5, 85, 32, 4
 #: A block of texts that are compared in one task has about so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 20
+#: Of bands with up to so many sets the pairs are compared that no other band has.
+FEW = 6
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -93,11 +95,35 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, n_shingles long, fp binary, bands array<long>")
 
 
-def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within one block, or between two: a spanning forest of them, by exact counts on whole sets."""
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _of_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a pivot and the sets around it, by exact counts on whole sets; a pivot comes before the sets around it."""
+    pivot, middle = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        found = []
+        for fp, near, raw in zip(*(batch.column(c).to_pylist() for c in ("fp", "pivot", "shingles"))):
+            own = np.frombuffer(raw, np.uint64)
+            if fp == near:
+                pivot, middle = near, own
+            elif near == pivot and _similar(middle, own):
+                found.append((fp, near))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
+def _verified(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links within one block, or between two, of sets that aren't of one tree yet: a spanning forest of them, by exact counts on whole sets."""
     pdf = pdf.drop_duplicates("fp").sort_values("fp")
     sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-    fps, part = pdf["fp"].tolist(), pdf["part"].to_numpy()
+    fps, part, tree = pdf["fp"].tolist(), pdf["part"].to_numpy(), pdf["tree"].to_numpy()
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -113,7 +139,8 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
         has[owner[a:b], column[a:b] - begin] = 1
         both += has @ has.T
     linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
-    if len(np.unique(part)) > 1:
+    linked &= tree[:, None] != tree[None, :]
+    if key[-2] != key[-1]:
         linked &= part[:, None] != part[None, :]
     root = list(range(len(sets)))
 
@@ -138,8 +165,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Words are split at white space, A-Z counts as a-z; the set of a text is its distinct shingles of five words (all words if fewer).
     Two texts are linked if 100 * intersection >= 85 * union; ``component_id`` is the least id reachable over links, ``kept`` says
     whether that is the row's own. Equal sets are one node from the start, so that copies cost nothing more. Sets that share a band
-    (of SuperMinHash registers) form candidate groups; in each, all sets are compared exactly, in blocks, so that a group of any size
-    is spread over tasks and no link is lost among candidates.
+    (of SuperMinHash registers) are candidates, and only those are compared, exactly and on whole sets: first each with one of its band
+    (the pivot), then, in bands whose sets are not all of one tree of links by that, those of different trees: each pair once where a
+    band has a few sets, in blocks else. So a group of near copies takes one comparison a set, and chains of bands are never compared from
+    end to end.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Null id: the row stands alone, component null, kept. Rows with one id
     and the same text are one document; with one id and other texts each text is linked on its own. Other columns are not looked at.
@@ -148,20 +177,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     known = rows.where("fp is not null and id is not null")
     # the bands of equal sets are equal
     classes = written(known.groupBy("fp").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands")), "classes")
-    banded = classes.select("fp", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
-    banded = written(banded.join(crowded, "band"), "crowded")
-    pivots = banded.groupBy("band").agg(F.min("fp").alias("pivot"))
-    stars = banded.join(pivots, "band").where("fp <> pivot").select("fp", "pivot").distinct()
-    groups = connected_components(stars, "fp", "pivot")
+    banded = classes.select("fp", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets")
+    crowded = written(banded.join(shared, "band"), "crowded")
+    pivots = crowded.groupBy("band").agg(F.min("fp").alias("pivot"))
+    stars = written(crowded.join(pivots, "band").where("fp <> pivot").select("fp", "pivot", "n").distinct(), "stars")
+    sets = _sets(docs, doc_id, text, crowded.select("fp").distinct().join(classes.select("fp", "id"), "fp"))
+
+    trees = connected_components(_linked_to_pivots(stars, sets), "a", "b").withColumnRenamed("component", "tree")
+
+    labelled = crowded.join(trees, F.col("fp") == F.col("node"), "left").select("band", "fp", "n", F.coalesce("tree", "fp").alias("tree"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(s), "fp", "tree")).alias(f"x{s}") for s in (0, 1)]
+    ends = labelled.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), *marks, F.min(F.xxhash64("tree")).alias("lo"), F.max(F.xxhash64("tree")).alias("hi"))
+    # of bands with the same sets one is enough
+    mixed = ends.where("lo <> hi").groupBy("sets", "x0", "x1").agg(F.min("band").alias("band")).select("band", "sets")
+    mixed = written(labelled.join(mixed, "band"), "mixed")
+    # a few sets: each pair once, however many bands it shares
+    few = mixed.where(F.col("sets") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("fp", "tree", "n"))).alias("own"))
+    pairs = few.select("own", F.explode("own").alias("x")).select("x", F.explode(F.filter("own", lambda y: (y["fp"] < F.col("x.fp")) & (y["tree"] != F.col("x.tree")))).alias("y"))
+    pairs = pairs.select("x.fp", F.col("y.fp").alias("pivot"), "x.n").distinct()
+    mixed_many = mixed.where(F.col("sets") > FEW).drop("sets")
+    most = mixed_many.groupBy("band", "tree").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("tree", F.struct("c", "tree")).alias("main"))
+    work = in_blocks(mixed_many.join(most, "band"), ["band"], F.col("tree") == F.col("main"), _load(), "fp").select("band", "lo", "hi", "part", "fp", "tree")
+    second = work.join(sets, "fp").groupBy("band", "lo", "hi").applyInPandas(_verified, "a binary, b binary")
+    second = second.unionByName(_linked_to_pivots(written(pairs, "pairs"), sets))
+    joined = second.join(trees.select(F.col("node").alias("a"), F.col("tree").alias("ta")), "a", "left").join(trees.select(F.col("node").alias("b"), F.col("tree").alias("tb")), "b", "left")
+    over = connected_components(joined.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")), "a", "b")
+    discard(crowded, stars, sets, mixed)
+
+    linked = classes.select("fp", "id").join(trees, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("tree", "fp").alias("tree"), F.col("tree").isNotNull().alias("linked"))
+    linked = linked.join(over, F.col("tree") == F.col("node"), "left").where("linked or node is not null").select("fp", "id", F.coalesce("component", "tree").alias("component"))
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    linked = linked.join(least, "component").select("fp", "least")
+    labels = classes.select("fp", "id").join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("label"))
+    found = rows.select("id", "n_shingles", "fp").join(labels, "fp", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
+    return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _load() -> Column:
+    return F.greatest(F.lit(1.0 / BLOCK_TEXTS), F.col("n") / float(BLOCK_SHINGLES))
+
 
-    members = groups.join(classes.drop("bands"), groups["node"] == classes["fp"]).select("fp", "id", "n", F.col("component").alias("grp"))
-    blocks = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    members = written(members.join(blocks, "grp").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks"))), "members")
+def _linked_to_pivots(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: the links among the pairs ``fp, pivot`` (``n`` shingles in the set of fp); a pivot with many sets around it is dealt to several tasks."""
+    parts = stars.groupBy("pivot").agg(F.ceil(F.sum(_load())).alias("parts"))
+    around = stars.join(parts, "pivot").select("fp", "pivot", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    middle = parts.select(F.col("pivot").alias("fp"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    star = around.unionByName(middle).join(sets, "fp").select("fp", "pivot", "part", "shingles")
+    star = star.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("fp") != F.col("pivot"))
+    return star.mapInArrow(_of_stars, "a binary, b binary")
 
-    bits = bit_filter(members.select(F.xxhash64("id").alias("h")))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``fp, shingles`` of the wanted sets (``fp, id``), each from the text of its id; written."""
+    bits = bit_filter(wanted.select(F.xxhash64("id").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = batch.filter(pa.array(passes(bits, batch.column("h").to_numpy().view(np.uint64))))
             for part in slices([chosen], "text"):
@@ -169,19 +241,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("asked"), _fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["asked", "made", "shingles"])
 
     asked = docs.select(F.col(doc_id).alias("asked"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
-    sets = asked.mapInArrow(sets_of, f"asked {dict(asked.dtypes)['asked']}, made binary, shingles binary")
-    work = members.join(sets, (F.col("fp") == F.col("made")) & (F.col("id") == F.col("asked")))
-    work = work.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("grp", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "fp", "shingles")
-    links = work.groupBy("grp", "lo", "hi").applyInPandas(_verified, "a binary, b binary")
-
-    linked = connected_components(links, "a", "b").join(classes.select("fp", "id"), F.col("node") == F.col("fp"))
-    least = linked.groupBy("component").agg(F.min("id").alias("least"))
-    linked = linked.join(least, "component").select("fp", "least")
-    labels = classes.select("fp", "id").join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("label"))
-    found = rows.select("id", "n_shingles", "fp").join(labels, "fp", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
-    return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    made = asked.mapInArrow(run, f"asked {dict(asked.dtypes)['asked']}, made binary, shingles binary")
+    found = wanted.join(made, (F.col("fp") == F.col("made")) & (F.col("id") == F.col("asked")))
+    # rows that repeat an id and its text give the set again
+    return written(found.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

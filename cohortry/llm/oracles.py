@@ -59,7 +59,7 @@ dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY
 keyed AS (SELECT doc_id, host, m, lower(trim(regexp_replace(line, '{_SPACE}', ' ', 'g'))) AS k, len(regexp_extract_all(line, '{_WORD}')) AS n FROM lines),
 texts AS (SELECT host, count(DISTINCT md5(t)) AS texts FROM d GROUP BY host),
 frequent AS (SELECT host, k FROM keyed JOIN texts USING (host) GROUP BY host, k, texts
-             HAVING count(DISTINCT m) >= {q.MIN_TEXTS} AND count(DISTINCT m) >= texts * {q.SHARE}::DOUBLE),
+             HAVING count(DISTINCT m) >= {q.MIN_TEXTS} AND (max(n) >= {q.LONG_LINE} OR count(DISTINCT m) >= texts * {q.SHARE}::DOUBLE)),
 removed AS (SELECT doc_id, sum(n) AS n FROM keyed JOIN frequent USING (host, k) GROUP BY doc_id),
 out AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(w.t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(w.t, '[^{q.SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import slices
+from cohortry.llm.common import slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: A candidate that the base rules don't have becomes a span from this probability on.
 THRESHOLD = 0.9
+#: The classifier is fitted on at most so many spans for each kind and pattern of votes (those of least hash), and has so many features.
+SAMPLED, FEATURES = 128, 1 << 12
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -114,8 +119,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     loose += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]
     if ":" in text:
         loose += [("ip", m.start(), m.end()) for m in _SIX.finditer(text) if m.group().count(":") > 1 and re.search("[0-9]", m.group())]
-    taken = [(a, b) for _, a, b in base]
-    return [x for x in loose if all(x[2] <= a or b <= x[1] for a, b in taken)]
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
+    return [x for x in loose if reach[bisect_left(starts, x[2])] <= x[1]]
 
 
 def _address(span: str) -> bool:
@@ -157,25 +163,53 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> tuple[int
     return (1 if strict else 0, int(listed), context, shape)
 
 
-def patterns(docs: DataFrame, text: str = "text") -> list[tuple]:
-    """(kind, votes, number) over all spans and candidates of all documents: at most 96 rows, counted by Spark."""
+def features(text: str, kind: str, start: int, end: int, vote: tuple) -> list[int]:
+    """Numbers of the features of a span: its votes, runs of three in its shape, the characters beside it and the words around it.
+
+    The first number stands for all spans; shapes write digits as 0 and letters as a or A.
+    """
+    shape = "^" + re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text[start:end][:80]))) + "$"
+    before = re.findall(r"[^\W_]+", text[max(0, start - 40) : start].lower())[-2:][::-1]
+    after = re.findall(r"[^\W_]+", text[end : end + 40].lower())[:2]
+    names = [f"vote {j} {x}" for j, x in enumerate(vote) if x >= 0] + [f"shape {g}" for g in {shape[i : i + 3] for i in range(len(shape) - 2)}]
+    names += [f"left {j} {w}" for j, w in enumerate(before)] + [f"right {j} {w}" for j, w in enumerate(after)]
+    names += [f"beside {text[start - 1 : start]}|{text[end : end + 1]}", f"digits {len(_digits(text[start:end]))}"]
+    return [0, *sorted({1 + crc32(x.encode()) % (FEATURES - 1) for x in names})]
+
+
+def patterns(docs: DataFrame, text: str = "text") -> tuple[list[tuple], list[tuple]]:
+    """(kind, votes, number) over all spans and candidates of all documents, at most 96 rows, counted by Spark; and of each of these at
+    most SAMPLED spans as (kind, votes, features): those whose surroundings have the least hash, equal ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = {}
+        sample: dict[tuple, dict[int, list[int]]] = {}
         for batch in slices(batches, "text"):
             for one in batch.column("text").to_pylist():
-                if one:
-                    base = base_spans(one)
-                    for strict, spans in ((True, base), (False, candidates(one, base))):
-                        for kind, a, b in spans:
-                            key = (kind, *votes(one, kind, a, b, strict))
-                            counts[key] = counts.get(key, 0) + 1
-        columns = list(zip(*counts)) if counts else [()] * 5
-        kinds = [pa.string(), *[pa.int32()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(list(counts.values()), pa.int64())], ["kind", "v0", "v1", "v2", "v3", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, v0 int, v1 int, v2 int, v3 int, n long")
-    return sorted(tuple(r) for r in rows.groupBy("kind", "v0", "v1", "v2", "v3").agg(F.sum("n").alias("n")).collect())
+                if not one:
+                    continue
+                base = base_spans(one)
+                for strict, spans in ((True, base), (False, candidates(one, base))):
+                    for kind, a, b in spans:
+                        vote = votes(one, kind, a, b, strict)
+                        key = (kind, *vote)
+                        counts[key] = counts.get(key, 0) + 1
+                        held, draw = sample.setdefault(key, {}), crc32(one[max(0, a - 40) : b + 40].encode())
+                        if draw not in held and (len(held) < SAMPLED or draw < max(held)):
+                            held[draw] = features(one, kind, a, b, vote)
+                            if len(held) > SAMPLED:
+                                del held[max(held)]
+        rows = [(*k, n, None, None) for k, n in counts.items()] + [(*k, 0, draw, f) for k, held in sample.items() for draw, f in held.items()]
+        kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*key_names, "n", "draw", "features"])
+
+    key_names = ["kind", "v0", "v1", "v2", "v3"]
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, v0 int, v1 int, v2 int, v3 int, n long, draw long, features array<int>")
+    rows = written(rows, "votes")
+    counted = rows.where("draw is null").groupBy(*key_names).agg(F.sum("n").alias("n"))
+    drawn = rows.where("draw is not null").groupBy(*key_names, "draw").agg(F.min("features").alias("features"))
+    drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(*key_names).orderBy("draw"))).where(F.col("rank") <= SAMPLED)
+    return sorted(tuple(r) for r in counted.collect()), sorted(tuple(r) for r in drawn.select(*key_names, "features").collect())
 
 
 def em(v: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
@@ -197,37 +231,45 @@ def em(v: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.n
     return right, wrong, post
 
 
-def features(v: np.ndarray) -> np.ndarray:
-    """A constant, and each vote as two indicators."""
-    return np.column_stack([np.ones(len(v)), *(v[:, j] == x for j in range(v.shape[1]) for x in (0, 1))]).astype(float)
-
+def train(counted: list[tuple], drawn: list[tuple], rounds: int = 200) -> dict[str, np.ndarray]:
+    """For each kind the weights of a logistic classifier of spans, fitted on the posteriors that expectation-maximisation gives.
 
-def train(counted: list[tuple], rounds: int = 300) -> dict[str, list[float]]:
-    """For each kind the weights of a logistic span classifier, fitted on the posteriors that expectation-maximisation gives."""
+    A pattern of votes counts by the logarithm of its number, so that rare ones are fitted, too; rows of a pattern share its weight.
+    """
     model = {}
     for kind in KINDS:
         own = [r for r in counted if r[0] == kind]
+        rows = [r for r in drawn if r[0] == kind]
         if not own:
             continue
-        v, n = np.array([r[1:5] for r in own]), np.array([float(r[5]) for r in own])
-        post, x = em(v, n)[2], features(v)
-        w = np.zeros(x.shape[1])
+        n = np.array([float(r[5]) for r in own])
+        post = dict(zip([r[1:5] for r in own], em(np.array([r[1:5] for r in own]), n)[2]))
+        shared = {r[1:5]: np.log2(1 + r[5]) for r in own}
+        held = {v: sum(r[1:5] == v for r in rows) for v in shared}
+        owner = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
+        column = np.concatenate([r[5] for r in rows])
+        want, weight = np.array([post[r[1:5]] for r in rows]), np.array([shared[r[1:5]] / held[r[1:5]] for r in rows])
+        w, seen = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-            w -= np.linalg.solve(h, x.T @ (n * (p - post)) + w)
-        model[kind] = w.tolist()
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[column], len(rows)), -30, 30)))
+            slope = np.bincount(column, (weight * (p - want))[owner], FEATURES) + 1e-3 * w
+            seen += slope * slope
+            w -= 0.5 * slope / np.sqrt(seen)
+        model[kind] = w
     return model
 
 
-def spans(text: str, model: dict[str, list[float]]) -> tuple[list, list]:
+def spans(text: str, model: dict[str, np.ndarray]) -> tuple[list, list]:
     """Base spans, and all spans: base ones stay, candidates are added if the classifier is sure."""
     base = base_spans(text)
-    added = []
+    added, places = [], []
     for kind, a, b in candidates(text, base):
         if kind in model:
-            z = float(features(np.array([votes(text, kind, a, b, False)]))[0] @ np.array(model[kind]))
-            if 1 / (1 + np.exp(-z)) >= THRESHOLD and all(b <= s or e <= a for _, s, e in added):
+            z = model[kind][features(text, kind, a, b, votes(text, kind, a, b, False))].sum()
+            at = bisect_left(places, (b,))
+            # places don't overlap, so that only the last one that begins before this one's end can meet it
+            if 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD and (not at or places[at - 1][1] <= a):
+                insort(places, (a, b))
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -239,12 +281,12 @@ def spans_text(found: list[tuple[str, int, int]]) -> str:
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row; counts and digest are of base spans.
 
-    Two passes over the texts: votes are counted by pattern for the whole corpus, weights are trained on those counts, then each text
-    is searched. Null text counts as empty. Repeated rows are searched each; null ids are kept; empty in, empty out.
+    Two passes over the texts: votes are counted by pattern for the whole corpus and some spans of each pattern are kept, the classifier
+    is trained on those and the posteriors of their patterns, then each text is searched. Null text counts as empty. Repeated rows are searched each; null ids are kept; empty in, empty out.
     """
     import hashlib
 
-    model = train(patterns(docs, text))
+    model = train(*patterns(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -273,7 +315,7 @@ def masked(text: str, found: list[tuple[str, int, int]]) -> str:
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with spans masked in ``text``; other columns, and null texts, as they are."""
-    model = train(patterns(docs, text))
+    model = train(*patterns(docs, text))
 
     @F.pandas_udf("string")
     def masking(column: pd.Series) -> pd.Series:

@@ -52,13 +52,15 @@ def _let(value: Column, then) -> Column:
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule's matches, leftmost and non-overlapping, in code points.
 
-    Splitting at the matches gives the texts between them; their lengths and those of the matches add up to the places.
+    Splitting at the matches gives the texts between them; their lengths and those of the matches add up to the places. A list that
+    grows is copied for each element, so n matches are walked in runs of about the root of n, each from its own begin.
     """
     pattern, empty = F.lit(rule.pattern), F.array().cast(f"array<{SPAN}>")
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     # lengths of what stands between matches, of matches, and of the part that must be long enough
     found = F.struct(*(F.transform(x, F.length).alias(c) for c, x in (("b", F.split(text, rule.pattern, -1)), ("m", matches), ("g", judged))))
+    total = lambda numbers: F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["b"]
@@ -67,9 +69,21 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         good = p["m"].isNotNull() & (p["g"] >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+    def runs(parts: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(parts), width), lambda i: F.slice(parts, i, width))
+
+    def joined(cut: Column) -> Column:
+        sizes = F.transform(cut, lambda run: F.aggregate(run, F.lit(0), lambda acc, p: acc + p["b"] + F.coalesce(p["m"], F.lit(0))))
+        begins = lambda size: F.transform(size, lambda _, k: total(F.slice(size, F.lit(1), k)))
+        return _let(
+            _let(sizes, begins),
+            lambda at: F.flatten(F.transform(cut, lambda run, k: F.aggregate(run, F.struct(F.get(at, k).alias("at"), empty.alias("out")), step)["out"])),
+        )
+
     def walk(s: Column) -> Column:
         parts = F.transform(s["b"], lambda b, i: F.struct(b.alias("b"), F.get(s["m"], i).alias("m"), F.get(s["g"], i).alias("g")))
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+        return _let(_let(parts, runs), joined)
 
     return F.when(text.rlike(rule.pattern), _let(found, walk)).otherwise(empty)
 

@@ -76,22 +76,25 @@ def bloom(listed: DataFrame, key: str) -> DataFrame:
 
 
 def listed_rows(rows: DataFrame, key: str, listed: DataFrame, listed_key: str) -> DataFrame:
-    """``rows`` with a boolean ``listed``: whether their key is in the list; null keys are not.
+    """``rows`` and as last column the boolean ``listed``: whether their key is in the list; null keys are not.
 
     The filter is of bounded size, so it is sent to all tasks; only rows that pass it are joined with the list, which removes false
     positives. Hot keys on the side of the rows are split by adaptive execution, as the list holds each key once.
     """
     names = listed.select(F.col(listed_key).alias("__listed")).where("__listed is not null").distinct()
     filled = F.broadcast(bloom(names, "__listed"))
-    probed = rows.withColumn("__block", F.when(F.col(key).isNotNull(), _block(F.col(key))))
-    probed = probed.join(filled, F.col("__block") == filled["block"], "left")
+    # the row travels as one struct: no name of its columns can meet a name of the filter
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in rows.columns)).alias("__row")
+    probed = rows.select(whole, F.col(key).alias("__key"), F.when(F.col(key).isNotNull(), _block(F.col(key))).alias("__block"))
+    probed = probed.join(filled, F.col("__block") == F.col("block"), "left")
     maybe = F.col("block").isNotNull()
-    for i, mask in enumerate(_masks(F.col(key))):
+    for i, mask in enumerate(_masks(F.col("__key"))):
         maybe &= F.col(f"w{i}").bitwiseAND(mask) == mask
-    probed = probed.withColumn("__maybe", F.coalesce(maybe, F.lit(False))).select(*rows.columns, "__maybe")
-    sure = probed.where("__maybe").join(names, F.col(key) == F.col("__listed"), "left")
-    sure = sure.select(*rows.columns, F.col("__listed").isNotNull().alias("listed"))
-    return sure.unionByName(probed.where("not __maybe").select(*rows.columns, F.lit(False).alias("listed")))
+    probed = probed.select("__row", "__key", F.coalesce(maybe, F.lit(False)).alias("__maybe"))
+    back = [F.col("__row").getField(c).alias(c) for c in rows.columns]
+    sure = probed.where("__maybe").join(names, F.col("__key") == F.col("__listed"), "left")
+    sure = sure.select(*back, F.col("__listed").isNotNull().alias("listed"))
+    return sure.unionAll(probed.where("not __maybe").select(*back, F.lit(False).alias("listed")))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import written
+from cohortry.llm.common import in_blocks, written
 from cohortry.llm.components import connected_components
 
 COSINE = 0.93
@@ -147,19 +147,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     classes = written(_assigned(known, _centroids(known, cosine), kind, cosine), "assigned")
     member = classes.withColumn("cell", F.explode(F.filter("cells", lambda c: c >= 0)))
+    # vectors of a core are compared with others only
     inner = F.col("core") & (F.col("home") == F.col("cell"))
-    sizes = member.groupBy("grp", "cell").agg(F.count_if(inner).alias("cores"), F.count_if(~inner).alias("others"))
-    large = sizes.where(F.col("cores") + F.col("others") > BLOCK)
-    large = large.select("grp", "cell", F.ceil(F.col("others") / BLOCK).alias("bo"), F.ceil(F.col("cores") / BLOCK).alias("bc"))
-    work = member.join(large, ["grp", "cell"], "left")
-    dealt = lambda n: F.pmod(F.xxhash64("fp"), F.greatest(n, F.lit(1)))
-    part = F.when(F.col("bo").isNull(), 0).when(inner, F.col("bo") + dealt(F.col("bc"))).otherwise(dealt(F.col("bo")))
-    # blocks of the core are compared with the others only
-    met = F.when(F.col("bo").isNull(), F.array(F.lit(0).cast("long")))
-    met = met.when(inner & (F.col("bo") == 0), F.array().cast("array<bigint>"))
-    met = met.when(inner, F.sequence(F.lit(0).cast("long"), F.col("bo") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("bo") + F.col("bc") - 1))
-    work = work.withColumn("part", part.cast("long")).withColumn("with", F.explode(met))
-    work = work.select("grp", "cell", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"), "part", "fp", "n", "core", "home", "cells", "x")
+    work = in_blocks(member, ["grp", "cell"], inner, F.lit(1.0 / BLOCK), "fp")
+    work = work.select("grp", "cell", "lo", "hi", "part", "fp", "n", "core", "home", "cells", "x")
     found = work.groupBy("grp", "cell", "lo", "hi").applyInPandas(_compared(cosine, kind), "fp binary, links long, pivot binary")
     found = written(found, "links")
 
