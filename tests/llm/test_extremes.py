@@ -379,6 +379,31 @@ def test_placement_of_shards(spark):
     assert np.ptp(sums, axis=0).max() < 0.1 * np.mean(sums)
 
 
+def test_many_shards_take_levels(spark, monkeypatch):
+    """Sets of shards first, then each set: sizes stay near, groups together, and every shard is used."""
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = random.Random(8)
+    texts = ["word " * rng.randrange(1, 30) + str(i % 4000) for i in range(6000)]
+    rows = packing.shard(docs_of(spark, [*texts, *texts[:500]]), 20).collect()
+    sizes, shards, slots = collections.Counter(), collections.defaultdict(set), collections.defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        shards[r.text_crc32, r.size].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert sorted(sizes) == list(range(20)) and max(sizes.values()) < 1.05 * min(sizes.values())
+    # a few groups hold more than a 64th of these small shards
+    assert sum(len(x) > 1 for x in shards.values()) < 0.01 * len(shards) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r.shard for r in packing.shard(docs_of(spark, texts[:5]), 1).collect()} == {0}
+
+
+def test_shards_of_odd_rows(spark, odd):
+    import zlib
+
+    got = sorted(((r.doc_id, r.size, r.text_crc32) for r in packing.shard(odd).collect()), key=str)
+    want = [(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect()]
+    assert got == sorted(want, key=str)
+
+
 def test_archives_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/none")
