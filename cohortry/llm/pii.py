@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from zlib import crc32
 
@@ -177,6 +177,20 @@ def features(text: str, kind: str, start: int, end: int, vote: tuple) -> list[in
     return [0, *sorted({1 + crc32(x.encode()) % (FEATURES - 1) for x in names})]
 
 
+#: Spans of which a task remembers what it found out, by the span and the 40 characters on either side.
+REMEMBERED = 1 << 14
+
+
+def remembered(known: dict, text: str, kind: str, start: int, end: int, strict: bool, find: Callable) -> object:
+    """``find(text, kind, start, end, strict)``, which looks at a span and 40 characters on either side; logs repeat those."""
+    key = (kind, strict, text[max(0, start - 40) : start], text[start:end], text[end : end + 40])
+    if key not in known:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[key] = find(text, kind, start, end, strict)
+    return known[key]
+
+
 def patterns(docs: DataFrame, text: str = "text") -> tuple[list[tuple], list[tuple]]:
     """(kind, votes, number) over all spans and candidates of all documents, at most 96 rows, counted by Spark; and of each of these at
     most SAMPLED spans as (kind, votes, features): those whose surroundings have the least hash, equal ones once."""
@@ -184,6 +198,8 @@ def patterns(docs: DataFrame, text: str = "text") -> tuple[list[tuple], list[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = {}
         sample: dict[tuple, dict[int, list[int]]] = {}
+        last: dict[tuple, int] = {}
+        known: dict = {}
         for batch in slices(batches, "text"):
             for one in batch.column("text").to_pylist():
                 if not one:
@@ -191,14 +207,16 @@ def patterns(docs: DataFrame, text: str = "text") -> tuple[list[tuple], list[tup
                 base = base_spans(one)
                 for strict, spans in ((True, base), (False, candidates(one, base))):
                     for kind, a, b in spans:
-                        vote = votes(one, kind, a, b, strict)
+                        vote = remembered(known, one, kind, a, b, strict, votes)
                         key = (kind, *vote)
                         counts[key] = counts.get(key, 0) + 1
-                        held, draw = sample.setdefault(key, {}), crc32(one[max(0, a - 40) : b + 40].encode())
-                        if draw not in held and (len(held) < SAMPLED or draw < max(held)):
+                        draw = crc32(one[max(0, a - 40) : b + 40].encode())
+                        if draw < last.get(key, 1 << 32) and draw not in (held := sample.setdefault(key, {})):
                             held[draw] = features(one, kind, a, b, vote)
                             if len(held) > SAMPLED:
                                 del held[max(held)]
+                            if len(held) == SAMPLED:
+                                last[key] = max(held)
         rows = [(*k, n, None, None) for k, n in counts.items()] + [(*k, 0, draw, f) for k, held in sample.items() for draw, f in held.items()]
         kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*key_names, "n", "draw", "features"])
@@ -259,16 +277,20 @@ def train(counted: list[tuple], drawn: list[tuple], rounds: int = 200) -> dict[s
     return model
 
 
-def spans(text: str, model: dict[str, np.ndarray]) -> tuple[list, list]:
-    """Base spans, and all spans: base ones stay, candidates are added if the classifier is sure."""
-    base = base_spans(text)
+def spans(text: str, model: dict[str, np.ndarray], known: dict | None = None) -> tuple[list, list]:
+    """Base spans, and all spans: base ones stay, candidates are added if the classifier is sure. ``known`` is what it remembers."""
+
+    def sure(text: str, kind: str, a: int, b: int, strict: bool) -> bool:
+        z = model[kind][features(text, kind, a, b, votes(text, kind, a, b, strict))].sum()
+        return bool(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD)
+
+    base, known = base_spans(text), {} if known is None else known
     added, places = [], []
     for kind, a, b in candidates(text, base):
-        if kind in model:
-            z = model[kind][features(text, kind, a, b, votes(text, kind, a, b, False))].sum()
+        if kind in model and remembered(known, text, kind, a, b, False, sure):
             at = bisect_left(places, (b,))
             # places don't overlap, so that only the last one that begins before this one's end can meet it
-            if 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= THRESHOLD and (not at or places[at - 1][1] <= a):
+            if not at or places[at - 1][1] <= a:
                 insort(places, (a, b))
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
@@ -289,8 +311,9 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     model = train(*patterns(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in slices(batches, "text"):
-            found = [spans(t or "", model) for t in batch.column("text").to_pylist()]
+            found = [spans(t or "", model, known) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(spans_text(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
