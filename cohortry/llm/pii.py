@@ -342,6 +342,7 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def masking(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: masked(t, spans(t, model)[1]), na_action="ignore")
+        known: dict = {}
+        return column.map(lambda t: masked(t, spans(t, model, known)[1]), na_action="ignore")
 
     return docs.withColumn(text, masking(F.col(text)))
