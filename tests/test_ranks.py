@@ -39,7 +39,7 @@ def test_quantiles_send_no_rows(spark):
     assert got == {0: (0.0, 0, 1), 200_000: (200_000.0, 200_000, 1), 399_999: (399_999.0, 399_999, 1)}
 
 
-@pytest.mark.parametrize("n", [0, 1, 40, 333, 700, 999, 1000, 5000])
+@pytest.mark.parametrize("n", [0, 333, 999, 5000])
 @pytest.mark.parametrize(("names", "few"), [(["s", ("x", "desc"), "id"], 3), ([("b", "desc"), ("s", "desc"), "d", ("id", "desc")], 3), (["x", "t", "id"], 50), (["id"], 3)])
 def test_top_n(spark, monkeypatch, n, names, few):
     monkeypatch.setattr(ranks, "FEW", few)
