@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import line_quality, secrets, urls
+from cohortry.llm import line_quality, prefix_trie, secrets, urls, vector_dedup
 
 _WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
@@ -69,5 +69,35 @@ SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n
        NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words) AND removed_words <= {q.DEPLETED} * n_words AS kept FROM out"""
 
 
+def _vectors() -> str:
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {vector_dedup.COSINE}),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+def _trie() -> str:
+    """Paths are the md5 of their turns, joined: a prefix of d turns is a prefix of 32 * d digits. crc32 goes through the bits of the digits."""
+    bits = "flatten(list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: [ascii(substr(conv::VARCHAR, i::INTEGER, 1)), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"""WITH t AS (SELECT conv_id AS conv, turn, coalesce(role, '') AS who, coalesce(text, '') AS said FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv, list(md5(length(who) || ':' || who || ':' || said) ORDER BY turn NULLS FIRST, who, said) AS keys,
+      list(length(said) ORDER BY turn NULLS FIRST, who, said) AS sizes FROM t GROUP BY conv),
+h AS (SELECT *, (xor(list_reduce(list_concat([4294967295::BIGINT], list_transform({bits}, lambda x: x::BIGINT)), {step}), 4294967295::BIGINT) % {prefix_trie.HEADS})::INTEGER AS h FROM o),
+p AS (SELECT h.conv, list_concat(coalesce(b.keys[1:h.h], []), h.keys[h.h + 1:]) AS keys, list_concat(coalesce(b.sizes[1:h.h], []), h.sizes[h.h + 1:]) AS sizes
+      FROM h LEFT JOIN o b ON b.conv = h.conv - h.conv % 100),
+m AS (SELECT conv, d, array_to_string(keys[1:d], '') AS path, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(keys) AS ends FROM p, unnest(range(0, len(keys) + 1)) AS u(d)),
+n AS (SELECT path, any_value(d) AS depth, any_value(size) AS size, count(*) AS n_convs, min(conv) AS conv_id, coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '') AS members FROM m GROUP BY path),
+c AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+s AS (SELECT left(path, (32 * a)::INTEGER) AS path, sum((n_convs - 1) * size) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM k, unnest(range(0, depth + 1)) AS u(a) GROUP BY 1)
+SELECT k.conv_id, k.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(k.members) AS ends_sha256
+FROM k JOIN s USING (path) LEFT JOIN k up ON k.depth > 0 AND up.path = left(k.path, length(k.path) - 32)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": _secrets(), "op5_urls": _urls(), "op8_quality": _quality()}
+    return {"op1_secrets": _secrets(), "op5_urls": _urls(), "op8_quality": _quality(), "op12_vectors": _vectors(), "op13_trie": _trie()}
