@@ -114,8 +114,12 @@ def fmt_g(c: Column | str) -> Column:
     up = (twice > unit) | ((twice == unit) & (whole % 2 == 1))
     tens = (whole + F.when(up, 1.0).otherwise(0.0)) * unit * F.signum(value)
     large = F.when((size >= 999999.5) & (size < 9007199254740992.0), tens).otherwise(value)
+    # a shortest form of up to six digits (and the point) is what six digits give, too
+    short = size.cast("string")
+    plain = F.when(short.endswith(".0"), F.left(value.cast("string"), F.length(value.cast("string")) - 2)).otherwise(value.cast("string"))
     return (
-        F.when((size >= 1e-3) & (size < 999999.5), F.regexp_replace(rounded.cast("string"), r"\.0$", ""))
+        F.when((size >= 1e-3) & (size < 999999.5) & (F.length(short) <= 7), plain)
+        .when((size >= 1e-3) & (size < 999999.5), F.regexp_replace(rounded.cast("string"), r"\.0$", ""))
         .when(size == 0, F.lit("0"))
         .when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))

@@ -104,10 +104,20 @@ def group_text(
     cohort: DataFrame, lines: DataFrame, keys: Sequence[str], group: str, groups: Sequence[str], text: str,
     order: Sequence[str],
 ) -> DataFrame:
-    """One row per cohort key and group: the lines in time order, ``""`` where there are none."""
-    wanted = cohort.select(*keys).withColumn(group, F.explode(F.array(*[F.lit(g) for g in groups])))
-    joined = ordered_text(lines, [*keys, group], text, order, "\n")
-    return wanted.join(joined, [*keys, group], "left").select(*keys, group, F.coalesce(text, F.lit("")).alias(text))
+    """One row per cohort key and group: the lines in time order, ``""`` where there are none.
+
+    Lines meet their cohort key once, and a key's groups are spread out after that.
+    """
+    kept = lines.where(F.col(text).isNotNull() & F.col(group).isin(list(groups)))
+    place = F.struct(F.struct(*order).alias("place"), F.col(text).alias("text"), F.col(group).alias("of"))
+    held = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("__held"))
+
+    def told(name: str) -> Column:
+        own = F.filter("__held", lambda e: e["of"] == name)
+        return F.coalesce(F.array_join(F.transform(own, lambda e: e["text"]), "\n"), F.lit(""))
+
+    texts = F.array(*[F.struct(F.lit(g).alias(group), told(g).alias(text)) for g in groups])
+    return cohort.select(*keys).join(held, keys, "left").select(*keys, F.inline(texts))
 
 
 def panel_text(
