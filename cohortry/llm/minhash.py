@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     whether that is the row's own. Equal sets are one node from the start, so that copies cost nothing more. Sets that share a band
     (of SuperMinHash registers) are candidates, and only those are compared, exactly and on whole sets: first each with one of its band
     (the pivot), then, in bands whose sets are not all of one tree of links by that, those of different trees: each pair once where a
-    band has a few sets, in blocks else. So a group of near copies takes one comparison a set, and chains of bands are never compared from
+    band has a few sets, in blocks else (bands of much the same sets together). So a group of near copies takes one comparison a set, and chains of bands are never compared from
     end to end.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Null id: the row stands alone, component null, kept. Rows with one id
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     few = mixed.where(F.col("sets") <= FEW).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("fp", "tree", "n"))).alias("own"))
     pairs = few.select("own", F.explode("own").alias("x")).select("x", F.explode(F.filter("own", lambda y: (y["fp"] < F.col("x.fp")) & (y["tree"] != F.col("x.tree")))).alias("y"))
     pairs = pairs.select("x.fp", F.col("y.fp").alias("pivot"), "x.n").distinct()
-    mixed_many = mixed.where(F.col("sets") > FEW).drop("sets")
+    mixed_many = _merged(mixed.where(F.col("sets") > FEW).drop("sets"))
     most = mixed_many.groupBy("band", "tree").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("tree", F.struct("c", "tree")).alias("main"))
     work = in_blocks(mixed_many.join(most, "band"), ["band"], F.col("tree") == F.col("main"), _load(), "fp").select("band", "lo", "hi", "part", "fp", "tree")
     second = work.join(sets, "fp").groupBy("band", "lo", "hi").applyInPandas(_verified, "a binary, b binary")
@@ -215,6 +215,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return found.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _merged(bands: DataFrame) -> DataFrame:
+    """``band, fp, n, tree``: bands with the same least set become one where that gives no more pairs than they have one by one.
+
+    Near copies share most of their bands, so their pairs are compared once rather than once for each band. No pair is lost.
+    """
+    each = bands.groupBy("band").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("sets"))
+    placed = bands.join(each, "band")
+    alone = each.groupBy("pivot").agg(F.sum(F.col("sets") * F.col("sets")).alias("pairs"), F.min("band").alias("into"))
+    whole = placed.select("pivot", "fp").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("all"))
+    chosen = alone.join(whole, "pivot").select("pivot", F.when(F.col("all") * F.col("all") <= F.col("pairs"), F.col("into")).alias("into"))
+    return placed.join(chosen, "pivot").select(F.coalesce("into", "band").alias("band"), "fp", "n", "tree").distinct()
+
+
 def _load() -> Column:
     return F.greatest(F.lit(1.0 / BLOCK_TEXTS), F.col("n") / float(BLOCK_SHINGLES))
 
