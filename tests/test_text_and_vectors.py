@@ -329,3 +329,41 @@ def test_csv_is_cut(spark, tmp_path):
         assert read(multi_line=True).rdd.getNumPartitions() > 3 and read(multi_line=True).count() == 20000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_embedding_sends_one_row_a_text(spark):
+    """Rows of one key are added up, null and blank texts are zeros, and long texts are cut only at white space."""
+    import hashlib
+
+    words = [f"w{i % 97}é" for i in range(200_000)]
+    rows = [(1, "a", "x y\tx"), (1, "a", "z"), (None, "a", None), (2, "b", " \n"), (3, "a", "  ".join(words))]
+    df = spark.createDataFrame(rows, "k int, f string, t string")
+    made = vectors.embed_many(df, ["k", "f"], "t", 4)
+    got = {(r.k, r.f): list(r.embedding) for r in made.collect()}
+
+    def plain(tokens):
+        out = [0.0] * 4
+        for t in tokens:
+            h = hashlib.md5(t.encode()).hexdigest()
+            out[int(h[:8], 16) % 4] += 1 if int(h[8], 16) % 2 == 0 else -1
+        return [x / max(1, len(tokens)) for x in out]
+
+    want = {(1, "a"): plain(["x", "y", "x", "z"]), (None, "a"): plain([]), (2, "b"): plain([]), (3, "a"): plain(words)}
+    assert {k: pytest.approx(v, abs=1e-6) for k, v in want.items()} == got
+    assert "explode" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_group_text_meets_its_cohort_before_groups_are_spread(spark):
+    cohort = spark.createDataFrame([(1,), (1,), (None,), (2,)], "k int")
+    lines = spark.createDataFrame([(1, "a", 2, "second"), (1, "a", 1, "first"), (1, "c", 1, "no"), (1, None, 1, "no"), (None, "a", 1, "no")], "k int, g string, at int, t string")
+    made = text.group_text(cohort, lines, ["k"], "g", ["a", "b"], "t", ["at"])
+    got = sorted(map(tuple, made.collect()), key=str)
+    assert got == sorted([(1, "a", "first\nsecond")] * 2 + [(1, "b", "")] * 2 + [(None, "a", ""), (None, "b", ""), (2, "a", ""), (2, "b", "")], key=str)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
+def test_baseline_sql_asks_for_more_than_chance():
+    from cohortry.plans.registry import oracle_sql
+
+    assert oracle_sql()["baseline_model"].count("better_than_chance") == 1
