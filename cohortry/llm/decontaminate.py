@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Words, bit_filter, constants, mix, passes, slices, utf8, written
+from cohortry.llm.common import PIECE, Words, bit_filter, constants, mix, passes, slices, utf8, written
 
 #: Tokens in a window, and how many of them must be plain words for a window of that length to say anything.
 WIDTH, PLAIN = 8, 3
@@ -160,7 +160,7 @@ def item_windows(benchmark: DataFrame, row_id: str, text: str) -> DataFrame:
     chosen = benchmark.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             t = _Templates(*utf8(batch.column("text")))
             bounds, sizes, typed = t.words.bounds, t.sizes, t.kinds[TYPED]
             sig = [md5(t.value[a:b].tobytes() + typed[a:b].tobytes()).digest() for a, b in zip(bounds[:-1], bounds[1:])]
@@ -201,7 +201,7 @@ def document_windows(docs: DataFrame, row_id: str, text: str, sets: list[int], b
     chosen = docs.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             t = _Templates(*utf8(batch.column("text")))
             for which, width in (divmod(s, 16) for s in sorted(sets)):
                 at, h = t.usable(which, width), t.hashes(which, width)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import Words, bit_filter, constants, discard, in_blocks, mix, passes, slices, utf8, written
+from cohortry.llm.common import PIECE, Words, bit_filter, constants, discard, in_blocks, mix, passes, slices, utf8, written
 from cohortry.llm.components import connected_components
 
 #: Words in a shingle, per cent of similarity that links, bands and registers in a band. Two texts at the threshold of 85 % miss
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     factors, numbers = constants(17, ROWS), constants(19, BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             sets = shingles(*utf8(batch.column("text")))
             held = super_minhash(sets).view(np.uint64).reshape(len(sets), BANDS, ROWS)
             bands = mix((mix(held) * factors).sum(axis=2, dtype=np.uint64) + numbers).view(np.int64)
@@ -249,7 +249,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = batch.filter(pa.array(passes(bits, batch.column("h").to_numpy().view(np.uint64))))
-            for part in slices([chosen], "text"):
+            for part in slices([chosen], "text", PIECE):
                 sets = shingles(*utf8(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("asked"), _fingerprints(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["asked", "made", "shingles"])
 

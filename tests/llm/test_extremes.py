@@ -6,8 +6,10 @@ import collections
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +292,30 @@ def test_leaks_like_plain_python(spark):
 # near-duplicates
 
 
+@pytest.mark.parametrize("what", ["windows", "signatures"])
+def test_tasks_hold_arrays_of_a_small_piece(spark, what):
+    texts = [" ".join(f"word{(i * 31 + j) % 997} Name{j % 7} {j}" for j in range(120)) for i in range(2000)]
+    batch, made = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"]), []
+
+    class Table:
+        dtypes = [("id", "bigint")]
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: made.append(run)
+
+    if what == "windows":
+        decontaminate.document_windows(Table(), "id", "text", [16 * k + w for k in range(3) for w in (5, 8)], np.zeros(1 << 17, np.uint64))
+    else:
+        minhash.signatures(Table(), "id", "text")
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in made[0](iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == (0 if what == "windows" else len(texts))
+    assert most < 64 << 20
+
+
 def test_a_chain_of_candidates_makes_no_pairs_across_bands(spark, monkeypatch):
     """Texts of which only neighbours are alike: what is compared grows with the chain, not with its square."""
     rng = random.Random(5)
