@@ -89,3 +89,11 @@ def test_feature_texts_are_shuffled_one_kind_at_a_time(spark, folder, scratch):
     assert not shuffle_files(spark) - held
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     agrees(spark, folder, "feature_texts", df)
+
+
+def test_training_table_keeps_three_scratch_tables(spark, folder, scratch):
+    held = shuffle_files(spark)
+    df = queries()["training_table"](spark, folder)
+    assert scratch() == ["demographics", "embeddings", "splits"]
+    assert not shuffle_files(spark) - held
+    agrees(spark, folder, "training_table", df)
